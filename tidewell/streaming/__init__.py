@@ -1 +1 @@
-"""Structured Streaming jobs."""
+"""Structured Streaming jobs: incremental forms of the batch operators."""
