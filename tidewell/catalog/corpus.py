@@ -77,8 +77,7 @@ select page_id, coalesce(nullif(case when page_id % 9 = 0 then 'given' else '' e
   lower(regexp_extract(url, '://([^/?#]*)', 1))) as title from pages""")
 def a04(t):
     given = F.when(F.col("page_id") % 9 == 0, "given").otherwise("")
-    html = F.when(F.col("page_id") % 4 == 3, F.col("html")).otherwise(F.col("html"))
-    return t.pages.select("page_id", P.page_title(given, html, "url").alias("title"))
+    return t.pages.select("page_id", P.page_title(given, "html", "url").alias("title"))
 
 
 # --- chunks ------------------------------------------------------------------
@@ -122,8 +121,8 @@ def d29(t):
 
 # --- incremental ingest ------------------------------------------------------
 def stored(t):
-    """Two thirds of the documents as sources already ingested."""
-    d = t.documents.where(F.col("doc_id") % 3 != 0)
+    """English documents as sources already ingested."""
+    d = t.documents.where(F.col("lang") == "en")
     return d.select(
         F.concat(F.lit("https://"), "source", F.lit("/"), F.col("doc_id").cast("string")).alias("url"), F.lit("old").alias("title"),
         F.lit("web").alias("source_type"), content_hash("text").alias("content_hash"), F.lit(None).cast("string").alias("content_hash_previous"),
@@ -142,7 +141,7 @@ def arriving(t):
 
 DEC_SQL = """
 a as (select doc_id, 'https://' || source || '/' || doc_id as url, case when doc_id % 5 = 0 then text || '!' when doc_id % 7 = 0 then '  ' else text end as text, text as old_text,
-        doc_id % 3 <> 0 as known from documents),
+        lang = 'en' as known from documents),
 h as (select *, case when regexp_matches(text, '\\S') then sha256(text) else '' end as new_hash,
         case when regexp_matches(old_text, '\\S') then sha256(old_text) else '' end as old_hash from a),
 dec as (select *, case when not known then 'new' when old_hash = new_hash then 'unchanged' when not regexp_matches(text, '\\S') then 'refused' else 'replace' end as action from h)
@@ -199,7 +198,7 @@ def j03b(t):
 
 # --- freshness ---------------------------------------------------------------
 @query("b07_due_for_check", """
-select 'https://' || source || '/' || doc_id as url from documents where doc_id % 3 <> 0 and
+select 'https://' || source || '/' || doc_id as url from documents where lang = 'en' and
   (doc_id % 10 = 1 or date_diff('second', timestamp '2024-01-15' + to_hours((doc_id % 300)::int), timestamp '2024-02-01') / 3600.0 > 300)""")
 def b07(t):
     s = stored(t).withColumn("check_interval_hours", F.lit(300))
@@ -251,18 +250,14 @@ def d17(t):
 
 
 @query("c16_stale_source_counts", """
-with links as (select page_id, list_distinct(regexp_extract_all(html, 'href="/([^"]*)"', 1)) as words from pages),
-w as (select page_id, unnest(words) as word from links),
-stale as (select distinct lower(regexp_extract(text, '^(\\S+)', 1)) as word from documents where doc_id % 2 = 0)
-select l.page_id, count(s.word) as n_stale from links l left join w on w.page_id = l.page_id left join stale s on s.word = lower(w.word) group by 1""")
+with links as (select page_id, unnest(list_distinct(regexp_extract_all(html, 'href="/([^"]*)"', 1))) as url from pages),
+src as (select regexp_extract(text, '^(\\S+)', 1) as url, bool_or(lang <> 'en') as is_stale from documents group by 1)
+select p.page_id, count(s.url) as n_stale from pages p left join links l on l.page_id = p.page_id left join src s on s.url = l.url and s.is_stale group by 1""")
 def c16(t):
-    urls = F.array_distinct(F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), 1))
-    lists = t.pages.select("page_id", F.transform(urls, lambda u: F.lower(u)).alias("urls_raw"))
-    # Links that differ only in case count once per spelling, as in the page.
-    exploded = t.pages.select("page_id", F.explode(urls).alias("u")).select("page_id", F.lower("u").alias("url"))
-    stale = t.documents.where(F.col("doc_id") % 2 == 0).select(F.lower(F.regexp_extract("text", r"^(\S+)", 1)).alias("url")).distinct()
-    n = exploded.join(stale, "url").groupBy("page_id").agg(F.count(F.lit(1)).alias("n_stale"))
-    return lists.select("page_id").join(n, "page_id", "left").select("page_id", F.coalesce("n_stale", F.lit(0)).alias("n_stale"))
+    links = t.pages.select("page_id", F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), 1).alias("urls"))
+    sources = t.documents.groupBy(F.regexp_extract("text", r"^(\S+)", 1).alias("url")).agg(
+        F.bool_or(F.col("lang") != "en").alias("is_stale"))
+    return TR.stale_count_for_urls(links, sources, "page_id", "urls")
 
 
 @query("h08_aged_trust", """
@@ -294,7 +289,7 @@ def report_json(t):
     # One order per report: an order has at most seven items.
     per = t.lineitem.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(item)).alias("entries"))
     o = t.orders.join(per, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    fight = F.struct(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 4).alias("encounterID"), F.col("o_orderpriority").alias("name"),
+    fight = F.struct(F.col("o_orderkey").alias("id"), (F.ascii("o_orderpriority") - 49).cast("bigint").alias("encounterID"), F.col("o_orderpriority").alias("name"),
                      F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus") == "F").alias("kill"), F.lit(1000).cast("bigint").alias("startTime"),
                      F.floor("o_totalprice").alias("endTime"))
     trash = F.struct((F.col("o_orderkey") + 1).alias("id"), F.lit(0).cast("bigint").alias("encounterID"), F.lit("trash").alias("name"),
@@ -309,7 +304,7 @@ def report_json(t):
         F.concat(F.lit("r"), F.col("o_orderkey").cast("string")).alias("code"), (F.col("o_orderstatus") == "O").alias("archived"), F.lit("").alias("title"),
         F.array(fight, trash).alias("fights"), F.array(F.struct(F.col("o_custkey").alias("id"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("name"))).alias("actors"),
         F.array(comb).alias("combatants"), table.alias("damage"), F.array(F.struct(F.col("o_orderkey").alias("fight"), F.array(aura).alias("auras"))).alias("buffs"),
-        table.alias("casts"), F.array(F.struct(F.col("o_orderkey").alias("fightID"), (F.col("o_orderkey") % 4).alias("encounterID"), roles.alias("roles"))).alias("rankings"))
+        table.alias("casts"), F.array(F.struct(F.col("o_orderkey").alias("fightID"), (F.ascii("o_orderpriority") - 49).cast("bigint").alias("encounterID"), roles.alias("roles"))).alias("rankings"))
     return o.select(F.to_json(doc).alias("value"))
 
 
@@ -325,15 +320,15 @@ def a06(t):
 
 
 @query("j08_fights", """
-select 'r' || o_orderkey as report_code, o_orderkey as fight_id, o_orderkey % 4 as encounter_id, o_orderpriority as encounter_name,
-  o_orderstatus = 'F' as kill, floor(o_totalprice)::bigint - 1000 as duration_ms from orders where o_orderstatus <> 'O' and o_orderkey % 4 <> 0""")
+select 'r' || o_orderkey as report_code, o_orderkey as fight_id, (ascii(o_orderpriority) - 49)::bigint as encounter_id, o_orderpriority as encounter_name,
+  o_orderstatus = 'F' as kill, floor(o_totalprice)::bigint - 1000 as duration_ms from orders where o_orderstatus <> 'O' and o_orderpriority <> '1-URGENT'""")
 def j08(t):
     return RP.fight_rows(reports(t)).select("report_code", "fight_id", "encounter_id", "encounter_name", "kill", "duration_ms")
 
 
 @query("j08_combatants", """
 select 'r' || o_orderkey as report_code, o_orderkey as fight_id, o_custkey as source_id, case when o_custkey <> 0 then 'c' || o_custkey else '' end as player_name,
-  floor(o_totalprice)::bigint as agility, 0 as n_auras from orders where o_orderstatus <> 'O' and o_orderkey % 4 <> 0""")
+  floor(o_totalprice)::bigint as agility, 0 as n_auras from orders where o_orderstatus <> 'O' and o_orderpriority <> '1-URGENT'""")
 def j08b(t):
     return RP.combatant_rows(reports(t)).select("report_code", "fight_id", "source_id", "player_name", "agility", F.size("auras").alias("n_auras"))
 
@@ -360,7 +355,7 @@ def j08e(t):
 
 
 @query("j08_fight_rankings", """
-select 'r' || o_orderkey as report_code, o_orderkey % 4 as encounter_id, 'c' || o_custkey as player_name, case when o_orderkey % 2 = 0 then 'north' else 'south' end as server_name, o_totalprice as dps
+select 'r' || o_orderkey as report_code, (ascii(o_orderpriority) - 49)::bigint as encounter_id, 'c' || o_custkey as player_name, case when o_orderkey % 2 = 0 then 'north' else 'south' end as server_name, o_totalprice as dps
 from orders, (values (1), (2)) where o_orderstatus <> 'O'""")
 def j08f(t):
     return RP.fight_ranking_rows(reports(t)).select("report_code", "encounter_id", "player_name", "server_name", "dps")

@@ -200,9 +200,9 @@ def b06b(t):
     return got.select("fight_id", "player_name", "exclusion_reason")
 
 
-@query("b09_drop_trash", "select o_orderkey as fight_id from orders where o_orderkey % 7 <> 0")
+@query("b09_drop_trash", "select o_orderkey as fight_id from orders where o_orderpriority <> '1-URGENT'")
 def b09(t):
-    fights_ = t.orders.select(F.col("o_orderkey").alias("fight_id"), (F.col("o_orderkey") % 7).alias("encounter_id"))
+    fights_ = t.orders.select(F.col("o_orderkey").alias("fight_id"), (F.ascii("o_orderpriority") - 49).alias("encounter_id"))
     return drop_trash(fights_).select("fight_id")
 
 

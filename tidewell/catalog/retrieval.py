@@ -17,7 +17,7 @@ src_delta as (
          sum(case event_type when 'error' then -0.1::double when 'purchase' then 0.05::double else 0::double end) as delta_sum
   from events group by 1),
 src as (
-  select d.source, count(*) as n_docs, sum(d.n_chars) % 3 = 0 as is_stale,
+  select d.source, count(*) as n_docs, avg(d.n_chars) > 2600 as is_stale,
          0.3::double + 0.05::double * (count(*) % 10) as trust_score
   from documents d group by 1),
 trusted as (
@@ -90,8 +90,8 @@ vec as (
 def doc_sources(t: Tables) -> DataFrame:
     """Sources with base trust, stale flag and effective trust."""
     src = t.documents.groupBy("source").agg(
-        F.count(F.lit(1)).alias("n_docs"), F.sum("n_chars").alias("chars")).select(
-        "source", "n_docs", (F.col("chars") % 3 == 0).alias("is_stale"),
+        F.count(F.lit(1)).alias("n_docs"), F.avg("n_chars").alias("chars")).select(
+        "source", "n_docs", (F.col("chars") > 2600).alias("is_stale"),
         (F.lit(0.3) + F.lit(0.05) * (F.col("n_docs") % 10)).alias("trust_score"))
     return TR.effective_trust(src, trust_events(t))
 

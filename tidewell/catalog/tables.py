@@ -14,7 +14,7 @@ def catalog_items(t):
     """Parts as catalog items."""
     return t.part.select(
         F.col("p_partkey").alias("item_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("slot"),
-        F.col("p_size").alias("level"), (F.col("p_size") % 5 + 1).alias("phase"), F.col("p_type").alias("category"),
+        F.col("p_size").alias("level"), F.ceil(F.col("p_size") / 10).alias("phase"), F.col("p_type").alias("category"),
         F.col("p_retailprice").alias("price"))
 
 
@@ -90,10 +90,10 @@ def a14(t):
 
 
 @query("b01_source_list_filter", """
-select p_partkey, p_name from part where p_size % 10 <> 0 and p_size % 3 + 1 <= 2 and p_type = 'ECONOMY' and p_brand = 'Brand#2'""")
+select p_partkey, p_name from part where p_size <> 50 and p_size <= 30 and p_type = 'ECONOMY' and p_brand = 'Brand#2'""")
 def b01(t):
-    src = t.part.select("p_partkey", "p_name", (F.col("p_size") % 10 != 0).alias("enabled"),
-                        (F.col("p_size") % 3 + 1).alias("priority"), F.col("p_type").alias("category"),
+    src = t.part.select("p_partkey", "p_name", (F.col("p_size") != 50).alias("enabled"),
+                        F.ceil(F.col("p_size") / 15).alias("priority"), F.col("p_type").alias("category"),
                         F.col("p_brand").alias("spec"))
     return TB.filter_sources(src, max_priority=2, category="ECONOMY", spec="Brand#2").select("p_partkey", "p_name")
 
@@ -116,7 +116,7 @@ def b03(t):
 
 
 @query("b04_items_for_slot", """
-select p_partkey as item_id, p_size as level from part where p_brand = 'Brand#2' and p_size % 5 + 1 <= 3 and p_size >= 10
+select p_partkey as item_id, p_size as level from part where p_brand = 'Brand#2' and ceil(p_size / 10.0) <= 3 and p_size >= 10
 order by p_size desc, p_partkey""")
 def b04(t):
     return TB.items_for_slot(catalog_items(t), "Brand#2", max_phase=3, min_level=10).select("item_id", "level")

@@ -181,19 +181,25 @@ def extract_with(chunks: DataFrame, extract_fn: Callable[[str], list[dict]], *,
     return chunks.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
 
 
+def word_sequences(toks: Column | str, n: int) -> Column:
+    """All sequences of ``n`` consecutive tokens, joined by a space."""
+    t = F.col(toks) if isinstance(toks, str) else toks
+    if n == 1:
+        return t
+    starts = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - (n - 1))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.array_join(F.slice(t, i, F.lit(n)), " "))
+
+
 def gazetteer_mentions(chunks: DataFrame, gazetteer: DataFrame, *, id_col: str, text_col: str, longest: int = 3) -> DataFrame:
     """Default extractor: names of a gazetteer that occur as word sequences of a chunk.
 
     ``gazetteer``: ``canonical_name, entity_type``; names have at most ``longest``
-    words. Word sequences are joined by equality and counted before the shuffle.
+    words. Each chunk gives every sequence once, so the join meets no pairs within a
+    chunk; a gazetteer small enough is broadcast by its size.
     """
     words = chunks.select(F.col(id_col), tokens(text_col).alias("_t"))
-    grams = None
-    for n in range(1, longest + 1):
-        starts = F.when(F.size("_t") >= n, F.sequence(F.lit(1), F.size("_t") - (n - 1))).otherwise(F.array().cast("array<int>"))
-        part = words.select(id_col, F.explode(F.array_distinct(F.transform(
-            starts, lambda i, n=n: F.array_join(F.slice("_t", i, F.lit(n)), " ")))).alias("canonical_name"))
-        grams = part if grams is None else grams.unionByName(part)
+    grams = words.select(id_col, F.explode(F.array_distinct(F.flatten(F.array(
+        *[word_sequences("_t", n) for n in range(1, longest + 1)])))).alias("canonical_name"))
     return grams.join(gazetteer, "canonical_name")
 
 

@@ -21,6 +21,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hpath)
 
 
+def is_file(spark: SparkSession, path: str) -> bool:
+    fs, hpath = _fs(spark, path)
+    return fs.exists(hpath) and fs.getFileStatus(hpath).isFile()
+
+
 def complete_versions(spark: SparkSession, root: str) -> list[int]:
     """Numbers of the finished versions below ``root``, newest first."""
     fs, hpath = _fs(spark, root)

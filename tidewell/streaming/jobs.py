@@ -18,10 +18,13 @@ from tidewell.plans import snapshots
 
 
 def stream_table(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
-    """A folder of Parquet files (or one file) as a stream; the schema is taken from it."""
+    """A folder of Parquet files, or one file, as a stream; the schema is taken from it."""
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    folder, _, name = path.rpartition("/")
+    if snapshots.is_file(spark, path):
+        return reader.option("pathGlobFilter", name).parquet(folder)
     return reader.parquet(path)
 
 
