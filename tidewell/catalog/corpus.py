@@ -4,11 +4,12 @@ from pyspark.sql import functions as F
 
 from tidewell.catalog.registry import query
 from tidewell.functions import scoring as SC
-from tidewell.functions.text import check_interval, content_hash, lookup
+from tidewell.functions.text import check_interval, content_hash, is_blank, lookup
 from tidewell.operators import ingest as I
 from tidewell.operators import tables as TB
 from tidewell.operators import trust as TR
 from tidewell.plans.blocked import seq_block
+from tidewell.session import fresh_path
 from tidewell.sources import characters as CH
 from tidewell.sources import exports as EX
 from tidewell.sources import pages as P
@@ -179,7 +180,6 @@ select count(*) filter (ok and not existed) as succeeded, count(*) filter (not o
   coalesce(sum(n_chunks) filter (ok and not existed), 0)::bigint as total_chunks
 from (select regexp_matches(text, '\\S') as ok, action in ('unchanged', 'refused') as existed, len(string_split(text, chr(10))) as n_chunks from dec)""")
 def d01(t):
-    from tidewell.functions.text import is_blank
     dec = I.ingest_decision(arriving(t), stored(t))
     res = dec.select((~is_blank("text")).alias("ok"), F.col("action").isin("unchanged", "refused").alias("existed"),
                      F.size(F.split("text", "\n")).alias("n_chunks"))
@@ -309,7 +309,10 @@ def report_json(t):
 
 
 def reports(t):
-    return RP.parse_reports(report_json(t), "value")
+    """The reports written as JSON lines and scanned back."""
+    path = fresh_path(t.spark, "reports")
+    report_json(t).write.text(path)
+    return RP.read_reports(t.spark, path)
 
 
 @query("a06_report_scan", """

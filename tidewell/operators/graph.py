@@ -12,6 +12,7 @@ from tidewell.functions import fixed
 from tidewell.functions.text import resolve_canonical, title_case, tokens
 from tidewell.plans.blocked import with_neighbours
 from tidewell.plans.merge import first_by, last_known
+from tidewell.plans.spread import spread
 from tidewell.plans.topk import top_k
 
 
@@ -197,7 +198,7 @@ def gazetteer_mentions(chunks: DataFrame, gazetteer: DataFrame, *, id_col: str,
     words. Each chunk gives every sequence once, so the join meets no pairs within a
     chunk; a gazetteer small enough is broadcast by its size.
     """
-    words = chunks.select(F.col(id_col), tokens(text_col).alias("_t"))
+    words = spread(chunks.select(id_col, text_col), id_col).select(id_col, tokens(text_col).alias("_t"))
     grams = words.select(id_col, F.explode(F.array_distinct(F.flatten(F.array(
         *[word_sequences("_t", n) for n in range(1, longest + 1)])))).alias("canonical_name"))
     return grams.join(gazetteer, "canonical_name")

@@ -14,6 +14,7 @@ from tidewell.functions import fixed
 from tidewell.functions.scoring import base_trust
 from tidewell.functions.text import check_interval, content_hash, is_blank
 from tidewell.plans.blocked import with_neighbours
+from tidewell.plans.spread import spread
 
 CHARS_PER_TOKEN = 4
 
@@ -107,7 +108,7 @@ def chunk_texts(
             out = out[out["content"].map(len) > 0].explode(["chunk_index", "content"])
             yield out.astype({"chunk_index": "int32"})[[*id_cols, "chunk_index", "content"]]
 
-    cut = docs.select(*id_cols, text_col).mapInPandas(run, schema)
+    cut = spread(docs.select(*id_cols, text_col), id_cols[0]).mapInPandas(run, schema)
     return cut.withColumns({"char_count": F.length("content"), "token_estimate": F.floor(F.length("content") / CHARS_PER_TOKEN)})
 
 

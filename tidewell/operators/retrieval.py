@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.functions import fixed
-from tidewell.functions.text import tokens
+from tidewell.functions.text import token_count, tokens
+from tidewell.plans.spread import spread
 from tidewell.plans.topk import top_k
 from tidewell.session import materialize
 
@@ -31,20 +32,51 @@ QUERY_BLOCK = 512
 
 # --- keyword search ----------------------------------------------------------
 def tokenized(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, toks, doc_len`` without any shuffle."""
-    out = docs.select(F.col(id_col).alias("doc_id"), tokens(text_col).alias("toks"))
+    """``doc_id, toks, doc_len``; large tables are not shuffled."""
+    out = spread(docs.select(id_col, text_col), id_col).select(F.col(id_col).alias("doc_id"), tokens(text_col).alias("toks"))
     return out.withColumn("doc_len", F.size("toks"))
 
 
+def corpus_stats(docs: DataFrame, text_col: str) -> DataFrame:
+    """``n_docs, avg_len`` in one row."""
+    return docs.select(token_count(text_col).alias("n")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n").alias("avg_len"))
+
+
 def build_postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Inverted index ``term, doc_id, tf, doc_len, positions`` to be stored by term.
+    """Inverted index ``term, doc_id, doc_len, positions, tf`` to be stored by term.
 
-    Groups are (term, document) pairs, so none outgrows one text however common
-    its term is.
+    A task turns its Arrow batch of token lists into postings with numpy, so nothing
+    is shuffled to build the index; a posting belongs to one document and cannot
+    outgrow it, however common its term is.
     """
-    placed = tokenized(docs, id_col, text_col).select("doc_id", "doc_len", F.posexplode("toks").alias("pos", "term"))
-    return placed.groupBy("term", "doc_id", "doc_len").agg(
-        F.sort_array(F.collect_list("pos")).alias("positions")).withColumn("tf", F.size("positions"))
+    toks = tokenized(docs, id_col, text_col).select("doc_id", "toks")
+    schema = T.StructType([
+        T.StructField("term", T.StringType()), toks.schema["doc_id"], T.StructField("doc_len", T.IntegerType()),
+        T.StructField("positions", T.ArrayType(T.IntegerType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            coded = lists.flatten().dictionary_encode()
+            code = coded.indices.to_numpy(zero_copy_only=False)
+            sizes = _list_sizes(lists)
+            row = np.repeat(np.arange(batch.num_rows), sizes)
+            place = (np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype("int32")
+            order = np.lexsort((place, code, row))
+            row, code, place = row[order], code[order], place[order]
+            new = np.r_[True, (row[1:] != row[:-1]) | (code[1:] != code[:-1])] if len(code) else np.zeros(0, dtype=bool)
+            start = np.flatnonzero(new)
+            offsets = pa.array(np.r_[start, len(code)].astype("int32"))
+            yield pa.RecordBatch.from_arrays([
+                coded.dictionary.take(pa.array(code[start])), batch.column(0).take(pa.array(row[start])),
+                pa.array(sizes[row[start]].astype("int32")), pa.ListArray.from_arrays(offsets, pa.array(place)),
+            ], names=["term", "doc_id", "doc_len", "positions"])
+
+    return toks.mapInArrow(run, schema).withColumn("tf", F.size("positions"))
+
+
+def _list_sizes(lists: pa.ListArray) -> np.ndarray:
+    return np.nan_to_num(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).astype("int64")
 
 
 def query_phrases(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -93,12 +125,12 @@ def bm25(
     other phrases are looked up for those only, so a query with a very common word
     does not bring in every document that has it.
     """
-    toks = tokenized(docs, doc_id, doc_text)
     phrases = query_phrases(queries, query_id, query_text)
-    hits = phrase_hits(toks, phrases)
-    # Two consumers follow (document frequency, candidates); Spark reuses the exchange.
+    # Written once: document frequencies, candidates and scores all read it, and the
+    # texts are tokenised a single time.
+    hits = materialize(phrase_hits(tokenized(docs, doc_id, doc_text), phrases), "phrase-hits")
     df_ = hits.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
-    corpus = toks.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_len"))
+    corpus = corpus_stats(docs, doc_text)
 
     per_query = phrases.select("query_id", "phrase").join(df_, "phrase", "left")
     plan = per_query.groupBy("query_id").agg(
@@ -134,7 +166,7 @@ def feature_hash_embedding(df: DataFrame, id_col: str, text_col: str, dim: int =
     Tokens are cut by Spark; a task hashes the distinct tokens of an Arrow batch
     once and adds up the buckets with numpy. No token is shuffled.
     """
-    cut = df.select(F.col(id_col), tokens(text_col).alias("toks"))
+    cut = spread(df.select(id_col, text_col), id_col).select(F.col(id_col), tokens(text_col).alias("toks"))
     schema = T.StructType([cut.schema[id_col], T.StructField("embedding", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,8 +177,7 @@ def feature_hash_embedding(df: DataFrame, id_col: str, text_col: str, dim: int =
             bucket = np.array([int(h[:2], 16) % dim for h in digests], dtype="int64")
             sign = np.array([1.0 if h[2] < "8" else -1.0 for h in digests])
             code = coded.indices.to_numpy(zero_copy_only=False)
-            sizes = np.nan_to_num(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).astype("int64")
-            row = np.repeat(np.arange(batch.num_rows), sizes)
+            row = np.repeat(np.arange(batch.num_rows), _list_sizes(lists))
             flat = np.zeros(batch.num_rows * dim)
             if len(code):
                 flat = np.bincount(row * dim + bucket[code], weights=sign[code], minlength=batch.num_rows * dim)

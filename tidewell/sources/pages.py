@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions.text import is_blank, url_host
+from tidewell.plans.spread import spread
 
 MAX_BYTES = 5 * 1024 * 1024
 
@@ -109,9 +110,9 @@ def main_text(html: Column | str) -> Column:
     return F.regexp_replace(x, r"^\s+|\s+$", "")
 
 
-def extract_pages(pages: DataFrame, html_col: str = "html") -> DataFrame:
+def extract_pages(pages: DataFrame, html_col: str = "html", key: str = "url") -> DataFrame:
     """Pages with ``text`` and, where nothing is left, ``error``."""
-    out = pages.withColumn("text", main_text(html_col))
+    out = spread(pages, key).withColumn("text", main_text(html_col))
     return out.withColumn("error", F.when(is_blank("text"), "Empty extraction"))
 
 
