@@ -62,7 +62,7 @@ def e03(t):
 select s.log_id, s.seq from seg s join bounds b using (log_id, seg_no)
 where end_seq is null and seg_no = (select max(seg_no) from seg x where x.log_id = s.log_id)""")
 def e03b(t):
-    return C.encounter_events(log_events(t), block(), keep_open=True).select("log_id", "seq")
+    return C.open_tail(C.with_markers(log_events(t), block())).select("log_id", "seq")
 
 
 @query("d07_encounter_ability_metrics", f"""with {EV_SQL},
@@ -83,8 +83,8 @@ select log_id, enc_seq, enc_end_ms - enc_start_ms as duration_ms, coalesce(dmg,
   round(case when enc_end_ms > enc_start_ms then coalesce(dmg, 0) / ((enc_end_ms - enc_start_ms) / 1000.0::double) else 0 end, 6) as dps
 from bounds left join dmg using (log_id, enc_seq) where end_seq is not null""")
 def d07b(t):
-    ev = log_events(t)
-    got = C.encounter_totals(C.encounters(ev, block()), C.encounter_events(ev, block()))
+    marked = C.with_markers(log_events(t), block())
+    got = C.encounter_totals(C.completed_encounters(marked), C.inside_encounters(marked))
     return got.select("log_id", "enc_seq", "duration_ms", "total_damage", F.round("dps", 6).alias("dps"))
 
 

@@ -156,7 +156,8 @@ def i01(t):
 
 @query("i01_phrase_hits", f"with {TOK_SQL} select phrase, doc_id, doc_len::int as doc_len, tf from hits")
 def i01_hits(t):
-    return R.phrase_hits(R.tokenized(t.documents, "doc_id", "text"), R.query_phrases(t.benchmark, "item_id", "text"))
+    hits = R.phrase_hits(R.tokenized(t.documents, "doc_id", "text"), R.query_phrases(t.benchmark, "item_id", "text"))
+    return hits.where(F.col("phrase") != "")
 
 
 @query("i01_postings", f"""with {TOK_SQL}

@@ -114,11 +114,6 @@ def tokens(text: Column | str) -> Column:
     return F.filter(F.split(folded(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def token_count(text: Column | str) -> Column:
-    """Number of :func:`tokens`, without making them."""
-    return F.regexp_count(F.lower(_c(text)), F.lit(r"[\p{L}\p{N}]+"))
-
-
 def clip_middle(text: Column | str, limit: int = 2000, keep: int = 1000, marker: str = fixed.CLIP_MARKER) -> Column:
     """Text longer than ``limit`` keeps its first and last ``keep`` characters."""
     x = _c(text)

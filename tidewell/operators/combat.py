@@ -20,41 +20,48 @@ from tidewell.plans.blocked import with_neighbours
 START, END = "start", "end"
 
 
-def encounter_events(events: DataFrame, block: Column, *, keep_open: bool = False) -> DataFrame:
-    """Events inside completed encounters, with the encounter's bounds.
-
-    ``kind`` is ``start`` / ``end`` for markers. An event counts when the nearest
-    marker before it is a start and the nearest after it is an end, which says the
-    same as: a new start drops an open encounter, an end without a start is
-    ignored, an unfinished encounter is dropped. ``keep_open`` returns instead the
-    events (and start marker) of the encounter still open at the end of each log.
+def with_markers(events: DataFrame, block: Column) -> DataFrame:
+    """Events with the nearest marker before and after them, in one ordered pass.
 
-    Adds ``enc_seq, enc_start_ms, enc_end_ms`` (sequence number of the start marker
-    and both times). Ties in ``seq`` must not occur within a log.
+    ``kind`` is ``start`` / ``end`` for markers. Ties in ``seq`` must not occur within
+    a log.
     """
     is_marker = F.col("kind").isin(START, END)
     mark = F.when(is_marker, F.struct(F.col("kind").alias("k"), F.col("seq").alias("s"), F.col("ts_ms").alias("t")))
-    around = with_neighbours(events, ["log_id"], ["seq"], block, last_before={"_prev": mark}, first_after={"_next": mark})
-    inside = F.col("_prev.k") == START
-    if keep_open:
-        open_event = ~is_marker & inside & F.col("_next").isNull()
-        open_start = (F.col("kind") == START) & F.col("_next").isNull()
-        return around.where(open_event | open_start).select(*events.columns)
-    return (
-        around.where(~is_marker & inside & (F.col("_next.k") == END))
-        .select(*events.columns, F.col("_prev.s").alias("enc_seq"), F.col("_prev.t").alias("enc_start_ms"),
-                F.col("_next.t").alias("enc_end_ms"))
-    )
-
-
-def encounters(events: DataFrame, block: Column) -> DataFrame:
-    """Completed encounters, also those without any event: a start directly followed by an end."""
-    marks = events.where(F.col("kind").isin(START, END))
-    nxt = with_neighbours(marks, ["log_id"], ["seq"], block, lead={
-        "_n": F.struct(F.col("kind").alias("k"), F.col("ts_ms").alias("t"))})
-    return nxt.where((F.col("kind") == START) & (F.col("_n.k") == END)).select(
-        "log_id", F.col("seq").alias("enc_seq"), F.col("ts_ms").alias("enc_start_ms"), F.col("_n.t").alias("enc_end_ms"),
-        *[c for c in events.columns if c.startswith("enc_")])
+    return with_neighbours(events, ["log_id"], ["seq"], block, last_before={"_prev": mark}, first_after={"_next": mark})
+
+
+def inside_encounters(marked: DataFrame) -> DataFrame:
+    """Events inside completed encounters, with the encounter's bounds.
+
+    An event counts when the marker before it is a start and the one after it is an
+    end, which says the same as: a new start drops an open encounter, an end without
+    a start is ignored, an unfinished encounter is dropped. Adds ``enc_seq,
+    enc_start_ms, enc_end_ms`` (sequence number of the start marker, both times).
+    """
+    inside = ~F.col("kind").isin(START, END) & (F.col("_prev.k") == START) & (F.col("_next.k") == END)
+    return marked.where(inside).withColumns({
+        "enc_seq": F.col("_prev.s"), "enc_start_ms": F.col("_prev.t"), "enc_end_ms": F.col("_next.t")}).drop("_prev", "_next")
+
+
+def completed_encounters(marked: DataFrame) -> DataFrame:
+    """One row per completed encounter, also of those without any event."""
+    done = (F.col("kind") == START) & (F.col("_next.k") == END)
+    named = [c for c in ("enc_id", "enc_name") if c in marked.columns]
+    return marked.where(done).select("log_id", F.col("seq").alias("enc_seq"), F.col("ts_ms").alias("enc_start_ms"),
+                                     F.col("_next.t").alias("enc_end_ms"), *named)
+
+
+def open_tail(marked: DataFrame) -> DataFrame:
+    """Start marker and events of the encounter still open at the end of each log."""
+    last = F.col("_next").isNull()
+    still = last & ((F.col("kind") == START) | (~F.col("kind").isin(START, END) & (F.col("_prev.k") == START)))
+    return marked.where(still).drop("_prev", "_next")
+
+
+def encounter_events(events: DataFrame, block: Column) -> DataFrame:
+    """Events inside completed encounters of raw log events."""
+    return inside_encounters(with_markers(events, block))
 
 
 def ability_breakdown(inside: DataFrame, extra_keys: Sequence[str] = ()) -> DataFrame:

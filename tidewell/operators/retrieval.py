@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.functions import fixed
-from tidewell.functions.text import token_count, tokens
+from tidewell.functions.text import tokens
 from tidewell.plans.spread import spread
 from tidewell.plans.topk import top_k
 from tidewell.session import materialize
@@ -37,11 +37,6 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return out.withColumn("doc_len", F.size("toks"))
 
 
-def corpus_stats(docs: DataFrame, text_col: str) -> DataFrame:
-    """``n_docs, avg_len`` in one row."""
-    return docs.select(token_count(text_col).alias("n")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n").alias("avg_len"))
-
-
 def build_postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Inverted index ``term, doc_id, doc_len, positions, tf`` to be stored by term.
 
@@ -95,25 +90,21 @@ def query_phrases(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def phrase_hits(toks: DataFrame, phrases: DataFrame) -> DataFrame:
     """``phrase, doc_id, doc_len, tf`` for the distinct phrases of all queries.
 
-    One-term phrases are counted by a partial aggregate next to the scan. Longer
-    ones count the starting positions at which every term stands in its place.
+    One pass over the tokens. A phrase of several terms counts the starting
+    positions at which every term stands in its place; one of a single term counts
+    all its positions at once, which the partial aggregate next to the scan does. The
+    empty phrase stands once in every document: its rows give the number and the
+    mean length of the documents.
     """
-    distinct = phrases.select("phrase", "terms").distinct()
-    placed = toks.select("doc_id", "doc_len", F.posexplode("toks").alias("pos", "term"))
-
-    single = distinct.where(F.size("terms") == 1).select("phrase", F.get("terms", F.lit(0)).alias("term"))
-    one = placed.join(single, "term").groupBy("phrase", "doc_id", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
-
-    multi = distinct.where(F.size("terms") > 1).select(
+    placed = toks.select("doc_id", "doc_len", F.posexplode(F.concat(F.array(F.lit("")), "toks")).alias("pos", "term"))
+    every = phrases.sparkSession.range(1).select(F.lit("").alias("phrase"), F.array(F.lit("")).alias("terms"))
+    terms = phrases.select("phrase", "terms").distinct().unionByName(every).select(
         "phrase", F.size("terms").alias("n"), F.posexplode("terms").alias("offset", "term"))
-    starts = (
-        placed.join(multi, "term")
-        .groupBy("phrase", "doc_id", "doc_len", (F.col("pos") - F.col("offset")).alias("start"))
-        .agg(F.count(F.lit(1)).alias("matched"), F.first("n").alias("n"))
-        .where(F.col("matched") == F.col("n"))
-    )
-    many = starts.groupBy("phrase", "doc_id", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
-    return one.unionByName(many)
+    start = F.when(F.col("n") > 1, F.col("pos") - F.col("offset")).otherwise(F.lit(-1))
+    at = placed.join(terms, "term").groupBy("phrase", "doc_id", "doc_len", "n", start.alias("start")).agg(
+        F.count(F.lit(1)).alias("matched"))
+    found = F.when(F.col("n") == 1, F.col("matched")).when(F.col("matched") == F.col("n"), F.lit(1)).otherwise(F.lit(0))
+    return at.groupBy("phrase", "doc_id", "doc_len").agg(F.sum(found).alias("tf")).where(F.col("tf") > 0)
 
 
 def bm25(
@@ -129,8 +120,8 @@ def bm25(
     # Written once: document frequencies, candidates and scores all read it, and the
     # texts are tokenised a single time.
     hits = materialize(phrase_hits(tokenized(docs, doc_id, doc_text), phrases), "phrase-hits")
+    corpus = hits.where(F.col("phrase") == "").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_len"))
     df_ = hits.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
-    corpus = corpus_stats(docs, doc_text)
 
     per_query = phrases.select("query_id", "phrase").join(df_, "phrase", "left")
     plan = per_query.groupBy("query_id").agg(

@@ -13,6 +13,8 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     large ones, stay where they are and are not shuffled. ``key`` must be (nearly)
     unique; hashing it keeps a repeated task deterministic.
     """
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, key) if _scan_bytes(df) < cores * _split_bytes(df) else df
 

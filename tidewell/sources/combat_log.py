@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import text as X
 from tidewell.operators.combat import name_or_unknown
+from tidewell.plans.spread import spread
 
 # --- fixed values: line format and field positions ---------------------------
 LINE = r"^(\d+/\d+\s+\d+:\d+:\d+\.\d+)\s{2}(.+)"
@@ -39,7 +40,7 @@ def parse_lines(lines: DataFrame, *, compat: bool = False) -> DataFrame:
     encounter across midnight negative; the default counts days too.
     """
     line = F.regexp_replace("line", r"(?U)^\s+|\s+$", "")
-    cut = lines.select("log_id", "seq", F.regexp_extract(line, LINE, 1).alias("_t"), F.regexp_extract(line, LINE, 2).alias("_p"))
+    cut = spread(lines, "seq").select("log_id", "seq", F.regexp_extract(line, LINE, 1).alias("_t"), F.regexp_extract(line, LINE, 2).alias("_p"))
     fields = cut.where(F.col("_t") != "").select(
         "log_id", "seq", (X.log_time_ms("_t") if compat else X.log_order_ms("_t")).alias("ts_ms"),
         X.quoted_fields("_p").alias("f"))

@@ -50,13 +50,14 @@ def encounter_step(spark: SparkSession, root: str, block: Callable[[], Column])
 
     def step(batch: DataFrame, number: int) -> None:
         tail = snapshots.read_latest(spark, f"{root}/open", below=number)
-        rows = (batch if tail is None else tail.select(*batch.columns).unionByName(batch)).persist()
-        inside = combat.encounter_events(rows, block())
-        totals = combat.encounter_totals(combat.encounters(rows, block()), inside)
+        rows = batch if tail is None else tail.select(*batch.columns).unionByName(batch)
+        marked = combat.with_markers(rows, block()).persist()
+        inside = combat.inside_encounters(marked)
+        totals = combat.encounter_totals(combat.completed_encounters(marked), inside)
         snapshots.write_version(totals.select("log_id", "enc_seq", "duration_ms", "total_damage", "dps"), f"{root}/totals", number)
         snapshots.write_version(combat.ability_breakdown(inside), f"{root}/abilities", number)
-        snapshots.write_version(combat.encounter_events(rows, block(), keep_open=True), f"{root}/open", number)
-        rows.unpersist()
+        snapshots.write_version(combat.open_tail(marked), f"{root}/open", number)
+        marked.unpersist()
 
     return step
 
