@@ -14,7 +14,9 @@ def _c(col: Column | str) -> Column:
 
 
 def clamp(col: Column | str, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), _c(col)))
+    """Value kept within bounds; null stays null (``greatest`` alone would skip it)."""
+    x = _c(col)
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def base_trust(source_type: Column | str, table: dict[str, float] | None = None) -> Column:
@@ -45,7 +47,8 @@ def recency(created: Column | str, now: Column, fold_days: float = 30.0) -> Colu
     ``created`` may be a timestamp or text; text that is no time counts as unknown.
     """
     stamp = F.try_to_timestamp(_c(created).cast("string"))
-    return F.coalesce(F.exp(-F.greatest(F.lit(0.0), age_days(stamp, now)) / F.lit(fold_days)), F.lit(0.5))
+    known = F.exp(-F.greatest(F.lit(0.0), age_days(stamp, now)) / F.lit(fold_days))
+    return F.when(stamp.isNotNull(), known).otherwise(F.lit(0.5))
 
 
 def composite(similarity: Column | str, recency_: Column | str, quality: Column | str) -> Column:
@@ -93,8 +96,8 @@ def range_accuracy(actual: Column | str, low: Column | str, high: Column | str,
     a, lo, hi = (_c(x).cast("double") for x in (actual, low, high))
     width = F.when(hi - lo > 0, hi - lo).otherwise(F.lit(1.0))
     dist = F.greatest(lo - a, a - hi)
-    return F.when((a >= lo) & (a <= hi), F.lit(1.0)).otherwise(
-        F.greatest(F.lit(0.0), F.lit(1.0) - dist / (width * F.lit(tolerance_pct / 100.0))))
+    return F.when((a >= lo) & (a <= hi), F.lit(1.0)).when(
+        a.isNotNull(), F.greatest(F.lit(0.0), F.lit(1.0) - dist / (width * F.lit(tolerance_pct / 100.0))))
 
 
 def blended_accuracy(accuracy: Column | str, range_acc: Column | str, tier: Column | str) -> Column:

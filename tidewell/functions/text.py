@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import fixed
 
+# White space taken off the ends of log lines and fields.
 # Accented Latin letters (lower case) and what a keyword index folds them to.
+SPACES = " \t\r\n\f\x0b\u00a0\u2028\u2029\u3000"
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 FOLDED = "aaaaaaceeeeiiiinooooouuuuyy"
 
@@ -148,11 +150,11 @@ def quoted_fields(payload: Column | str) -> Column:
     Every second part between quotes lies inside them. One pass over the line.
     """
     mark = "\x01"
-    parts = F.transform(F.split(_c(payload), '"'), lambda p, i: F.when(i % 2 == 0, F.translate(p, ",", mark)).otherwise(p))
+    parts = F.transform(F.split(_c(payload), '"'), lambda p, i: F.when(i % 2 == 0, F.replace(p, F.lit(","), F.lit(mark))).otherwise(p))
     fields = F.split(F.array_join(parts, ""), mark)
     # A trailing empty field is not a field.
     whole = F.when(F.element_at(fields, -1) == "", F.slice(fields, F.lit(1), F.size(fields) - 1)).otherwise(fields)
-    return F.transform(whole, lambda f: F.btrim(f, F.lit(" \t\r\n\f\x0b\u00a0\u3000")))
+    return F.transform(whole, lambda f: F.btrim(f, F.lit(SPACES)))
 
 
 def field_or(fields: Column, index: int, default: str = "") -> Column:
@@ -166,19 +168,25 @@ def safe_int(fields: Column, index: int) -> Column:
     return F.coalesce(F.when(raw.rlike(r"^\s*[+-]?\d+\s*$"), raw.try_cast("bigint")), F.lit(0).cast("bigint"))
 
 
+def _stamp_parts(stamp: Column | str) -> Column:
+    """Month, day, hour, minute, second and fraction of ``M/D HH:MM:SS.fff``."""
+    return F.transform(F.split(F.btrim(_c(stamp)), r"[\s/:.]+"), lambda p: p.try_cast("bigint"))
+
+
 def log_time_ms(stamp: Column | str) -> Column:
     """``M/D HH:MM:SS.fff`` to milliseconds since midnight; the fraction is read as an integer."""
-    t = F.element_at(F.split(F.trim(_c(stamp)), r"\s+"), 2)
-    part = [F.regexp_extract(t, r"^(\d+):(\d+):(\d+)\.(\d+)$", i).try_cast("bigint") for i in (1, 2, 3, 4)]
-    return F.coalesce((part[0] * 3600 + part[1] * 60 + part[2]) * 1000 + part[3], F.lit(0).cast("bigint"))
+    p = _stamp_parts(stamp)
+    ms = (F.get(p, F.lit(2)) * 3600 + F.get(p, F.lit(3)) * 60 + F.get(p, F.lit(4))) * 1000 + F.get(p, F.lit(5))
+    return F.coalesce(ms, F.lit(0).cast("bigint"))
 
 
 def log_order_ms(stamp: Column | str) -> Column:
     """As :func:`log_time_ms`, but counting days too, so a fight may cross midnight."""
-    day = F.split(F.regexp_extract(_c(stamp), r"^(\d+/\d+)", 1), "/")
-    # 2024 is a leap year, so 2/29 parses.
-    date = F.make_date(F.lit(2024), F.get(day, 0).try_cast("int"), F.get(day, 1).try_cast("int"))
-    return F.datediff(date, F.lit("2024-01-01").cast("date")).cast("bigint") * 86_400_000 + log_time_ms(stamp)
+    p = _stamp_parts(stamp)
+    # 2024 is a leap year, so 2/29 is a date; an impossible date counts as the first day.
+    date = F.try_make_timestamp(F.lit(2024), F.get(p, F.lit(0)).cast("int"), F.get(p, F.lit(1)).cast("int"), F.lit(0), F.lit(0), F.lit(0))
+    days = F.coalesce(F.datediff(date.cast("date"), F.lit("2024-01-01").cast("date")), F.lit(0))
+    return days.cast("bigint") * 86_400_000 + log_time_ms(stamp)
 
 
 def talent_totals(text: Column | str) -> Column:

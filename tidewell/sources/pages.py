@@ -63,11 +63,13 @@ NAMED = {
     "bull": "•", "hellip": "…", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”",
     "laquo": "«", "raquo": "»", "deg": "°", "times": "×", "euro": "€", "pound": "£", "sect": "§",
 }
+# Inside of a tag; a quoted attribute value may hold a ">".
+ATTRS = r"""[^>=]*(?:=\s*(?:"[^"]*"|'[^']*'|[^>"'\s]?)[^>=]*)*"""
 DROPPED_MARKUP = r"(?is)<!--.*?-->|" + "|".join(rf"<{t}\b.*?</{t}\s*>" for t in SKIPPED)
-MAIN_PART = r"(?is)<(?:article|main)\b[^>]*>(.*)</(?:article|main)\s*>"
-PARAGRAPH = r"(?i)</?(?:p|div|section|article|blockquote|pre|table|ul|ol|dl|h[1-6])\b[^>]*>"
-LINE_END = r"(?i)<(?:br|li|tr|dt|dd|hr)\b[^>]*>"
-ANY_TAG = r"(?s)<[a-zA-Z/!?][^>]*>"
+MAIN_PART = rf"(?is)<(?:article|main)\b{ATTRS}>(.*)</(?:article|main)\s*>"
+PARAGRAPH = rf"(?i)</?(?:p|div|section|article|blockquote|pre|table|ul|ol|dl|h[1-6])\b{ATTRS}>"
+LINE_END = rf"(?i)<(?:br|li|tr|dt|dd|hr)\b{ATTRS}>"
+ANY_TAG = rf"(?s)<[a-zA-Z/!?]{ATTRS}>"
 
 
 def unescape(text: Column) -> Column:
@@ -101,7 +103,7 @@ def main_text(html: Column | str) -> Column:
     x = F.regexp_replace(x, r"\s+", " ")
     for level in (1, 2, 3, 4):
         tag = f"h{level}" if level < 4 else "h[4-6]"
-        x = F.regexp_replace(x, rf"(?i)<{tag}\b[^>]*>", f"\n\n{'#' * level} ")
+        x = F.regexp_replace(x, rf"(?i)<{tag}\b{ATTRS}>", f"\n\n{'#' * level} ")
     x = F.regexp_replace(x, PARAGRAPH, "\n\n")
     x = F.regexp_replace(x, LINE_END, "\n")
     x = unescape(F.regexp_replace(x, ANY_TAG, ""))
