@@ -11,7 +11,7 @@ from tidewell.operators import editorial as ED
 from tidewell.operators import evals as EV
 from tidewell.operators import graph as G
 from tidewell.operators import memory as ME
-from tidewell.plans.blocked import seq_block
+from tidewell.plans.blocked import balanced_block, seq_block
 from tidewell.sources import exports as EX
 
 
@@ -332,7 +332,7 @@ select source, value, row_number() over (partition by source order by first_at)
 def g03(t):
     v = findings(t).withColumn("value", F.concat("lang", (F.length("line") % 9).cast("string")))
     firsts = ED.distinct_in_order(v, "source", "value", F.col("seq"))
-    return ED.numbered(firsts, "source", F.floor(F.col("first_at") / 10_000_000)).select("source", "value", "position")
+    return ED.numbered(firsts, "source", seq_block("first_at")).select("source", "value", "position")
 
 
 # --- memories ----------------------------------------------------------------
@@ -392,7 +392,7 @@ def f05(t):
 with r as (select conv_id, turn, sum(length(text)) over (partition by conv_id order by turn) as running_chars from conversations)
 select conv_id, turn, running_chars::bigint as running_chars from r where running_chars <= 2000""")
 def e08(t):
-    return ME.within_budget(t.conversations, "conv_id", "turn", "text", seq_block("turn", 4)).select("conv_id", "turn", "running_chars")
+    return ME.within_budget(t.conversations, "conv_id", "turn", "text", balanced_block(t.conversations, "turn")).select("conv_id", "turn", "running_chars")
 
 
 @query("e09_history_trim", "select conv_id, turn from (select *, row_number() over (partition by conv_id order by turn desc) as r from conversations) where r <= 3")
@@ -470,14 +470,14 @@ def calls(t):
     return t.events.select("user_id", "event_id", F.col("event_type").alias("tool_name"), "props")
 
 
-def call_block():
-    return seq_block("event_id", 4096)
+def call_block(t):
+    return balanced_block(t.events, "event_id")
 
 
 @query("e05_repeat_flag", """
 select user_id, event_id, coalesce(event_type = lag(event_type) over (partition by user_id order by event_id), false) as is_repeat from events""")
 def e05(t):
-    return EV.with_repeats(calls(t), "user_id", "event_id", call_block()).select("user_id", "event_id", "is_repeat")
+    return EV.with_repeats(calls(t), "user_id", "event_id", call_block(t)).select("user_id", "event_id", "is_repeat")
 
 
 @query("e06_tail_runs", """
@@ -486,7 +486,7 @@ m as (select user_id, any_value(event_type) filter (r = 1) as call, min(r) filte
       from (select *, first_value(event_type) over (partition by user_id order by r) as last_type from l) group by 1)
 select user_id, call, coalesce(brk - 1, n) as run_length from m where coalesce(brk - 1, n) >= 2""")
 def e06(t):
-    return EV.tail_runs(calls(t), "user_id", "event_id", call_block(), F.col("tool_name"), 2)
+    return EV.tail_runs(calls(t), "user_id", "event_id", call_block(t), F.col("tool_name"), 2)
 
 
 @query("d13_trajectory_precision", """
@@ -496,7 +496,7 @@ select c_custkey as user_id, coalesce(x, 1.0)::double as trajectory_precision fr
 def d13(t):
     questions = t.customer.select(F.col("c_custkey").alias("user_id"))
     expected = t.events.select("user_id", F.col("event_type").alias("tool_name")).where(F.col("tool_name").isin("click", "view"))
-    got = EV.trajectory_precision(questions, calls(t), expected, "user_id", "event_id", call_block())
+    got = EV.trajectory_precision(questions, calls(t), expected, "user_id", "event_id", call_block(t))
     return got.withColumn("trajectory_precision", F.round("trajectory_precision", 6))
 
 

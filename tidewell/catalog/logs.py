@@ -8,12 +8,9 @@ from tidewell.functions.text import lookup
 from tidewell.operators import combat as C
 from tidewell.operators import drift as D
 from tidewell.operators.tables import drop_trash
-from tidewell.plans.blocked import seq_block
+from tidewell.plans.blocked import balanced_block
 from tidewell.sources import combat_log as L
 
-WIDTH = 4096
-
-
 def log_events(t):
     """Users as logs: signup starts and purchase ends an encounter; the rest acts."""
     e = t.events.select(
@@ -32,8 +29,9 @@ def aura_events(t):
     return log_events(t).withColumn("kind", kind).withColumn("ability", F.concat(F.lit("b"), (F.col("k") % 2).cast("string")))
 
 
-def block():
-    return seq_block("seq", WIDTH)
+def block(t):
+    return balanced_block(log_events(t), "seq")
+
 
 
 EV_SQL = """
@@ -55,14 +53,14 @@ inside as (
 
 @query("e03_encounter_segments", f"with {EV_SQL} select log_id, seq, enc_seq, enc_start_ms, enc_end_ms from inside")
 def e03(t):
-    return C.encounter_events(log_events(t), block()).select("log_id", "seq", "enc_seq", "enc_start_ms", "enc_end_ms")
+    return C.encounter_events(log_events(t), block(t)).select("log_id", "seq", "enc_seq", "enc_start_ms", "enc_end_ms")
 
 
 @query("e03_open_encounters", f"""with {EV_SQL}
 select s.log_id, s.seq from seg s join bounds b using (log_id, seg_no)
 where end_seq is null and seg_no = (select max(seg_no) from seg x where x.log_id = s.log_id)""")
 def e03b(t):
-    return C.open_tail(C.with_markers(log_events(t), block())).select("log_id", "seq")
+    return C.open_tail(C.with_markers(log_events(t), block(t))).select("log_id", "seq")
 
 
 @query("d07_encounter_ability_metrics", f"""with {EV_SQL},
@@ -73,7 +71,7 @@ select log_id, enc_seq, ability, damage, casts, round(case when sum(damage) over
   then damage / (sum(damage) over w)::double * 100 else 0 end, 6) as damage_pct
 from per window w as (partition by log_id, enc_seq)""")
 def d07(t):
-    got = C.ability_breakdown(C.encounter_events(log_events(t), block()))
+    got = C.ability_breakdown(C.encounter_events(log_events(t), block(t)))
     return got.select("log_id", "enc_seq", "ability", "damage", "casts", F.round("damage_pct", 6).alias("damage_pct"))
 
 
@@ -83,7 +81,7 @@ select log_id, enc_seq, enc_end_ms - enc_start_ms as duration_ms, coalesce(dmg,
   round(case when enc_end_ms > enc_start_ms then coalesce(dmg, 0) / ((enc_end_ms - enc_start_ms) / 1000.0::double) else 0 end, 6) as dps
 from bounds left join dmg using (log_id, enc_seq) where end_seq is not null""")
 def d07b(t):
-    marked = C.with_markers(log_events(t), block())
+    marked = C.with_markers(log_events(t), block(t))
     got = C.encounter_totals(C.completed_encounters(marked), C.inside_encounters(marked))
     return got.select("log_id", "enc_seq", "duration_ms", "total_damage", F.round("dps", 6).alias("dps"))
 
@@ -107,7 +105,7 @@ select log_id, enc_seq, ability, seq, ts_ms, until_ms, coalesce(until_ms - ts_ms
 def e04(t):
     day = F.floor(F.col("ts_ms") / 86_400_000) * 86_400_000
     by_day = aura_events(t).withColumn("enc_seq", day).withColumn("enc_start_ms", day).withColumn("enc_end_ms", day + 86_400_000)
-    return C.aura_intervals(by_day, block()).select("log_id", "enc_seq", "ability", "seq", "ts_ms", "until_ms", "active_ms")
+    return C.aura_intervals(by_day, block(t)).select("log_id", "enc_seq", "ability", "seq", "ts_ms", "until_ms", "active_ms")
 
 
 @query("d08_aura_uptime", f"""with {EV_SQL}, {AURA_SQL.format(src='inside')}
@@ -115,7 +113,7 @@ select log_id, enc_seq, ability, sum(coalesce(until_ms - ts_ms, 0))::bigint as a
   round(sum(coalesce(until_ms - ts_ms, 0)) / any_value(enc_end_ms - enc_start_ms)::double, 6) as uptime
 from spans where enc_end_ms > enc_start_ms group by 1, 2, 3""")
 def d08(t):
-    spans = C.aura_intervals(C.encounter_events(aura_events(t), block()), block())
+    spans = C.aura_intervals(C.encounter_events(aura_events(t), block(t)), block(t))
     return C.aura_uptime(spans).select("log_id", "enc_seq", "ability", "active_ms", F.round("uptime", 6).alias("uptime"))
 
 
@@ -261,9 +259,7 @@ w as (select user_id, sum(amount)::bigint as whole from r group by 1)
 select user_id, ability, sum(amount)::bigint as total, round(sum(amount) / any_value(whole)::double * 100, 6) as share_pct
 from r join w using (user_id) where ability is not null group by 1, 2""")
 def d06(t):
-    rows = ability_rows(t)
-    whole = rows.groupBy("user_id").agg(F.sum("amount").alias("whole"))
-    got = C.ability_totals(rows.join(whole, "user_id"), ["user_id"], "k", "amount", "whole", SPELLS)
+    got = C.ability_totals(ability_rows(t), ["user_id"], "k", "amount", of_all=True, names=SPELLS)
     return got.withColumn("share_pct", F.round("share_pct", 6))
 
 
@@ -295,7 +291,7 @@ p as (select *, lag(gear) over w as old_value, lag(event_id) over w as from_repo
 select user_id, from_report, event_id as to_report, old_value, gear as new_value from p where old_value is not null and old_value <> gear""")
 def e02(t):
     s = t.events.select("user_id", "event_id", F.when(F.col("event_type") != "error", F.col("props")).alias("gear"))
-    return C.snapshot_changes(s, ["user_id"], ["event_id"], seq_block("event_id", WIDTH), "gear", "event_id")
+    return C.snapshot_changes(s, ["user_id"], ["event_id"], balanced_block(t.events, "event_id"), "gear", "event_id")
 
 
 # --- drift -------------------------------------------------------------------

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tidewell.catalog.corpus import now
 from tidewell.catalog.knowledge import STRAT_SQL, shown_strategies
-from tidewell.catalog.logs import EV_SQL, WIDTH
+from tidewell.catalog.logs import EV_SQL
 from tidewell.catalog.registry import query
 from tidewell.operators import ingest as I
 from tidewell.plans import snapshots as S
@@ -23,16 +23,12 @@ class Streamed:
         return J.stream_table(self.t.spark, self.t.path(name))
 
 
-def block():
-    return seq_block("seq", WIDTH)
-
-
 @query("k01_streaming_encounters", f"""with {EV_SQL},
 dmg as (select log_id, enc_seq, sum(amount)::bigint as dmg from inside where kind = 'damage' group by 1, 2)
 select log_id, enc_seq, enc_end_ms - enc_start_ms as duration_ms, coalesce(dmg, 0) as total_damage from bounds left join dmg using (log_id, enc_seq) where end_seq is not null""")
 def k01(t):
     from tidewell.catalog.logs import log_events
-    totals, _ = J.stream_encounters(t.spark, log_events(Streamed(t)), fresh_path(t.spark, "k01"), block)
+    totals, _ = J.stream_encounters(t.spark, log_events(Streamed(t)), fresh_path(t.spark, "k01"), lambda: seq_block("seq"))
     return totals.select("log_id", "enc_seq", "duration_ms", "total_damage")
 
 

@@ -132,20 +132,17 @@ def unmapped(rows: DataFrame, id_col: str, names: dict | None = None) -> DataFra
     return rows.where(lookup(id_col, table).isNull())
 
 
-def ability_totals(rows: DataFrame, keys: Sequence[str], id_col: str, total_col: str, grand_total: str | None = None,
+def ability_totals(rows: DataFrame, keys: Sequence[str], id_col: str, total_col: str, *, of_all: bool = False,
                    names: dict | None = None) -> DataFrame:
     """Totals by mapped name, ranks of one ability added up, with their share.
 
-    ``grand_total`` names a column with the whole amount per key (the share is of
-    that, mapped or not); without it the share is of the mapped amount.
+    The share is of the mapped amount, or with ``of_all`` of the whole amount. Only
+    aggregated rows are joined.
     """
-    known = known_abilities(rows, id_col, names)
-    whole = [] if grand_total is None else [F.max(grand_total).alias("_whole")]
-    per = known.groupBy(*keys, "ability").agg(F.sum(total_col).alias("total"), *whole)
-    if grand_total is None:
-        sums = per.groupBy(*keys).agg(F.sum("total").alias("_whole"))
-        per = per.join(sums, list(keys))
-    return per.withColumn("share_pct", share_pct("total", "_whole")).drop("_whole")
+    per = known_abilities(rows, id_col, names).groupBy(*keys, "ability").agg(F.sum(total_col).alias("total"))
+    base, amount = (rows, total_col) if of_all else (per, "total")
+    whole = base.groupBy(*keys).agg(F.sum(amount).alias("_whole"))
+    return per.join(whole, list(keys)).withColumn("share_pct", share_pct("total", "_whole")).drop("_whole")
 
 
 def actor_names(rows: DataFrame, actors: DataFrame, id_col: str, actor_id: str, actor_name: str, out: str = "player_name") -> DataFrame:

@@ -54,16 +54,17 @@ def tier_breakdown(results: DataFrame) -> DataFrame:
 
 
 def tail_runs(calls: DataFrame, key: str, step: str, block: Column, call: Column, n: int = 3) -> DataFrame:
-    """Trajectories whose last ``n`` calls are identical.
+    """Trajectories whose last ``n`` calls are identical, with the length of that run.
 
-    The end of the last different call is found by one ordered pass; the run after it
-    is counted by an aggregate.
+    One ordered pass numbers the calls and marks where they change; the run is what
+    follows the last change, so two aggregates give its length without a join.
     """
-    prev = with_neighbours(calls.withColumn("_call", call), [key], [step], block, lag={"_prev": F.struct(F.col("_call").alias("c"))})
+    marked = with_neighbours(calls.withColumn("_call", call), [key], [step], block,
+                             lag={"_prev": F.struct(F.col("_call").alias("c"))}, running_sum={"_rn": F.lit(1)})
     change = F.col("_prev").isNull() | ~F.col("_prev.c").eqNullSafe(F.col("_call"))
-    last_change = prev.groupBy(key).agg(F.max(F.when(change, F.col(step))).alias("run_start"), F.max_by("_call", F.col(step)).alias("call"))
-    length = prev.join(last_change, key).where(F.col(step) >= F.col("run_start")).groupBy(key).agg(F.count(F.lit(1)).alias("run_length"))
-    return last_change.join(length, key).where(F.col("run_length") >= n).select(key, "call", "run_length")
+    per = marked.groupBy(key).agg(F.max_by("_call", F.col(step)).alias("call"), F.max("_rn").alias("_all"),
+                                  F.max(F.when(change, F.col("_rn"))).alias("_start"))
+    return per.select(key, "call", (F.col("_all") - F.col("_start") + 1).alias("run_length")).where(F.col("run_length") >= n)
 
 
 def total_repeats(calls: DataFrame, key: str, call: Column, n: int = 3) -> DataFrame:

@@ -61,7 +61,7 @@ def merge_relationships(found: DataFrame) -> DataFrame:
         first_by("source_chunk", order).alias("source_chunk"))
 
 
-def resolve_endpoints(edges: DataFrame, entities: DataFrame, block: int = 4096) -> DataFrame:
+def resolve_endpoints(edges: DataFrame, entities: DataFrame, block: int = 1 << 16) -> DataFrame:
     """Entity ids for edges given by names.
 
     ``edges``: ``doc, edge_id, chunk_seq, source_name, target_name, ...``;

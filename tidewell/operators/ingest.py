@@ -192,6 +192,10 @@ def exact_duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def without_duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The first document of every distinct text; only ids and hashes are shuffled."""
+    """The first document of every distinct text.
+
+    Ids and hashes decide; the texts themselves move only when the list of kept ids is
+    too large for Spark to broadcast.
+    """
     kept = exact_duplicates(docs, id_col, text_col).select(F.col("kept_id").alias(id_col))
     return docs.join(kept, id_col, "left_semi")

@@ -22,18 +22,34 @@ from pyspark.sql.window import Window
 BLOCK = "_block"
 
 
-def time_block(ts: str | Column, seconds: int = 3600) -> Column:
+def time_block(ts: str | Column, seconds: int = 6 * 3600) -> Column:
     """Block number of a timestamp column."""
     col = F.col(ts) if isinstance(ts, str) else ts
     return F.floor(F.unix_micros(col.cast("timestamp")) / F.lit(seconds * 1_000_000))
 
 
-def seq_block(seq: str | Column, width: int = 4096) -> Column:
+def seq_block(seq: str | Column, width: int = 1 << 20) -> Column:
     """Block number of an integer sequence column."""
     col = F.col(seq) if isinstance(seq, str) else seq
     return F.floor(col / F.lit(width))
 
 
+# Blocks over the whole range of a sequence, and the least width of one.
+BLOCKS, LEAST_WIDTH = 1 << 16, 4096
+
+
+def balanced_block(df: DataFrame, seq: str) -> Column:
+    """Block of a sequence column whose width follows the range of the data.
+
+    At most ``BLOCKS`` blocks exist, which bounds the summary rows of a key, and a
+    block holds at most 1/``BLOCKS`` of the range, which bounds the rows of a key in
+    one window. Reads the column once.
+    """
+    ends = df.agg(F.min(seq).alias("lo"), F.max(seq).alias("hi")).first()
+    span = (ends["hi"] - ends["lo"] + 1) if ends["lo"] is not None else 1
+    return seq_block(seq, max(LEAST_WIDTH, -(-span // BLOCKS)))
+
+
 def _as_col(value: str | Column) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
