@@ -61,6 +61,15 @@ def test_chunk_texts_frame(spark):
     assert all(r.char_count == len(r.content) and r.token_estimate == len(r.content) // 4 for r in got)
 
 
+def test_chunk_text_in_sql(spark):
+    from tidewell.functions import sql
+
+    sql.register(spark)
+    spark.createDataFrame([(1, "word " * 1000), (2, None)], "id int, text string").createOrReplaceTempView("chunk_docs")
+    got = spark.sql("select id, c.chunk_index, c.content from chunk_docs, lateral chunk_text(text) c order by id, chunk_index").collect()
+    assert [r.content for r in got] == chunks("word " * 1000) and {r.id for r in got} == {1}
+
+
 SOURCES = ("url string, title string, source_type string, content_hash string, content_hash_previous string, change_count int, is_stale boolean, "
            "trust_score double, check_interval_hours int, fetched_at timestamp, last_checked timestamp")
 

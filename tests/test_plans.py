@@ -93,3 +93,15 @@ def test_versions_and_backups(spark, tmp_path):
     assert [r.intact for r in S.verify_backup(changed, backups, "20240102-000000").orderBy("table_name").collect()] == [False, True]
     assert S.prune_backups(spark, backups, 2) == ["20240101-000000"]
     assert S.list_backups(spark, backups) == ["20240103-000000", "20240102-000000"]
+
+
+def test_work_folder(spark, monkeypatch):
+    from tidewell import session
+
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        assert session.work_dir(spark) == configured.rstrip("/")
+    monkeypatch.setattr(session, "CHECKPOINT_CONF", "spark.tidewell.unset")
+    assert session.work_dir(spark) == session.work_dir(spark) and session.work_dir(spark).startswith("/tmp/run-")
+    df = session.materialize(spark.range(5), "t")
+    assert df.count() == 5 and "Scan parquet" in df._jdf.queryExecution().executedPlan().toString()

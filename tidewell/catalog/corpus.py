@@ -10,6 +10,7 @@ from tidewell.operators import tables as TB
 from tidewell.operators import trust as TR
 from tidewell.plans.blocked import seq_block
 from tidewell.session import fresh_path
+from tidewell.sources import articles as AR
 from tidewell.sources import characters as CH
 from tidewell.sources import exports as EX
 from tidewell.sources import pages as P
@@ -386,6 +387,22 @@ def j08g(t):
     return RP.ranking_rows(answers).select("encounter_id", "player_name", "dps", "report_code", "server_region")
 
 
+# --- articles
+@query("a08_article_scan", r"""
+select 'd' || doc_id as path, source || ': ' || doc_id as title, lang as spec, 'draft' as status, n_chars / 1000000.0::double as confidence, 2 as n_tags,
+  'https://' || source as first_source, regexp_replace(text, '^\s+|\s+$', '', 'g') as body,
+  case when n_chars > 1000000 then 'confidence out of range' end as error from documents""")
+def a08(t):
+    """Documents written as Markdown with a YAML front matter and read back."""
+    front = F.concat(
+        F.lit('---\ntitle: "'), "source", F.lit(": "), F.col("doc_id").cast("string"), F.lit('"\nspec: '), "lang", F.lit("\nconfidence: "),
+        F.format_number(F.col("n_chars") / 1_000_000, 6), F.lit("\nsources:\n- url: https://"), "source",
+        F.lit("\n  trust: 0.5\ntags:\n- "), "lang", F.lit("\n- guide\n---\n\n"), "text")
+    raw = t.documents.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), front.alias("text"))
+    got = AR.parse_articles(raw, "path", "text")
+    return got.select("path", "title", "spec", "status", "confidence", F.size("tags").alias("n_tags"), F.col("sources")[0]["url"].alias("first_source"), "body", "error")
+
+
 # --- questions, exports ------------------------------------------------------
 @query("a07_question_scan", """
 select 'q' || conv_id || '-' || turn as id, text as question, '' as ground_truth, len(string_split(text, ' ')) as n_facts from conversations where role = 'user'""")

@@ -552,7 +552,10 @@ def a09(t):
     return EX.to_sharegpt(EX.scored_traces(traces(t), trace_scores(t)), "You help.")
 
 
-@query("a09_function_calling_export")
+@query("a09_function_calling_export", r"""
+select event_id as trace_id, '{"messages":[{"role":"system","content":"You help."},{"role":"user","content":"user ' || user_id || '"},' ||
+  '{"role":"assistant","tool_calls":[{"id":"call_1","type":"function","function":{"name":"' || event_type || '","arguments":' || to_json(props)::varchar || '}}]},' ||
+  '{"role":"tool","content":"' || value || '","tool_call_id":"call_1"},{"role":"assistant","content":"' || event_type || '"}]}' as value from events""")
 def a09b(t):
     """Every event a trace with its own observation of the tool used."""
     obs = F.array(

@@ -25,7 +25,7 @@ def parse_articles(raw: DataFrame, path_col: str, text_col: str) -> DataFrame:
     """Articles out of a text column; the YAML reader runs per Arrow batch."""
     front = r"(?s)^\s*---\s*\n(.*?)\n---\s*(?:\n|$)(.*)$"
     cut = raw.select(F.col(path_col).alias("path"), F.regexp_extract(text_col, front, 1).alias("front"),
-                     F.when(F.col(text_col).rlike(front), F.trim(F.regexp_extract(text_col, front, 2))).otherwise(F.col(text_col)).alias("body"))
+                     F.when(F.col(text_col).rlike(front), F.regexp_replace(F.regexp_extract(text_col, front, 2), r"^\s+|\s+$", "")).otherwise(F.col(text_col)).alias("body"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import json
