@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.plans.spread import spread
+
 META = (
     "title string, spec string, category string, status string, confidence double, created_at string, updated_at string, "
     "sources array<struct<url:string,trust:double>>, claims array<struct<text:string,verified:boolean,evidence:array<string>>>, "
@@ -24,7 +26,7 @@ def read_articles(spark: SparkSession, path: str) -> DataFrame:
 def parse_articles(raw: DataFrame, path_col: str, text_col: str) -> DataFrame:
     """Articles out of a text column; the YAML reader runs per Arrow batch."""
     front = r"(?s)^\s*---\s*\n(.*?)\n---\s*(?:\n|$)(.*)$"
-    cut = raw.select(F.col(path_col).alias("path"), F.regexp_extract(text_col, front, 1).alias("front"),
+    cut = spread(raw, path_col).select(F.col(path_col).alias("path"), F.regexp_extract(text_col, front, 1).alias("front"),
                      F.when(F.col(text_col).rlike(front), F.regexp_replace(F.regexp_extract(text_col, front, 2), r"^\s+|\s+$", "")).otherwise(F.col(text_col)).alias("body"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -34,11 +36,12 @@ def parse_articles(raw: DataFrame, path_col: str, text_col: str) -> DataFrame:
             import yaml
         except ImportError as exc:
             raise RuntimeError("reading YAML front matter needs the yaml package on the executors") from exc
+        loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
         for pdf in parts:
             metas, errors = [], []
             for text in pdf["front"]:
                 try:
-                    metas.append(json.dumps(yaml.safe_load(text) or {}, default=str))
+                    metas.append(json.dumps(yaml.load(text, Loader=loader) or {}, default=str))
                     errors.append(None)
                 except yaml.YAMLError:
                     metas.append(None)
