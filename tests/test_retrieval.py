@@ -90,6 +90,17 @@ def test_hybrid_keeps_ranks_of_stale_candidates(spark):
     assert [(r.doc_id, round(r.rrf_score, 9)) for r in only] == [(3, round(1 / 60, 9)), (2, round(1 / 61, 9))]
 
 
+def test_search_routes(spark):
+    docs = spark.createDataFrame([(1, "old"), (2, "new"), (3, "new")], "doc_id int, source string")
+    src = spark.createDataFrame([("old", True), ("new", False)], "source string, is_stale boolean")
+    q = spark.createDataFrame([(0, "w", [1.0]), (1, "  ", [1.0]), (2, "w", []), (3, "w", None), (4, "!?", [1.0])], "query_id int, text string, query_embedding array<double>")
+    kw = spark.createDataFrame([(i, 2, 0) for i in (0, 2, 3)], "query_id int, doc_id int, rank0 int")
+    vec = spark.createDataFrame([(i, d, 1.0 / d, d - 1) for i in (0, 1, 4) for d in (1, 2, 3)], "query_id int, doc_id int, similarity double, rank0 int")
+    got = {(r.query_id, r.doc_id): round(r.rrf_score, 9) for r in R.search(q, kw, vec, docs, src).collect()}
+    assert got == {(0, 2): round(1 / 60 + 1 / 61, 9), (0, 3): round(1 / 62, 9), (1, 2): round(1 / 60, 9), (1, 3): round(1 / 61, 9),
+                   (4, 2): round(1 / 61, 9), (4, 3): round(1 / 62, 9)}
+
+
 def test_rerank(spark):
     rows = [(0, d, d) for d in range(6)] + [(1, 10, 0), (1, 11, 1)] + [(2, 20 + d, d) for d in range(7)]
     df = spark.createDataFrame(rows, "query_id int, doc_id int, prior int")

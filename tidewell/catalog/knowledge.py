@@ -241,8 +241,8 @@ def d25(t):
 
 
 @query("j11_claim_check", f"""with {LINES_SQL},
-c as (select doc_id, round(greatest(0, least(1, avg(confidence) - 0.15::double * count(*) filter (status = 'contradicted'))), 6)::double as confidence from vd group by 1)
-select doc_id, confidence, round(confidence, 4) >= 0.6 as approved from c""")
+c as (select doc_id, greatest(0, least(1, avg(confidence) - 0.15::double * count(*) filter (status = 'contradicted'))) as confidence from vd group by 1)
+select doc_id, round(confidence, 6)::double as confidence, round(confidence, 9) >= 0.6 as approved from c""")
 def j11(t):
     got, _, _ = ED.claim_check(verdicts(t).withColumn("note", F.lit("x")), "doc_id", "line")
     return got.select("doc_id", F.round("confidence", 6).alias("confidence"), "approved")
@@ -511,6 +511,21 @@ def d28b(t):
     return EV.token_budget(t.conversations, "conv_id", ["text", "role"], 500)
 
 
+@query("d28_loop_report", """
+with s as (select *, md5(text) as h from conversations),
+t as (select conv_id, count(*) as times from s group by conv_id, role, h),
+m as (select conv_id, max(times) as times from t group by 1),
+b as (select conv_id, sum(length(text)) // 4 > 400 as over_budget from conversations group by 1),
+l as (select conv_id, role || h as call, row_number() over (partition by conv_id order by turn desc) as r from s),
+k as (select conv_id, count(*) = 2 and count(distinct call) = 1 as stuck from l where r <= 2 group by 1)
+select conv_id, case when stuck then 'stuck' when times >= 2 then 'looping' when over_budget then 'over budget' end as problem
+from m join b using (conv_id) join k using (conv_id)""")
+def d28c(t):
+    c = t.conversations.withColumn("h", F.md5("text"))
+    return EV.loop_report(c, "conv_id", "turn", balanced_block(t.conversations, "turn"), F.concat("role", "h"), ["text"],
+                          n_tail=2, n_total=2, budget=400).select("conv_id", "problem")
+
+
 @query("h21_compact_observations", """
 with r as (select *, row_number() over (partition by conv_id order by turn desc) as rn from conversations)
 select conv_id, turn, case when rn <= 2 then text else '[Summarized] [' || role || '] ' || case when length(text) > 200 then left(text, 100) || '... [truncated] ...' || right(text, 100) else text end end as text from r""")

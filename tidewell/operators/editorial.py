@@ -106,7 +106,7 @@ def contradiction_events(articles: DataFrame, verdicts: DataFrame, sources: Data
 def claim_check(verdicts: DataFrame, key: str, claim: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(confidence and approval per article, corrections, research gaps)."""
     v = failed_as_unsupported(verdicts)
-    result = article_confidence(v, key).withColumn("approved", F.round("confidence", 4) >= APPROVAL)
+    result = article_confidence(v, key).withColumn("approved", F.round("confidence", 9) >= APPROVAL)
     corrections = v.where(F.col("status") == "contradicted").select(
         key, F.concat(F.lit("Claim '"), F.col(claim), F.lit("' contradicted: "), F.coalesce("note", F.lit(""))).alias("correction"))
     gaps = v.where(F.col("status") == "unsupported").select(key, F.col(claim).alias("gap"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewell.functions import fixed
 from tidewell.functions.text import first_number
 from tidewell.plans.blocked import with_neighbours
+from tidewell.plans.topk import top_k
 
 
 def faithfulness(claims: DataFrame, key: str) -> DataFrame:
@@ -80,13 +81,21 @@ def token_budget(calls: DataFrame, key: str, texts: list[str], budget: int) -> D
     return calls.groupBy(key).agg(F.floor(F.sum(chars) / 4).alias("tokens")).withColumn("over_budget", F.col("tokens") > budget)
 
 
+def loop_report(calls: DataFrame, key: str, step: str, block: Column, call: Column, texts: list[str], *, n_tail: int = 3,
+                n_total: int = 3, budget: int = 100_000) -> DataFrame:
+    """One row per trajectory with its first ``problem``: stuck, looping, over budget, or null."""
+    stuck = tail_runs(calls, key, step, block, call, n_tail).select(key, F.lit(True).alias("_stuck"))
+    looping = total_repeats(calls, key, call, n_total).select(key).distinct().withColumn("_looping", F.lit(True))
+    out = token_budget(calls, key, texts, budget).join(stuck, key, "left").join(looping, key, "left")
+    problem = F.when(F.col("_stuck"), "stuck").when(F.col("_looping"), "looping").when(F.col("over_budget"), "over budget")
+    return out.select(key, "tokens", problem.alias("problem"))
+
+
 def compact_observations(entries: DataFrame, key: str, step: str, *, tool: str, observation: str, keep: int = 2) -> DataFrame:
     """All but the newest ``keep`` entries shortened to a summary line.
 
     The newest steps of a key are a bounded top-k; the others join to it.
     """
-    from tidewell.plans.topk import top_k
-
     recent = top_k(entries.select(key, step), [key], [F.desc(step)], keep, rank="_r").select(key, step, F.lit(True).alias("_recent"))
     obs = F.coalesce(observation, F.lit(""))
     body = F.when(F.length(obs) > 200, F.concat(F.left(obs, F.lit(100)), F.lit("... [truncated] ..."), F.right(obs, F.lit(100)))).otherwise(obs)

@@ -17,9 +17,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tidewell.functions import fixed
-from tidewell.functions.text import tokens
+from tidewell.functions.text import is_blank, tokens
 from tidewell.plans.spread import spread
 from tidewell.plans.topk import top_k
 from tidewell.session import materialize
@@ -334,6 +335,22 @@ def keyword_search(keyword: DataFrame, docs: DataFrame, sources: DataFrame, *, t
     return top_k(kept, ["query_id"], [F.desc("score"), F.asc("doc_id")], top, rank="position")
 
 
+def search(
+    queries: DataFrame, keyword: DataFrame, vector: DataFrame, docs: DataFrame, sources: DataFrame, *, top: int = fixed.TOP_K,
+) -> DataFrame:
+    """Search as a user asks: hybrid, or vector-only for blank text, or nothing without a vector.
+
+    ``queries``: ``query_id, text, query_embedding``.
+    """
+    asked = queries.where(F.coalesce(F.size("query_embedding"), F.lit(0)) > 0)
+    blank = asked.where(is_blank("text")).select("query_id")
+    worded = asked.where(~is_blank("text")).select("query_id")
+    columns = ["query_id", "doc_id", "source", "rrf_score", "position"]
+    fused = hybrid_search(keyword.join(worded, "query_id", "left_semi"), vector.join(worded, "query_id", "left_semi"), docs, sources, top=top)
+    only = vector_search(vector.join(blank, "query_id", "left_semi"), docs, sources, top=top)
+    return fused.select(*columns).unionByName(only.select(*columns))
+
+
 def rerank(
     results: DataFrame, *, score: Column, prior: str, top: int = fixed.TOP_K, ids: str = "doc_id"
 ) -> DataFrame:
@@ -343,8 +360,6 @@ def rerank(
     query for which any score is missing (the scorer failed). Candidate lists are
     bounded by the fetch limit, so the window holds a bounded group.
     """
-    from pyspark.sql.window import Window
-
     group = Window.partitionBy("query_id")
     judged = results.withColumn("rerank_score", score).withColumn("_n", F.count(F.lit(1)).over(group)).withColumn(
         "_missing", F.sum(F.when(F.col("rerank_score").isNull(), 1).otherwise(0)).over(group))
