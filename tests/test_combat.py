@@ -124,23 +124,23 @@ def test_report_json(spark, tmp_path):
     import json
     rep = {"code": "abc", "title": "Raid", "zone": {"id": 5, "name": "Kara"},
            "fights": [{"id": 1, "encounterID": 0, "startTime": 0, "endTime": 50}, {"id": 2, "encounterID": 652, "name": "Boss", "kill": True, "startTime": 1000, "endTime": 61000}],
-           "actors": [{"id": 3, "name": "Lyroo"}, {"id": 4, "name": ""}],
+           "actors": [{"id": 3, "name": "Alice"}, {"id": 4, "name": ""}],
            "combatants": [{"sourceID": 3, "agility": 800, "gear": [{"id": 1, "slot": 15}]}, {"fight": 2, "sourceID": 4}],
-           "damage": [{"fight": 2, "entries": [{"name": "Lyroo", "total": 15000, "activeTime": 58000, "abilities": [{"guid": 1752, "total": 10000}]}]}],
+           "damage": [{"fight": 2, "entries": [{"name": "Alice", "total": 15000, "activeTime": 58000, "abilities": [{"guid": 1752, "total": 10000}]}]}],
            "buffs": [{"fight": 2, "auras": [{"name": "Kings", "guid": 25898, "totalUptime": 60000, "totalUses": 1}]}],
-           "casts": [{"fight": 2, "entries": [{"name": "Lyroo", "abilities": [{"name": "Strike", "total": 30}, {"name": "Slice"}]}]}],
-           "rankings": [{"fightID": 2, "encounterID": 652, "roles": {"dps": {"characters": [{"name": "Lyroo", "server": {"name": "North"}, "amount": 900.5},
+           "casts": [{"fight": 2, "entries": [{"name": "Alice", "abilities": [{"name": "Strike", "total": 30}, {"name": "Slice"}]}]}],
+           "rankings": [{"fightID": 2, "encounterID": 652, "roles": {"dps": {"characters": [{"name": "Alice", "server": {"name": "North"}, "amount": 900.5},
                                                                                       {"name": "Other", "server": "South"}]}, "tanks": {"characters": []}}}]}
     (tmp_path / "r.json").write_text(json.dumps(rep) + "\n" + json.dumps({"code": "old", "archived": True, "fights": rep["fights"]}) + "\n")
     r = RP.read_reports(spark, str(tmp_path))
     head = {x.report_code: x for x in RP.report_rows(r).collect()}
     assert (head["abc"].start_time, head["abc"].end_time, head["abc"].zone_name, head["old"].is_archived) == (1000, 61000, "Kara", True)
     assert [(x.fight_id, x.duration_ms, x.kill) for x in RP.fight_rows(r).collect()] == [(2, 60000, True)]
-    assert [(x.fight_id, x.player_name, len(x.gear)) for x in RP.combatant_rows(r).orderBy("source_id").collect()] == [(2, "Lyroo", 1), (2, "", 0)]
-    assert [(x.player_name, x.total_damage) for x in RP.damage_rows(r).collect()] == [("Lyroo", 15000)]
+    assert [(x.fight_id, x.player_name, len(x.gear)) for x in RP.combatant_rows(r).orderBy("source_id").collect()] == [(2, "Alice", 1), (2, "", 0)]
+    assert [(x.player_name, x.total_damage) for x in RP.damage_rows(r).collect()] == [("Alice", 15000)]
     assert [(x.buff_guid, x.total_uses) for x in RP.buff_rows(r).collect()] == [(25898, 1)]
     assert sorted((x.ability_name, x.cast_count) for x in RP.cast_rows(r).collect()) == [("Slice", 0), ("Strike", 30)]
-    assert sorted((x.player_name, x.server_name, x.dps) for x in RP.fight_ranking_rows(r).collect()) == [("Lyroo", "North", 900.5), ("Other", "South", 0.0)]
+    assert sorted((x.player_name, x.server_name, x.dps) for x in RP.fight_ranking_rows(r).collect()) == [("Alice", "North", 900.5), ("Other", "South", 0.0)]
 
 
 def test_gear_changes_do_not_mix_players(spark):

@@ -130,7 +130,7 @@ def test_main_text(values):
 def test_page_title(spark):
     df = spark.createDataFrame([("given", "<title>x</title>", "https://h/"), (None, "<title> A &amp; B </title>", "https://h/"), ("", "none", "https://Host:8/x")],
                                "g string, html string, url string")
-    assert [r.t for r in df.select(P.page_title(F.col("g"), "html", "url").alias("t")).collect()] == ["given", "A & B", "host:8"]
+    assert [r.t for r in df.select(P.page_title(F.col("g"), "html", "url").alias("t")).collect()] == ["given", "A & B", "Host:8"]
 
 
 def test_page_acceptance(spark):

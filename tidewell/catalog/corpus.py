@@ -76,7 +76,7 @@ def a03(t):
 @query("a04_title_resolution", """
 select page_id, coalesce(nullif(case when page_id % 9 = 0 then 'given' else '' end, ''), nullif(trim(regexp_replace(
   replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g')), ''),
-  lower(regexp_extract(url, '://([^/?#]*)', 1))) as title from pages""")
+  regexp_extract(url, '://([^/?#]*)', 1)) as title from pages""")
 def a04(t):
     given = F.when(F.col("page_id") % 9 == 0, "given").otherwise("")
     return t.pages.select("page_id", P.page_title(given, "html", "url").alias("title"))

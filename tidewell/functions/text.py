@@ -62,14 +62,14 @@ def derive_path(group: Column | str, category: Column | str, title: Column | str
     return F.concat(_c(group), F.lit("/"), _c(category), F.lit("/"), slugify(title), F.lit(".md"))
 
 
-def url_host(url: Column | str) -> Column:
-    """Host with port, lower case; user info is kept out."""
-    return F.lower(F.regexp_extract(_c(url), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#]*)", 1))
+def url_netloc(url: Column | str) -> Column:
+    """Network location of a URL: host, and port where given."""
+    return F.regexp_extract(_c(url), r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1)
 
 
 def check_interval(url: Column | str, intervals: dict[str, int] | None = None) -> Column:
     """Hours between two checks of the site of ``url``."""
-    host = F.regexp_replace(url_host(url), r"^www\.", "")
+    host = F.regexp_replace(F.lower(url_netloc(url)), r"^www\.", "")
     return lookup(host, fixed.CHECK_INTERVALS if intervals is None else intervals, fixed.DEFAULT_CHECK_INTERVAL)
 
 
@@ -84,8 +84,12 @@ def content_hash(text: Column | str) -> Column:
 
 
 def title_case(col: Column | str) -> Column:
-    """Underscores to spaces, then every word capitalised."""
-    return F.initcap(F.replace(_c(col), F.lit("_"), F.lit(" ")))
+    """Underscores to spaces, then a capital after everything that is no letter.
+
+    ``initcap`` would start words at spaces only, not after digits or apostrophes.
+    """
+    parts = F.split(F.replace(_c(col), F.lit("_"), F.lit(" ")), r"(?<=\P{L})")
+    return F.array_join(F.transform(parts, lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substring(w, 2, 1 << 30)))), "")
 
 
 def display_name(ability: Column | str, names: dict[str, str] | None = None) -> Column:
@@ -123,8 +127,9 @@ def clip_middle(text: Column | str, limit: int = 2000, keep: int = 1000, marker:
 
 
 def clip(text: Column | str, limit: int = 500) -> Column:
-    """First ``limit`` characters."""
-    return F.left(_c(text), F.lit(limit))
+    """First ``limit`` characters, with dots when something was left out."""
+    x = _c(text)
+    return F.when(F.length(x) > limit, F.concat(F.left(x, F.lit(limit)), F.lit("..."))).otherwise(x)
 
 
 def valid_player_name(name: Column | str, max_len: int = 50) -> Column:

@@ -44,6 +44,13 @@ def write_version(df: DataFrame, root: str, version: int) -> None:
     df.write.mode("overwrite").parquet(f"{root}/v{version}")
 
 
+def prune_versions(spark: SparkSession, root: str, keep: int = 3) -> None:
+    """Delete all but the newest finished versions of a state table."""
+    for version in complete_versions(spark, root)[keep:]:
+        fs, hpath = _fs(spark, f"{root}/v{version}")
+        fs.delete(hpath, True)
+
+
 def read_latest(spark: SparkSession, root: str, below: int | None = None) -> DataFrame | None:
     """Newest finished version (older than ``below`` if given), or None."""
     versions = [v for v in complete_versions(spark, root) if below is None or v < below]

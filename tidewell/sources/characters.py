@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.functions.text import digit_sums, is_blank, lookup, spec_from_digits
+from tidewell.functions.text import SPACES, digit_sums, is_blank, lookup, spec_from_digits
 
 # --- fixed values: slot, race and build names of the formats ------------------
 SLOTS = [
@@ -34,7 +34,7 @@ NUMBERED = ("struct<player:struct<race:int,talentsString:string,equipment:struct
 
 def export_format(raw: Column | str) -> Column:
     """``key_value``, ``listed`` (JSON) or ``numbered`` (JSON with a player; anything else as well)."""
-    x = F.trim(F.col(raw) if isinstance(raw, str) else raw)
+    x = F.btrim(F.col(raw) if isinstance(raw, str) else raw, F.lit(SPACES))
     first = F.substring_index(x, "\n", 1)
     has_player = F.coalesce(F.array_contains(F.json_object_keys(x), "player"), F.lit(False))
     return (
@@ -48,7 +48,7 @@ def export_format(raw: Column | str) -> Column:
 
 def _key_value(raw: Column) -> Column:
     lines = F.transform(F.filter(F.split(raw, "\n"), lambda s: F.contains(s, F.lit("="))), lambda s: F.struct(
-        F.trim(F.substring_index(s, "=", 1)).alias("k"), F.trim(F.regexp_replace(s, "^[^=]*=", "")).alias("v")))
+        F.btrim(F.substring_index(s, "=", 1), F.lit(SPACES)).alias("k"), F.btrim(F.regexp_replace(s, "^[^=]*=", ""), F.lit(SPACES)).alias("v")))
     last = lambda key: F.element_at(F.transform(F.filter(lines, lambda p: p["k"] == key), lambda p: F.replace(p["v"], F.lit('"'), F.lit(""))), -1)
     value = lambda key: F.when(F.exists(lines, lambda p: p["k"] == key), last(key))
     gear = F.filter(F.transform(lines, lambda p: F.struct(
@@ -91,7 +91,7 @@ def parse_exports(exports: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     A rejected export keeps its row, with the reason and without data.
     """
-    raw = F.trim(F.col(text_col))
+    raw = F.btrim(F.col(text_col), F.lit(SPACES))
     fmt = export_format(raw)
     parsed = F.when(fmt == "key_value", _key_value(raw)).when(fmt == "listed", _listed(raw)).otherwise(_numbered(raw))
     rows = exports.select(F.col(id_col), fmt.alias("format"), parsed.alias("c"))

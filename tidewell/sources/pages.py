@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.functions.text import is_blank, url_host
+from tidewell.functions.text import is_blank, url_netloc
 from tidewell.plans.spread import spread
 
 MAX_BYTES = 5 * 1024 * 1024
@@ -122,5 +122,5 @@ def page_title(given: Column, html: Column | str, final_url: Column | str) -> Co
     """Given title, else the page's, else the host of the final URL."""
     found = F.regexp_extract(F.col(html) if isinstance(html, str) else html, r"(?is)<title[^>]*>(.*?)</title>", 1)
     found = F.trim(F.regexp_replace(unescape(found), r"\s+", " "))
-    return F.coalesce(F.nullif(given, F.lit("")), F.nullif(found, F.lit("")), url_host(final_url))
+    return F.coalesce(F.nullif(given, F.lit("")), F.nullif(found, F.lit("")), url_netloc(final_url))
 

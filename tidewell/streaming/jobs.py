@@ -1,6 +1,7 @@
 """Streaming jobs.
 
-State lives in versioned tables below a root folder, one version per micro-batch.
+State lives in versioned tables below a root folder, one version per micro-batch, of
+which the newest few are kept.
 A repeated micro-batch reads the version before it and writes its own version
 again, so every batch counts exactly once, also after a lost executor or a restart.
 """
@@ -57,6 +58,7 @@ def encounter_step(spark: SparkSession, root: str, block: Callable[[], Column])
         snapshots.write_version(totals.select("log_id", "enc_seq", "duration_ms", "total_damage", "dps"), f"{root}/totals", number)
         snapshots.write_version(combat.ability_breakdown(inside), f"{root}/abilities", number)
         snapshots.write_version(combat.open_tail(marked), f"{root}/open", number)
+        snapshots.prune_versions(spark, f"{root}/open")
         marked.unpersist()
 
     return step
@@ -88,6 +90,7 @@ def ingest_step(spark: SparkSession, root: str, empty: DataFrame, now: Callable[
         pages = last_write_wins(batch, ["url"], F.col("seq"))
         decided = ingest.ingest_decision(pages.drop("seq"), sources)
         snapshots.write_version(ingest.apply_ingest(decided, sources, now(batch), intervals), f"{root}/sources", number)
+        snapshots.prune_versions(spark, f"{root}/sources")
         snapshots.write_version(decided.groupBy("action").agg(F.count(F.lit(1)).alias("n")), f"{root}/actions", number)
 
     return step
@@ -107,6 +110,7 @@ def running_step(spark: SparkSession, root: str, partial: Callable[[DataFrame],
         before = snapshots.read_latest(spark, f"{root}/state", below=number)
         both = fresh if before is None else before.unionByName(fresh)
         snapshots.write_version(both.groupBy(*keys).agg(*merge()), f"{root}/state", number)
+        snapshots.prune_versions(spark, f"{root}/state")
 
     return step
 
