@@ -92,7 +92,9 @@ def with_neighbours(
     rows = Window.partitionBy(*keys, BLOCK).orderBy(*order)
     until = rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = rows.rowsBetween(Window.unboundedPreceding, -1)
-    after = rows.rowsBetween(1, Window.unboundedFollowing)
+    # "After" is "before" in reverse order: a frame that reaches to the end of the
+    # partition would be evaluated anew for every row.
+    after = Window.partitionBy(*keys, BLOCK).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
 
     inner: dict[str, Column] = {}
     summary: list[Column] = []
@@ -109,7 +111,7 @@ def with_neighbours(
     for n in (*last_before, *last_until):
         summary.append(F.max_by(values[n], F.when(values[n].isNotNull(), position)).alias(f"_s_{n}"))
     for n in first_after:
-        inner[n] = F.first(values[n], ignorenulls=True).over(after)
+        inner[n] = F.last(values[n], ignorenulls=True).over(after)
         summary.append(F.min_by(values[n], F.when(values[n].isNotNull(), position)).alias(f"_s_{n}"))
     for n in running_sum:
         inner[n] = F.sum(values[n]).over(until)
@@ -117,7 +119,7 @@ def with_neighbours(
 
     blocks = Window.partitionBy(*keys).orderBy(BLOCK)
     earlier = blocks.rowsBetween(Window.unboundedPreceding, -1)
-    later = blocks.rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy(*keys).orderBy(F.desc(BLOCK)).rowsBetween(Window.unboundedPreceding, -1)
     carry: list[Column] = []
     for n in lag:
         carry.append(F.lag(f"_s_{n}").over(blocks).alias(f"_c_{n}"))
@@ -126,7 +128,7 @@ def with_neighbours(
     for n in (*last_before, *last_until):
         carry.append(F.last(f"_s_{n}", ignorenulls=True).over(earlier).alias(f"_c_{n}"))
     for n in first_after:
-        carry.append(F.first(f"_s_{n}", ignorenulls=True).over(later).alias(f"_c_{n}"))
+        carry.append(F.last(f"_s_{n}", ignorenulls=True).over(later).alias(f"_c_{n}"))
     for n in running_sum:
         carry.append(F.sum(f"_s_{n}").over(earlier).alias(f"_c_{n}"))
 
