@@ -6,6 +6,7 @@ import base64
 import hashlib
 import heapq
 import json
+import struct
 import zlib
 from collections.abc import Callable
 
@@ -22,7 +23,7 @@ from tidewell.session import materialize
 #: Buckets of the literal rank map; a lookup reads the entries of one bucket.
 BUCKETS = 8192
 #: A word is encoded ahead if it makes up at least this share of all words; so at most 1 / SHARE are.
-SHARE = 1 / 400_000
+SHARE = 1 / 200_000
 #: Longest word, in bytes, that is encoded ahead.
 LONGEST = 64
 
@@ -83,9 +84,28 @@ def encoded_words(words: DataFrame, ranks: dict[bytes, int], word: str = "word")
 
 
 def merge_bytes(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same merges for one word, with a heap: for words that are rare or long."""
+    """The same merges for one word: for words that are rare or long."""
     if word in ranks:
         return [ranks[word]]
+    return _merge_long(word, ranks) if len(word) > LONGEST else _merge_short(word, ranks)
+
+
+def _merge_short(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    none, rank = 1 << 40, ranks.get
+    parts = [word[i:i + 1] for i in range(len(word))]
+    pairs = [rank(word[i:i + 2], none) for i in range(len(word) - 1)]
+    while pairs and (least := min(pairs)) < none:
+        i = pairs.index(least)
+        parts[i] += parts.pop(i + 1)
+        del pairs[i]
+        if i:
+            pairs[i - 1] = rank(parts[i - 1] + parts[i], none)
+        if i < len(pairs):
+            pairs[i] = rank(parts[i] + parts[i + 1], none)
+    return [ranks[p] for p in parts]
+
+
+def _merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     n = len(word)
     end, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
     # A part starts at i and ends at end[i]; the next one starts at end[i].
@@ -126,27 +146,29 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id
         content = file.read()
     sc = docs.sparkSession.sparkContext
     ranks = parse_ranks(content)
-    ready = {r.word: np.array(r.ids, np.int32) for r in encoded_words(frequent_words(docs, pattern, text, share), ranks).collect()}
+    ready = {r.word: np.array(r.ids, "<i4").tobytes()
+             for r in encoded_words(frequent_words(docs, pattern, text, share), ranks).collect()}
     shared_ranks, shared_words = sc.broadcast(content), sc.broadcast(ready)  # a fixed file; at most 1 / share short words
     name = hashlib.sha256(content).hexdigest()
 
     def step():
         own_ranks = kept(("ranks", name), lambda: parse_ranks(shared_ranks.value))
-        words = shared_words.value
-        rare = kept(("rare", name), lambda: BoundedCache(
-            lambda w: np.array(merge_bytes(w.encode("utf-8", "surrogatepass"), own_ranks), np.int32), 200_000))
+
+        def own(word):
+            ids = merge_bytes(word.encode("utf-8", "surrogatepass"), own_ranks)
+            return struct.pack(f"<{len(ids)}i", *ids)
+
+        words = kept(("words", name), lambda: BoundedCache(own, len(shared_words.value) + 600_000, shared_words.value))
         cut = regex.compile(pattern)
 
         def work(columns, texts):
             for at in range(0, len(texts), 1024):
-                flat, ends = [], [0]
+                found, ends = [], [0]
                 for t in texts[at:at + 1024]:
-                    found = [words[w] if w in words else rare[w] for w in cut.findall(t)] if t else []
-                    ids = np.concatenate(found) if found else np.zeros(0, np.int32)
-                    flat.append(ids)
-                    ends.append(ends[-1] + len(ids))
-                    rare.trim()
-                values = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32))
+                    found.append(b"".join(map(words.__getitem__, cut.findall(t))) if t else b"")
+                    ends.append(ends[-1] + len(found[-1]) // 4)
+                    words.trim()
+                values = pa.array(np.frombuffer(b"".join(found), "<i4"))
                 yield [*[c.slice(at, 1024) for c in columns], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)]
 
         return work

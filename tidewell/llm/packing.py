@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import re
+import struct
 import zlib
 
 import numpy as np
@@ -20,54 +22,55 @@ SEQUENCE = 2048
 END_ID = 0
 
 
-class WordEncoder:
-    """Ids of texts, encoding each distinct piece between blanks once.
+class WordEncoder(dict):
+    """``encoder[piece]``: ids of a piece between blanks as little-endian 32-bit integers, found once.
 
-    Valid for tokenizers that cut at white space before their merges; the pieces are encoded by
-    the tokenizer itself.
+    Valid for tokenizers that put texts in lower case and cut them at white space and between
+    letters, digits and signs before their merges. Plain words, Latin letters and then signs, go
+    straight to the merges; every other piece goes through the whole tokenizer.
     """
 
-    def __init__(self, model: str, limit: int = 400_000) -> None:
+    OTHER = re.compile("[^\\x00-\\xff]")
+    PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+
+    def __init__(self, model: str, limit: int = 500_000) -> None:
+        super().__init__()
         self.tokenizer = Tokenizer.from_str(model)
         self.tokenizer.encode_special_tokens = True
-        self.limit = limit
-        self.reset()
-
-    def reset(self) -> None:
-        self.code: dict[str, int] = {}
-        self.flat, self.start, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64)
-
-    def learn(self, words: list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-        for w in words:
-            self.code[w] = len(self.code)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        used, more = int(self.start[-1]), int(sizes.sum())
-        if used + more > len(self.flat):
-            self.flat = np.concatenate([self.flat[:used], np.zeros(max(more, len(self.flat)) + more, np.uint32)])
-        self.flat[used:used + more] = np.fromiter((i for x in ids for i in x), np.uint32, more)
-        self.size = np.concatenate([self.size, sizes])
-        self.start = np.concatenate([self.start, used + np.cumsum(sizes)])
-
-    def batch(self, texts: list[str | None], end_id: int) -> list[np.ndarray]:
-        """Ids of each text and then ``end_id``."""
-        if len(self.code) > self.limit:
-            self.reset()
-        cut = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = list({w for words in cut for w in words if w not in self.code})
-        if new:
-            self.learn(new)
-        out = []
-        for words in cut:
-            codes = np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
-            sizes = self.size[codes]
-            before = np.cumsum(sizes) - sizes
-            total = int(sizes.sum())
-            ids = np.empty(total + 1, np.uint32)
-            ids[:total] = self.flat[np.repeat(self.start[codes] - before, sizes) + np.arange(total)]
-            ids[total] = end_id
-            out.append(ids)
-        return out
+        self.merge, self.limit = self.tokenizer.model.tokenize, limit
+        self.words: dict[str, bytes] = {}
+        # Byte-level alphabet: bytes that are no printable sign of Latin-1 stand at 256 and on.
+        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        self.signs = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in shown)}
+
+    def merged(self, word: str) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            data = word if word.isascii() else word.encode().decode("latin-1").translate(self.signs)
+            found = [t.id for t in self.merge(data)]
+            ids = self.words[word] = struct.pack(f"<{len(found)}I", *found)
+        return ids
+
+    def __missing__(self, piece: str) -> bytes:
+        plain = self.PLAIN.fullmatch(piece)
+        if plain:
+            word, signs = plain.groups()
+            ids = self.merged(word.lower()) + (self.merged(signs) if signs else b"")
+        else:
+            ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        self[piece] = ids
+        return ids
+
+    def text(self, text: str | None) -> bytes:
+        """Ids of a whole text."""
+        if len(self) > self.limit:
+            self.clear()
+            self.words.clear()
+        if not text:
+            return b""
+        if not self.OTHER.search(text):
+            text = text.lower()  # so that fewer pieces differ; beyond Latin-1 the tokenizer's own rules count
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", sequence: int = SEQUENCE,
@@ -92,23 +95,26 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
         part = TaskContext.get().partitionId()
         made = np.zeros(sequence + 1, np.int64)
 
+        end = end_id.to_bytes(4, "little")
+
         def work(columns, texts):
-            for at in range(0, len(texts), 512):
-                rows, piece, start, length, crc, nth = [], [], [], [], [], []
-                for i, ids in enumerate(encoder.batch(texts[at:at + 512], end_id), at):
-                    for k in range(0, len(ids), sequence):
-                        own = ids[k:k + sequence]
-                        rows.append(i)
-                        piece.append(k // sequence)
-                        start.append(k)
-                        length.append(len(own))
-                        crc.append(zlib.crc32(own.astype("<u4", copy=False).tobytes()))
-                        nth.append(int(made[len(own)]))
-                        made[len(own)] += 1
-                taken = pa.array(rows, pa.int64())
-                yield [*[c.take(taken) for c in columns], pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
-                       pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array([part] * len(rows), pa.int64()),
-                       pa.array(nth, pa.int64())]
+            rows, piece, start, length, crc, nth = [], [], [], [], [], []
+            for i, t in enumerate(texts):
+                ids = memoryview(encoder.text(t) + end)
+                for k in range(0, len(ids), 4 * sequence):
+                    own = ids[k:k + 4 * sequence]
+                    n = len(own) // 4
+                    rows.append(i)
+                    piece.append(k // (4 * sequence))
+                    start.append(k // 4)
+                    length.append(n)
+                    crc.append(zlib.crc32(own))
+                    nth.append(int(made[n]))
+                    made[n] += 1
+            taken = pa.array(rows, pa.int64())
+            yield [*[c.take(taken) for c in columns], pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
+                   pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array([part] * len(rows), pa.int64()),
+                   pa.array(nth, pa.int64())]
 
         return work
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe, packing, token_counts
+from tidewell.llm import bpe, jaccard, language, lines, neighbours, packing, quality, rules, token_counts, urls
 from tidewell.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -23,6 +23,37 @@ def op2(spark, folder):
     return packing.best_fit_packing(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op3_quality_classifier")
+def op3(spark, folder):
+    """Quality of every document from compressed sizes; learnt outside of the held-out fold."""
+    return quality.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op5_url_filters")
+def op5(spark, folder):
+    """Every page's URL judged by rules and language models."""
+    return urls.url_filter(table(spark, folder, "pages"))
+
+
+@query("op6_quality_rules", rules.SQL)
+def op6(spark, folder):
+    """Counts and verdicts of the threshold table for every document."""
+    return rules.quality_rules(table(spark, folder, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op7_language_id")
+def op7(spark, folder):
+    """Language of every document by cross-parsing; learnt outside of the held-out fold."""
+    return language.held_out_language(table(spark, folder, "documents"))
+
+
+@query("op8_line_dedup", lines.SQL)
+def op8(spark, folder):
+    """Every page's lines without those that much of its site repeats."""
+    return lines.page_line_dedup(table(spark, folder, "pages"))
+
+
 @query("op10_byte_bpe")
 def op10(spark, folder):
     """Every document encoded and decoded again, as digests."""
@@ -32,3 +63,15 @@ def op10(spark, folder):
     return ids.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(bpe.little_endian(F.col("ids"), len(ranks)), 256).alias("ids_sha256"),
         F.sha2(bpe.decoded(F.col("ids"), ranks), 256).alias("decoded_sha256"))
+
+
+@query("op9_ngram_jaccard_join")
+def op9(spark, folder):
+    """Every document's component under links of 3-word shingles at a Jaccard similarity of 0.9."""
+    return jaccard.jaccard_components(table(spark, folder, "documents"))
+
+
+@query("op4_nearest_neighbours")
+def op4(spark, folder):
+    """The 20 nearest found for every twentieth embedding."""
+    return neighbours.nearest(table(spark, folder, "embeddings"))

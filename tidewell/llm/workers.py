@@ -23,11 +23,11 @@ def kept(key: Any, make: Callable[[], Any]) -> Any:
 
 
 class BoundedCache(dict):
-    """``cache[word]`` computes a missing value; emptied when ``limit`` entries are held."""
+    """``cache[word]`` computes a missing value; back to what it was given when over ``limit`` entries are held."""
 
-    def __init__(self, compute: Callable[[Any], Any], limit: int = 400_000) -> None:
-        super().__init__()
-        self.compute, self.limit = compute, limit
+    def __init__(self, compute: Callable[[Any], Any], limit: int = 400_000, given: dict | None = None) -> None:
+        super().__init__(given or {})
+        self.compute, self.limit, self.given = compute, limit, given or {}
 
     def __missing__(self, word: Any) -> Any:
         value = self[word] = self.compute(word)
@@ -36,6 +36,7 @@ class BoundedCache(dict):
     def trim(self) -> None:
         if len(self) > self.limit:
             self.clear()
+            self.update(self.given)
 
 
 def map_texts(
