@@ -127,6 +127,10 @@ def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.fromiter((float(np.dot(x, y)) for x, y in zip(a, b, strict=True)), np.float64, len(a))
 
 
+def _long(value: int):
+    return F.lit(value).cast("long")
+
+
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_id", embedding: str = "embedding",
             share: float = SHARE, least: int = LEAST, block: int = BLOCK, slice_: int = SLICE) -> DataFrame:
     """``query_id long, rank int, vec_id long, score double``: the k rows of largest inner product found for each query.
@@ -153,8 +157,8 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("id") % every == 0).alias("q")).first()
     blocks, slices = max(1, -(-size.n // block)), max(1, -(-size.q // slice_))
     placed = index.select("d", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("x"),
-                          F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).cast("long").alias("y"), F.lit(False).alias("ask"), "id", "v")
-    sent = asked.select("d", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("x"),
+                          F.explode(F.sequence(_long(0), _long(slices - 1))).alias("y"), F.lit(False).alias("ask"), "id", "v")
+    sent = asked.select("d", F.explode(F.sequence(_long(0), _long(blocks - 1))).alias("x"),
                         F.pmod(F.xxhash64("id"), F.lit(slices)).alias("y"), F.lit(True).alias("ask"), "id", "v")
 
     def search(group: pa.Table) -> pa.Table:
