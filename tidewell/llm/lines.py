@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.session import materialize
+
 #: A line is boilerplate if over this share of the host's pages, and at least so many of them, hold it.
 RATIO = 0.05
 LEAST_PAGES = 5
@@ -84,7 +86,8 @@ def drop_boilerplate(pages: DataFrame, host: str = "host", text: str = "text", r
 
 def page_line_dedup(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
     """``page_id, host, n_lines, n_dropped, text`` of raw web pages (``page_id, url, html``)."""
-    held = pages.select("page_id", host_of(F.col("url")).alias("host"), page_lines(F.col("html")).alias("text"))
+    # Both passes over the lines read them from here, so that every page is parsed once.
+    held = materialize(pages.select("page_id", host_of(F.col("url")).alias("host"), page_lines(F.col("html")).alias("text")), "pages")
     return drop_boilerplate(held, "host", "text", ratio, least_pages).select("page_id", "host", "n_lines", "n_dropped", "text")
 
 
