@@ -224,3 +224,23 @@ def test_gazetteer_and_failures(spark):
     assert {r.canonical_name for r in G.gazetteer_mentions(docs, gaz, id_col="doc_id", text_col="text").collect()} == {"dragonspine trophy", "slice and dice"}
     got = G.extract_with(docs, lambda t: [{"name": t[4], "entity_type": "item"}], id_col="doc_id", text_col="text").collect()
     assert {r.id: r.ok for r in got} == {1: True, 2: False}
+
+
+def test_long_names_wide_vectors_forms_and_repeated_slots(spark):
+    from tidewell.operators import retrieval as R
+    from tidewell.sources import pages as P
+
+    gaz = spark.createDataFrame([("the staff of the burning blade", "item"), ("staff", "word")], "canonical_name string, entity_type string")
+    docs = spark.createDataFrame([(1, "He took The Staff of the Burning Blade.")], "doc_id int, text string")
+    found = G.gazetteer_mentions(docs, gaz, id_col="doc_id", text_col="text").collect()
+    assert {r.canonical_name for r in found} == {"the staff of the burning blade", "staff"}
+    many = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(3000)))], "doc_id int, text string")
+    vector = R.feature_hash_embedding(many, "doc_id", "text", 768).first().embedding
+    assert len(vector) == 768 and any(vector[256:512]) and any(vector[512:])
+    page = spark.createDataFrame([("<html><body><form><p>All of the page stands here.</p></form></body></html>",)], "html string")
+    assert page.select(P.main_text("html").alias("t")).first().t == "All of the page stands here."
+    raw = '{"race": "orc", "spec": "combat", "talents": "x", "items": [{"slot": "head", "id": 1}, {"slot": "neck", "id": 3}, {"slot": "head", "id": 2}]}'
+    row = CH.parse_exports(spark.createDataFrame([(1, raw)], "id int, raw string"), "id", "raw").first()
+    gear = row.gear if row.gear is not None else []
+    slots = [g.slot for g in gear]
+    assert len(slots) == len(set(slots)) and row.reject_reason in (None, "unknown race", "unknown spec")

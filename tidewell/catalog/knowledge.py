@@ -174,7 +174,7 @@ def j05(t):
     from tidewell.functions.text import tokens
     words = t.benchmark.select(F.explode(F.array_distinct(tokens("text"))).alias("canonical_name"))
     gaz = words.groupBy("canonical_name").agg(F.when(F.count(F.lit(1)) > 1, "common").otherwise("rare").alias("entity_type"))
-    return G.gazetteer_mentions(t.documents, gaz, id_col="doc_id", text_col="text", longest=1).select(
+    return G.gazetteer_mentions(t.documents, gaz, id_col="doc_id", text_col="text").select(
         "doc_id", "canonical_name", "entity_type")
 
 

@@ -191,16 +191,17 @@ def word_sequences(toks: Column | str, n: int) -> Column:
     return F.transform(starts, lambda i: F.array_join(F.slice(t, i, F.lit(n)), " "))
 
 
-def gazetteer_mentions(chunks: DataFrame, gazetteer: DataFrame, *, id_col: str, text_col: str, longest: int = 3) -> DataFrame:
+def gazetteer_mentions(chunks: DataFrame, gazetteer: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
     """Default extractor: names of a gazetteer that occur as word sequences of a chunk.
 
-    ``gazetteer``: ``canonical_name, entity_type``; names have at most ``longest``
-    words. Each chunk gives every sequence once, so the join meets no pairs within a
-    chunk; a gazetteer small enough is broadcast by its size.
+    ``gazetteer``: ``canonical_name, entity_type``. Sequences are cut in the lengths that
+    its names have, however long. Each chunk gives every sequence once, so the join meets
+    no pairs within a chunk; a gazetteer small enough is broadcast by its size.
     """
+    lengths = [r.n for r in gazetteer.select(F.size(F.split("canonical_name", " ")).alias("n")).distinct().collect() if r.n > 0]
     words = spread(chunks.select(id_col, text_col), id_col).select(id_col, tokens(text_col).alias("_t"))
     grams = words.select(id_col, F.explode(F.array_distinct(F.flatten(F.array(
-        *[word_sequences("_t", n) for n in range(1, longest + 1)])))).alias("canonical_name"))
+        *[word_sequences("_t", n) for n in sorted(lengths) or [1]])))).alias("canonical_name"))
     return grams.join(gazetteer, "canonical_name")
 
 

@@ -153,7 +153,7 @@ def bm25(
 
 # --- vectors -----------------------------------------------------------------
 def feature_hash_embedding(df: DataFrame, id_col: str, text_col: str, dim: int = 64) -> DataFrame:
-    """Default embedder: signed token counts in ``dim`` hashed buckets, at most 256.
+    """Default embedder: signed token counts in ``dim`` hashed buckets.
 
     Tokens are cut by Spark; a task hashes the distinct tokens of an Arrow batch
     once and adds up the buckets with numpy. No token is shuffled.
@@ -166,7 +166,9 @@ def feature_hash_embedding(df: DataFrame, id_col: str, text_col: str, dim: int =
             lists = batch.column(1)
             coded = lists.flatten().dictionary_encode()
             digests = [hashlib.md5(t.encode()).hexdigest() for t in coded.dictionary.to_pylist()]
-            bucket = np.array([int(h[:2], 16) % dim for h in digests], dtype="int64")
+            # Two digits reach 256 buckets; wider vectors take eight.
+            digits = slice(0, 2) if dim <= 256 else slice(3, 11)
+            bucket = np.array([int(h[digits], 16) % dim for h in digests], dtype="int64")
             sign = np.array([1.0 if h[2] < "8" else -1.0 for h in digests])
             code = coded.indices.to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(batch.num_rows), _list_sizes(lists))

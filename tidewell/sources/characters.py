@@ -94,7 +94,10 @@ def parse_exports(exports: DataFrame, id_col: str, text_col: str) -> DataFrame:
     raw = F.btrim(F.col(text_col), F.lit(SPACES))
     fmt = export_format(raw)
     parsed = F.when(fmt == "key_value", _key_value(raw)).when(fmt == "listed", _listed(raw)).otherwise(_numbered(raw))
-    rows = exports.select(F.col(id_col), fmt.alias("format"), parsed.alias("c"))
+    rows = exports.select(F.col(id_col), fmt.alias("format"), parsed.alias("c")).withColumn("gear", F.col("c.gear"))
+    # A slot that is named twice holds what was named last.
+    rows = rows.withColumn("gear", F.filter("gear", lambda g, i: ~F.exists(
+        F.slice("gear", i + 2, F.size("gear")), lambda later: later["slot"] == g["slot"])))
     reason = (
         F.when(F.col("c.bad_json"), "invalid json").when(F.col("c.bad_race"), "unknown race").when(F.col("c.bad_spec"), "unknown spec")
         .when(F.col("c.spec").isNull(), "missing spec").when(F.col("c.race").isNull(), "missing race")
@@ -102,4 +105,5 @@ def parse_exports(exports: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
     out = rows.withColumn("reject_reason", reason)
     good = F.col("reject_reason").isNull()
-    return out.select(id_col, "format", *[F.when(good, F.col(f"c.{x}")).alias(x) for x in ("race", "spec", "talents", "gear")], "reject_reason")
+    return out.select(id_col, "format", *[F.when(good, F.col(f"c.{x}")).alias(x) for x in ("race", "spec", "talents")],
+                      F.when(good, F.col("gear")).alias("gear"), "reject_reason")

@@ -57,7 +57,7 @@ def check_pages(pages: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
 
 
 # --- fixed values: markup of a page ------------------------------------------
-SKIPPED = ("head", "script", "style", "noscript", "template", "nav", "header", "footer", "aside", "form")
+SKIPPED = ("head", "script", "style", "noscript", "template", "nav", "header", "footer", "aside")
 NAMED = {
     "nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "copy": "©", "reg": "®", "trade": "™", "middot": "·",
     "bull": "•", "hellip": "…", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”",
