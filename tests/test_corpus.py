@@ -12,6 +12,7 @@ from tidewell.sources import articles as AR
 from tidewell.sources import characters as CH
 from tidewell.sources import exports as EX
 from tidewell.sources import pages as P
+from tidewell.sources import reports as RP
 
 
 def chunks(text, **kw):
@@ -244,3 +245,48 @@ def test_long_names_wide_vectors_forms_and_repeated_slots(spark):
     gear = row.gear if row.gear is not None else []
     slots = [g.slot for g in gear]
     assert len(slots) == len(set(slots)) and row.reject_reason in (None, "unknown race", "unknown spec")
+
+
+def test_page_with_huge_tags_and_open_quotes(values):
+    many = "<article><p " + "a=1 " * 100_000 + ">kept</p>" + "x < y " + "b=2 " * 20_000 + "</article>"
+    pages = [many, "<p>a</p><b " + 'c="1" ' * 50_000 + ">b</b>", '<p title="open>one</p><p>two</p>', "<p>tail</p><div " + "a=1 " * 10_000]
+    got = values(P.main_text, pages)
+    assert got[0].startswith("kept") and "x < y b=2" in got[0]
+    assert got[1] == "a\n\nb"
+    assert got[2] == "one\n\ntwo"
+    assert got[3].startswith("tail")
+
+
+def test_unreadable_source_lists_become_rejects(spark):
+    texts = ['[{"url": "https://a.b", "title": "A"', "", '{"sources": 5}', "[]",
+             '[{"url": "https://c.d", "title": "C", "priority": "abc"}, {"url": "https://e.f", "title": "E", "priority": 2.5},'
+             ' {"url": "https://g.h", "title": "G", "priority": 3}]']
+    raw = spark.createDataFrame([(t,) for t in texts], "value string")
+    got = sorted((r.title or "", r.reject_reason or "", r.priority) for r in P.check_entries(P.source_entries(raw, "value")).collect())
+    assert got == [("", "unreadable", 2)] * 3 + [("C", "bad priority", 2), ("E", "bad priority", 2), ("G", "", 3)]
+
+
+def test_unreadable_questions_and_reports_are_told(spark, tmp_path):
+    raw = spark.createDataFrame([('[{"id": "q1", "question": "a"}]',), ('[{"id": ',), ("[]",)], "value string")
+    assert sorted((r.id or "", r.unread) for r in EX.parse_questions(raw, "value").collect()) == [("", '[{"id": '), ("q1", None)]
+    lines = ['{"code": "r1", "title": "T"}', '{"code": "r2", ', '{"title": "no code"}']
+    (tmp_path / "reports.json").write_text("\n".join(lines))
+    from_text = RP.parse_reports(spark.createDataFrame([(x,) for x in lines], "value string"), "value")
+    for reports in (RP.read_reports(spark, str(tmp_path)), from_text):
+        assert [r.report_code for r in RP.report_rows(reports).collect()] == ["r1"]
+        got = {(r.unread, r.reject_reason) for r in RP.report_rejects(reports).collect()}
+        assert got == {(lines[1], "unreadable"), (None, "no code")}
+
+
+def test_freshness_of_failed_fetches_and_unseen_sources(spark):
+    src = spark.createDataFrame([(u, "h", None, 0, False, "2024-01-01") for u in ("u1", "u2", "u3")],
+                                "url string, content_hash string, content_hash_previous string, change_count int, is_stale boolean, last_checked string")
+    src = src.withColumn("last_checked", F.col("last_checked").cast("timestamp"))
+    seen = spark.createDataFrame([("u1", None, None, None, "timed out"), ("u2", 200, None, "new", None)],
+                                 "url string, head_status int, last_modified timestamp, text string, fetch_error string")
+    out = TR.freshness_outcome(src, seen)
+    assert {r.url: (r.outcome, r.error) for r in out.collect()} == {
+        "u1": ("error", "timed out"), "u2": ("changed", None), "u3": ("unobserved", None)}
+    after = {r.url: r.last_checked.month for r in TR.apply_freshness(out, src.columns, F.lit("2024-03-01").cast("timestamp")).collect()}
+    assert after == {"u1": 1, "u2": 3, "u3": 1}
+    assert tuple(TR.freshness_summary(out).first()) == (2, 1, 1)

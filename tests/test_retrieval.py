@@ -133,3 +133,13 @@ def test_trust_and_stale(spark):
     s = spark.createDataFrame([("x", "2024-01-11 16:00:00", 168), ("y", "2024-01-19 23:00:00", 168), ("z", None, 168)],
                               "url string, t string, check_interval_hours int").withColumn("last_checked", F.col("t").cast("timestamp"))
     assert {r.url for r in TR.due_for_check(s, now).collect()} == {"x", "z"}
+
+
+def test_knn_keeps_string_ids_and_refuses_other_lengths(spark):
+    vec = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.0]), ("c", [0.0, 1.0]), ("d", None)], "doc_id string, embedding array<double>")
+    qs = vec.where("embedding is not null").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    got = {(r.query_id, r.rank0): r.doc_id for r in R.knn(vec, qs, 1, exclude_self=True).collect()}
+    assert got == {("a", 0): "b", ("b", 0): "a", ("c", 0): "a"}
+    wide = vec.union(spark.createDataFrame([("e", [1.0, 2.0, 3.0])], vec.schema))
+    with pytest.raises(Exception, match="queries' length 2: id e"):
+        R.knn(wide, qs, 1).collect()

@@ -124,8 +124,11 @@ def d29(t):
 # --- incremental ingest ------------------------------------------------------
 def stored(t):
     """English documents as sources already ingested."""
-    d = t.documents.where(F.col("lang") == "en")
-    return d.select(
+    return as_stored(t.documents.where(F.col("lang") == "en"))
+
+
+def as_stored(docs):
+    return docs.select(
         F.concat(F.lit("https://"), "source", F.lit("/"), F.col("doc_id").cast("string")).alias("url"), F.lit("old").alias("title"),
         F.lit("web").alias("source_type"), content_hash("text").alias("content_hash"), F.lit(None).cast("string").alias("content_hash_previous"),
         F.lit(2).alias("change_count"), (F.col("doc_id") % 2 == 0).alias("is_stale"), F.lit(0.4).alias("trust_score"),
@@ -199,10 +202,10 @@ def j03b(t):
 
 # --- freshness ---------------------------------------------------------------
 @query("b07_due_for_check", """
-select 'https://' || source || '/' || doc_id as url from documents where lang = 'en' and
+select 'https://' || source || '/' || doc_id as url from documents where
   (doc_id % 10 = 1 or date_diff('second', timestamp '2024-01-15' + to_hours((doc_id % 300)::int), timestamp '2024-02-01') / 3600.0 > 300)""")
 def b07(t):
-    s = stored(t).withColumn("check_interval_hours", F.lit(300))
+    s = as_stored(t.documents).withColumn("check_interval_hours", F.lit(300))
     ids = F.regexp_extract("url", r"/(\d+)$", 1).cast("bigint")
     s = s.withColumn("last_checked", F.when(ids % 10 != 1, F.col("last_checked")))
     return TR.due_for_check(s, now()).select("url")
@@ -211,43 +214,44 @@ def b07(t):
 def observed(t):
     i = F.col("doc_id")
     text = F.when(i % 5 == 0, F.concat("text", F.lit("!"))).when(i % 7 == 0, "  ").otherwise(F.col("text"))
-    return t.documents.select(
-        F.concat(F.lit("https://"), "source", F.lit("/"), i.cast("string")).alias("url"), F.when(i % 13 == 0, 404).otherwise(200).alias("head_status"),
+    return t.documents.where(i % 19 != 0).select(
+        F.concat(F.lit("https://"), "source", F.lit("/"), i.cast("string")).alias("url"), F.when(i % 17 == 0, "timed out").alias("fetch_error"), F.when(i % 13 == 0, 404).otherwise(200).alias("head_status"),
         F.when(i % 4 == 0, F.lit("2024-01-10").cast("timestamp")).alias("last_modified"), text.alias("text"))
 
 
 FRESH_SQL = f"""{DEC_SQL},
-fr as (select *, case when doc_id % 13 = 0 then 'dead' when doc_id % 4 = 0 then 'fresh' when not regexp_matches(text, '\\S') then 'empty'
-  when old_hash = new_hash then 'unchanged' else 'changed' end as outcome from dec where known)
+fr as (select *, case when doc_id % 19 = 0 then 'unobserved' when doc_id % 17 = 0 then 'error' when doc_id % 13 = 0 then 'dead' when doc_id % 4 = 0 then 'fresh' when not regexp_matches(text, '\\S') then 'empty'
+  when old_hash = new_hash then 'unchanged' else 'changed' end as outcome from dec)
 """
 
 
 @query("j04_freshness_outcomes", f"""with {FRESH_SQL}
 select url, outcome, case when outcome = 'fresh' then old_hash when outcome in ('unchanged', 'changed') then new_hash end as new_hash, outcome in ('dead', 'fresh') as head_only,
-  case outcome when 'dead' then 'Source returned HTTP 404' when 'empty' then 'Content extraction returned empty' end as error from fr""")
+  case outcome when 'error' then 'timed out' when 'dead' then 'Source returned HTTP 404' when 'empty' then 'Content extraction returned empty' end as error from fr""")
 def j04(t):
-    return TR.freshness_outcome(stored(t), observed(t)).select("url", "outcome", "new_hash", "head_only", "error")
+    return TR.freshness_outcome(as_stored(t.documents), observed(t)).select("url", "outcome", "new_hash", "head_only", "error")
 
 
 @query("j04_sources_after_sweep", f"""with {FRESH_SQL}
 select url, case when outcome = 'changed' then new_hash else old_hash end as content_hash, case when outcome = 'changed' then old_hash end as content_hash_previous,
-  2 + (outcome = 'changed')::int as change_count, doc_id % 2 = 0 or outcome = 'changed' as is_stale from fr""")
+  2 + (outcome = 'changed')::int as change_count, doc_id % 2 = 0 or outcome = 'changed' as is_stale,
+  outcome not in ('unobserved', 'error') as checked_now from fr""")
 def j04b(t):
-    s = stored(t)
+    s = as_stored(t.documents)
     got = TR.apply_freshness(TR.freshness_outcome(s, observed(t)), s.columns, now())
-    return got.select("url", "content_hash", "content_hash_previous", "change_count", "is_stale")
+    return got.select("url", "content_hash", "content_hash_previous", "change_count", "is_stale", (F.col("last_checked") == now()).alias("checked_now"))
 
 
 @query("j04_dead_url_events", f"""with {FRESH_SQL}
 select url, 'dead_url' as event_type, -0.6::double as delta, 'HTTP 404 for ' || url as details from fr where outcome = 'dead'""")
 def j04c(t):
-    return TR.dead_url_events(TR.freshness_outcome(stored(t), observed(t)), now()).select("url", "event_type", "delta", "details")
+    return TR.dead_url_events(TR.freshness_outcome(as_stored(t.documents), observed(t)), now()).select("url", "event_type", "delta", "details")
 
 
 @query("d17_freshness_summary", f"""with {FRESH_SQL}
-select count(*) as checked, count(*) filter (outcome = 'changed') as changed, count(*) filter (outcome in ('dead', 'empty')) as errors from fr""")
+select count(*) filter (outcome <> 'unobserved') as checked, count(*) filter (outcome = 'changed') as changed, count(*) filter (outcome in ('dead', 'empty', 'error')) as errors from fr""")
 def d17(t):
-    return TR.freshness_summary(TR.freshness_outcome(stored(t), observed(t)))
+    return TR.freshness_summary(TR.freshness_outcome(as_stored(t.documents), observed(t)))
 
 
 @query("c16_stale_source_counts", """
@@ -405,11 +409,11 @@ def a08(t):
 
 # --- questions, exports ------------------------------------------------------
 @query("a07_question_scan", """
-select 'q' || conv_id || '-' || turn as id, text as question, '' as ground_truth, len(string_split(text, ' ')) as n_facts from conversations where role = 'user'""")
+select 'q' || conv_id || '-' || turn as id, text as question, '' as ground_truth, len(string_split(text, ' ')) as n_facts from conversations""")
 def a07(t):
     q = F.struct(F.concat(F.lit("q"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("id"),
                  F.col("text").alias("question"), F.split("text", " ").alias("key_facts"))
-    raw = t.conversations.where(F.col("role") == "user").select(F.to_json(F.array(q)).alias("value"))
+    raw = t.conversations.select(F.to_json(F.array(q)).alias("value"))
     return EX.parse_questions(raw, "value").select("id", "question", "ground_truth", F.size("key_facts").alias("n_facts"))
 
 

@@ -229,10 +229,10 @@ def h01(t):
 with w as (select doc_id, unnest(list_distinct(regexp_split_to_array(lower(text), '[^a-z]+'))) as word from documents),
 n as (select doc_id, word, {NORM.format(x='word')} as name from w)
 select doc_id, word, coalesce(a.target, name) as canonical
-from n left join (values {ALIAS_ROWS}) a(short, target) on a.short = name where len(word) between 2 and 3""")
+from n left join (values {ALIAS_ROWS}) a(short, target) on a.short = name where word <> ''""")
 def h02(t):
     w = t.documents.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("word"))
-    return w.where(F.length("word").between(2, 3)).select("doc_id", "word", X.resolve_canonical("word").alias("canonical"))
+    return w.where(F.col("word") != "").select("doc_id", "word", X.resolve_canonical("word").alias("canonical"))
 
 
 @query("h03_slug_paths", """

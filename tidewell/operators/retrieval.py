@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -215,6 +216,12 @@ def _keep_best(q: np.ndarray, doc: np.ndarray, sim: np.ndarray, k: int) -> tuple
     return q[keep], doc[keep], sim[keep]
 
 
+def _sortable(ids: pa.Array) -> np.ndarray:
+    """Ids as an array that numpy can sort; strings by code point, as Spark orders them."""
+    values = ids.to_numpy(zero_copy_only=False)
+    return values.astype(str) if values.dtype == object else values
+
+
 def knn(
     vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str = "doc_id", vec_col: str = "embedding",
     query_id: str = "query_id", query_vec: str = "query_embedding", exclude_self: bool = False,
@@ -223,35 +230,43 @@ def knn(
 
     Each task multiplies its vectors with one bounded slice of the queries and
     passes on k rows per query, so no pair table exists. More queries than fit the
-    bound mean more passes over the vectors, never a larger broadcast.
+    bound mean more passes over the vectors, one after the other, never a larger
+    broadcast. Ids keep their types. Rows without a vector take no part; a vector of
+    another length than the queries' fails the job.
     """
     spark = vectors.sparkSession
     # Written once: the count, every slice and the vectors' width read the same files.
     asked = materialize(queries.where(F.size(query_vec) > 0).select(
-        F.col(query_id).cast("bigint").alias("query_id"), F.col(query_vec).cast("array<double>").alias("v")), "knn-queries")
+        F.col(query_id).alias("query_id"), F.col(query_vec).cast("array<double>").alias("v")), "knn-queries")
     shape = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim"),
                       F.min(F.size("v")).alias("least")).first()
     dim = shape["dim"] or 0
     if shape["least"] != shape["dim"]:
         raise ValueError("query vectors differ in length")
     slices = max(1, -(-shape["n"] // max(1, QUERY_SLICE_BYTES // (8 * max(dim, 1)))))
-    base = vectors.where(F.size(vec_col) == dim).select(
-        F.col(id_col).cast("bigint").alias("doc_id"), F.col(vec_col).cast("array<double>").alias("v"))
-    schema = "query_id bigint, doc_id bigint, similarity double"
-
-    def one_pass(part: DataFrame) -> DataFrame:
-        held = part.toPandas()
-        q_ids = held["query_id"].to_numpy(dtype="int64")
-        q_mat = np.array(held["v"].tolist(), dtype="float64").reshape(len(held), dim)
-        shared = spark.sparkContext.broadcast((q_ids, q_mat, np.sqrt((q_mat * q_mat).sum(axis=1))))
+    other = F.raise_error(F.concat(F.lit(f"a vector is not of the queries' length {dim}: id "), F.col(id_col).cast("string")))
+    fits = F.lit(dim == 0) | (F.size(vec_col) == dim)
+    base = vectors.where(F.size(vec_col) > 0).select(
+        F.col(id_col).alias("doc_id"), F.when(fits, F.col(vec_col).cast("array<double>")).otherwise(other).alias("v"))
+    schema = T.StructType([asked.schema["query_id"], base.schema["doc_id"], T.StructField("similarity", T.DoubleType())])
+    if exclude_self and isinstance(asked.schema["query_id"].dataType, T.StringType) != isinstance(
+            base.schema["doc_id"].dataType, T.StringType):
+        raise ValueError("exclude_self needs ids of one type")
+
+    def one_pass(part: DataFrame) -> tuple[DataFrame, Broadcast]:
+        held = part.toArrow()
+        q_mat = held.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, max(dim, 1))
+        shared = spark.sparkContext.broadcast(
+            (held.column("query_id").combine_chunks(), q_mat, np.sqrt((q_mat * q_mat).sum(axis=1))))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, mat, norms = shared.value
-            best_q, best_d, best_s = np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0)
+            asked_ids, mat, norms = shared.value
+            ids = _sortable(asked_ids)
+            best: dict[int, tuple] = {}  # by block of queries: query number, document, similarity
             for batch in batches:
                 if not batch.num_rows or not len(ids):
                     continue
-                doc = batch.column(0).to_numpy(zero_copy_only=False)
+                doc = _sortable(batch.column(0))
                 x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(doc), dim)
                 x_norm = np.sqrt((x * x).sum(axis=1))
                 for at in range(0, len(ids), QUERY_BLOCK):
@@ -264,19 +279,26 @@ def knn(
                         sim[doc[:, None] == ids[None, at:stop]] = -np.inf
                     floor = np.partition(sim, -k, axis=0)[-k] if len(doc) > k else np.full(sim.shape[1], -2.0)
                     d, q = np.nonzero(sim >= np.maximum(floor, -2.0)[None, :])
-                    best_q, best_d, best_s = _keep_best(
-                        np.r_[best_q, q + at], np.r_[best_d, doc[d]], np.r_[best_s, sim[d, q]], k)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[best_q] if len(ids) else best_q), pa.array(best_d), pa.array(best_s)],
-                names=["query_id", "doc_id", "similarity"])
+                    found = q + at, doc[d], sim[d, q]
+                    held_best = best.get(at)
+                    best[at] = _keep_best(*(found if held_best is None else map(np.concatenate, zip(held_best, found))), k)
+            for q, doc, sim in best.values():
+                yield pa.RecordBatch.from_arrays(
+                    [asked_ids.take(pa.array(q)), pa.array(doc.tolist(), batch.schema.field(0).type), pa.array(sim)],
+                    names=["query_id", "doc_id", "similarity"])
 
-        return base.mapInArrow(run, schema)
+        return base.mapInArrow(run, schema), shared
 
     if slices == 1:
-        found = one_pass(asked)
+        found, _ = one_pass(asked)
     else:
-        found = reduce(DataFrame.unionByName, [
-            one_pass(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == i)) for i in range(slices)])
+        # One slice at a time is held by the driver and the executors; each pass is written.
+        parts = []
+        for i in range(slices):
+            rows, shared = one_pass(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == i))
+            parts.append(materialize(top_k(rows, ["query_id"], [F.desc("similarity"), F.asc("doc_id")], k).drop("rank0"), "knn-pass"))
+            shared.destroy()
+        found = reduce(DataFrame.unionByName, parts)
     return top_k(found, ["query_id"], [F.desc("similarity"), F.asc("doc_id")], k)
 
 

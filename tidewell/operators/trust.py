@@ -53,22 +53,28 @@ def clear_stale(sources: DataFrame, keys: DataFrame, key: str = "url") -> DataFr
 def freshness_outcome(sources: DataFrame, seen: DataFrame) -> DataFrame:
     """Compare sources with what a fetch observed.
 
-    ``seen``: ``url, head_status, last_modified, text`` (nulls where absent).
-    ``outcome`` is one of dead, fresh, empty, unchanged, changed.
+    ``seen``: ``url, head_status, last_modified, text`` (nulls where absent) and,
+    optionally, ``fetch_error`` with the message of a fetch that failed. ``outcome`` is
+    one of unobserved (no row in ``seen``), error, dead, fresh, empty, unchanged, changed.
     """
-    joined = sources.join(seen, "url")
+    if "fetch_error" not in seen.columns:
+        seen = seen.withColumn("fetch_error", F.lit(None).cast("string"))
+    joined = sources.join(seen.withColumn("_seen", F.lit(True)), "url", "left")
     new_hash = content_hash("text")
     outcome = (
-        F.when(F.col("head_status") >= 400, "dead")
+        F.when(F.col("_seen").isNull(), "unobserved")
+        .when(F.col("fetch_error").isNotNull(), "error")
+        .when(F.col("head_status") >= 400, "dead")
         .when(F.col("last_modified") < F.col("last_checked"), "fresh")
         .when(is_blank("text"), "empty")
         .when(new_hash == F.col("content_hash"), "unchanged")
         .otherwise("changed")
     )
-    out = joined.withColumn("outcome", outcome)
+    out = joined.withColumn("outcome", outcome).drop("_seen")
     read = F.col("outcome").isin("unchanged", "changed")
     error = (
-        F.when(F.col("outcome") == "dead", F.concat(F.lit("Source returned HTTP "), F.col("head_status").cast("string")))
+        F.when(F.col("outcome") == "error", F.col("fetch_error"))
+        .when(F.col("outcome") == "dead", F.concat(F.lit("Source returned HTTP "), F.col("head_status").cast("string")))
         .when(F.col("outcome") == "empty", F.lit("Content extraction returned empty"))
     )
     return out.withColumns({
@@ -80,7 +86,7 @@ def freshness_outcome(sources: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 def apply_freshness(outcomes: DataFrame, columns: list[str], now: Column) -> DataFrame:
-    """New state of the checked sources.
+    """New state of the sources; a failed fetch or none leaves ``last_checked`` as it was.
 
     The reference behaviour overwrites the ingested hash as soon as a change is
     seen, so that the new text later counts as already known and the source stays
@@ -93,7 +99,7 @@ def apply_freshness(outcomes: DataFrame, columns: list[str], now: Column) -> Dat
         "content_hash": F.when(changed, F.col("new_hash")).otherwise(F.col("content_hash")),
         "change_count": F.col("change_count") + changed.cast("int"),
         "is_stale": F.col("is_stale") | changed,
-        "last_checked": now,
+        "last_checked": F.when(F.col("outcome").isin("unobserved", "error"), F.col("last_checked")).otherwise(now),
     })
     return new.select(*columns)
 
@@ -115,9 +121,9 @@ def dead_url_events(outcomes: DataFrame, now: Column, once_per_outage: DataFrame
 
 
 def freshness_summary(outcomes: DataFrame) -> DataFrame:
-    """Counts of a sweep: checked, changed, errors."""
+    """Counts of a sweep: checked, changed, errors; unobserved sources are not checked."""
     return outcomes.agg(
-        F.count(F.lit(1)).alias("checked"),
+        F.count_if(F.col("outcome") != "unobserved").alias("checked"),
         F.count_if("changed").alias("changed"),
         F.count_if(F.col("error").isNotNull()).alias("errors"),
     )

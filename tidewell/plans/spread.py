@@ -1,29 +1,19 @@
-"""Use all cores for work that is heavy per row."""
+"""Use all cores for work that is heavy per row, where the session asks for it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from tidewell.session import SPREAD_CONF
+
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """``df`` over all cores when its scan gives fewer tasks than there are cores.
+    """``df`` over as many tasks as ``SPREAD_CONF`` says, or as it is where that is unset.
 
-    A Parquet row group is read by one task, so a small table of long texts would
-    otherwise be processed by a single core. Tables with enough files, that is all
-    large ones, stay where they are and are not shuffled. ``key`` must be (nearly)
-    unique; hashing it keeps a repeated task deterministic.
+    A Parquet row group is read by one task, so a table in one small file would be
+    processed by a single core. Tables of many files need no such setting and are not
+    shuffled without it, whatever their size. ``key`` must be (nearly) unique; hashing
+    it keeps a repeated task deterministic.
     """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if _scan_bytes(df) < cores * _split_bytes(df) else df
-
-
-def _split_bytes(df: DataFrame) -> int:
-    return int(df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-
-
-def _scan_bytes(df: DataFrame) -> int:
-    """Size of the plan as the optimizer estimates it (file sizes for scans)."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
+    tasks = int(df.sparkSession.conf.get(SPREAD_CONF, "0") or 0)
+    return df.repartition(tasks, key) if tasks > 0 and not df.isStreaming else df

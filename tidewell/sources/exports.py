@@ -13,14 +13,22 @@ QUESTION = (
 
 # --- questions ---------------------------------------------------------------
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
-    """Questions of JSON files, each an array of objects."""
-    return question_defaults(spark.read.schema(QUESTION).json(path, multiLine=True))
+    """Questions of JSON files, each an array of objects.
+
+    A file that is no such array gives one row with its text in ``unread``.
+    """
+    read = spark.read.schema(QUESTION + ", unread string").json(path, multiLine=True, columnNameOfCorruptRecord="unread")
+    return question_defaults(read)
 
 
 def parse_questions(raw: DataFrame, text_col: str) -> DataFrame:
-    """Questions out of a column with JSON arrays."""
+    """Questions out of a column with JSON arrays; a text that is none gives one row with it in ``unread``."""
     entry = "array<struct<" + QUESTION.replace(", ", ",").replace(" ", ":") + ">>"
-    return question_defaults(raw.select(F.explode(F.from_json(text_col, entry)).alias("q")).select("q.*"))
+    read = F.from_json(text_col, entry)
+    broken = read.isNull() | F.exists(F.coalesce(read, F.array()), lambda q: q.isNull())
+    rows = raw.select(F.when(broken, F.coalesce(F.col(text_col), F.lit(""))).alias("unread"), F.when(~broken, read).alias("list"))
+    rows = rows.where(F.col("unread").isNotNull() | (F.size("list") > 0)).select("unread", F.explode_outer("list").alias("q"))
+    return question_defaults(rows.select("q.*", "unread"))
 
 
 def question_defaults(rows: DataFrame) -> DataFrame:

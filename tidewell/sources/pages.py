@@ -10,7 +10,8 @@ from tidewell.plans.spread import spread
 
 MAX_BYTES = 5 * 1024 * 1024
 
-ENTRY_SCHEMA = "url string, title string, source_type string, category string, priority int, spec string, enabled boolean"
+# The priority is read as it stands, so that one which is no whole number can be told from a missing one.
+ENTRY_SCHEMA = "url string, title string, source_type string, category string, priority string, spec string, enabled boolean"
 
 
 # --- source lists ------------------------------------------------------------
@@ -20,12 +21,23 @@ def read_source_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def source_entries(raw: DataFrame, text_col: str) -> DataFrame:
-    """Entries out of JSON text rows, missing fields filled with their defaults."""
+    """Entries out of JSON text rows, missing fields filled with their defaults.
+
+    ``unread`` is null for an entry. A text that is no list of entries gives one row
+    with the whole text there and nothing else, which ``check_entries`` rejects; so
+    does a priority that is no whole number, with the priority's text.
+    """
     entry = "array<struct<" + ENTRY_SCHEMA.replace(" ", ":").replace(",:", ",") + ">>"
     held = F.from_json(text_col, f"struct<sources:{entry}>")["sources"]
     is_list = F.ltrim(F.col(text_col)).startswith("[")
-    rows = raw.select(F.explode(F.when(is_list, F.from_json(text_col, entry)).otherwise(held)).alias("e")).select("e.*")
-    return with_defaults(rows)
+    read = F.when(is_list, F.from_json(text_col, entry)).otherwise(held)
+    broken = read.isNull() | F.exists(F.coalesce(read, F.array()), lambda e: e.isNull())
+    rows = raw.select(F.when(broken, F.coalesce(F.col(text_col), F.lit(""))).alias("unread"),
+                      F.when(~broken, read).alias("list"))
+    rows = rows.where(F.col("unread").isNotNull() | (F.size("list") > 0)).select("unread", F.explode_outer("list").alias("e"))
+    whole = F.regexp_like("priority", F.lit(r"^[+-]?[0-9]{1,9}$"))
+    rows = rows.select("e.*", "unread").withColumn("unread", F.coalesce("unread", F.when(~whole, F.col("priority"))))
+    return with_defaults(rows.withColumn("priority", F.when(whole, F.col("priority")).cast("int")))
 
 
 def with_defaults(entries: DataFrame) -> DataFrame:
@@ -38,8 +50,10 @@ def with_defaults(entries: DataFrame) -> DataFrame:
 def check_entries(entries: DataFrame) -> DataFrame:
     """Entries with ``reject_reason`` (null = valid)."""
     web = F.startswith("url", F.lit("http://")) | F.startswith("url", F.lit("https://"))
-    reason = F.when(~F.coalesce(web, F.lit(False)), "bad url").when(F.col("title").isNull(), "no title").when(
-        ~F.col("priority").between(1, 3), "bad priority")
+    unread = F.col("unread").isNotNull() if "unread" in entries.columns else F.lit(False)
+    reason = F.when(unread & F.col("url").isNull() & F.col("title").isNull(), "unreadable").when(
+        ~F.coalesce(web, F.lit(False)), "bad url").when(F.col("title").isNull(), "no title").when(
+        unread | ~F.col("priority").between(1, 3), "bad priority")
     return entries.withColumn("reject_reason", reason)
 
 
@@ -63,13 +77,15 @@ NAMED = {
     "bull": "•", "hellip": "…", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”",
     "laquo": "«", "raquo": "»", "deg": "°", "times": "×", "euro": "€", "pound": "£", "sect": "§",
 }
-# Inside of a tag; a quoted attribute value may hold a ">".
-ATTRS = r"""[^>=]*(?:=\s*(?:"[^"]*"|'[^']*'|[^>"'\s]?)[^>=]*)*"""
+# Inside of a tag; a quoted attribute value may hold a ">". Possessive, so that a tag of any length
+# is read in a loop and never goes back; a quote that is never closed ends at the next ">" (TAG_END).
+ATTRS = r"""[^>=]*+(?:=\s*+(?:"[^"]*+"|'[^']*+'|[^>"'\s]?+)[^>=]*+)*+"""
+TAG_END = rf"(?:{ATTRS}>|[^>]*+>)"
 DROPPED_MARKUP = r"(?is)<!--.*?-->|" + "|".join(rf"<{t}\b.*?</{t}\s*>" for t in SKIPPED)
-MAIN_PART = rf"(?is)<(?:article|main)\b{ATTRS}>(.*)</(?:article|main)\s*>"
-PARAGRAPH = rf"(?i)</?(?:p|div|section|article|blockquote|pre|table|ul|ol|dl|h[1-6])\b{ATTRS}>"
-LINE_END = rf"(?i)<(?:br|li|tr|dt|dd|hr)\b{ATTRS}>"
-ANY_TAG = rf"(?s)<[a-zA-Z/!?]{ATTRS}>"
+MAIN_PART = rf"(?is)<(?:article|main)\b{TAG_END}(.*)</(?:article|main)\s*>"
+PARAGRAPH = rf"(?i)</?(?:p|div|section|article|blockquote|pre|table|ul|ol|dl|h[1-6])\b{TAG_END}"
+LINE_END = rf"(?i)<(?:br|li|tr|dt|dd|hr)\b{TAG_END}"
+ANY_TAG = rf"(?s)<[a-zA-Z/!?]{TAG_END}"
 
 
 def unescape(text: Column) -> Column:
@@ -103,7 +119,7 @@ def main_text(html: Column | str) -> Column:
     x = F.regexp_replace(x, r"\s+", " ")
     for level in (1, 2, 3, 4):
         tag = f"h{level}" if level < 4 else "h[4-6]"
-        x = F.regexp_replace(x, rf"(?i)<{tag}\b{ATTRS}>", f"\n\n{'#' * level} ")
+        x = F.regexp_replace(x, rf"(?i)<{tag}\b{TAG_END}", f"\n\n{'#' * level} ")
     x = F.regexp_replace(x, PARAGRAPH, "\n\n")
     x = F.regexp_replace(x, LINE_END, "\n")
     x = unescape(F.regexp_replace(x, ANY_TAG, ""))

@@ -50,13 +50,20 @@ RANKINGS = f"zone_id int, encounter_id bigint, encounter_name string, rankings a
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """Reports as JSON lines."""
-    return spark.read.schema(REPORT).json(path)
+    """Reports as JSON lines; ``unread`` holds a line that could not be read (see ``report_rejects``)."""
+    return spark.read.schema(REPORT + ", unread string").json(path, columnNameOfCorruptRecord="unread")
 
 
 def parse_reports(raw: DataFrame, text_col: str) -> DataFrame:
-    """Reports out of a JSON text column."""
-    return raw.select(F.from_json(text_col, REPORT).alias("r")).select("r.*")
+    """Reports out of a JSON text column; ``unread`` as in ``read_reports``."""
+    read = F.from_json(text_col, REPORT + ", unread string", {"columnNameOfCorruptRecord": "unread"})
+    return raw.select(read.alias("r")).select("r.*")
+
+
+def report_rejects(reports: DataFrame) -> DataFrame:
+    """Lines without a report: ``unread, reject_reason``. They give no rows in the tables below."""
+    reason = F.when(F.col("unread").isNotNull(), "unreadable").when(F.col("code").isNull(), "no code")
+    return reports.select("unread", reason.alias("reject_reason")).where(F.col("reject_reason").isNotNull())
 
 
 def _or(col: str, default) -> Column:
@@ -68,7 +75,7 @@ def report_rows(reports: DataFrame) -> DataFrame:
     starts = F.filter(F.transform("fights", lambda f: f["startTime"]), lambda x: F.coalesce(x, F.lit(0)) != 0)
     ends = F.filter(F.transform("fights", lambda f: f["endTime"]), lambda x: F.coalesce(x, F.lit(0)) != 0)
     both = (F.size(starts) > 0) & (F.size(ends) > 0)
-    return reports.select(
+    return reports.where(F.col("code").isNotNull()).select(
         F.col("code").alias("report_code"), F.nullif("title", F.lit("")).alias("title"), F.col("zone.id").alias("zone_id"),
         F.nullif("zone.name", F.lit("")).alias("zone_name"), F.when(both, F.array_min(starts)).alias("start_time"),
         F.when(both, F.array_max(ends)).alias("end_time"), _or("archived", False).alias("is_archived"))
