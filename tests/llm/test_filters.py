@@ -227,3 +227,16 @@ def test_url_filter_with_few_rows(spark, rows):
 def test_url_filter_is_native(spark):
     plan = urls.url_filter(spark.createDataFrame([(1, "http://a.com/")], "page_id int, url string"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Cartesian|NestedLoop", plan)
+
+
+def test_copies_of_one_page_are_dealt_over_salts(spark):
+    rows = [(i, "h", "menu\nsame words on every page of this site", {"k": 1}) for i in range(200)]
+    pages = spark.createDataFrame(rows, "page_id bigint, host string, text string, extra map<string,int>")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = lines.drop_boilerplate(pages)
+        plan = got._jdf.queryExecution().toString()
+        assert re.search(r"xxhash64\(t#\d+, r#\d+\.page_id", plan)
+        assert got.count() == 200 and {r.n_dropped for r in got.collect()} == {0}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, NumericType, StringType, TimestampType
 
 from tidewell.session import materialize
 
@@ -70,7 +71,9 @@ def drop_boilerplate(pages: DataFrame, host: str = "host", text: str = "text", r
     rows = rows.withColumn("lines", F.coalesce(F.split("t", "\n"), F.array().cast("array<string>")))
     drops = boilerplate(rows.select("host", "lines"), ratio, least_pages)
     salted = drops.select(F.col("host").alias("d_host"), "drop", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("d_salt"))
-    joined = rows.withColumn("salt", F.pmod(F.xxhash64("t"), F.lit(SALTS)).cast("int")).join(
+    # Plain columns beside the text, such as a page's id, keep copies of one text from sharing a salt.
+    dealt = [F.col("r").getField(c) for c in rest if isinstance(pages.schema[c].dataType, (NumericType, StringType, DateType, TimestampType))]
+    joined = rows.withColumn("salt", F.pmod(F.xxhash64("t", *dealt), F.lit(SALTS)).cast("int")).join(
         salted, (F.col("host") == F.col("d_host")) & (F.col("salt") == F.col("d_salt")), "left")
     clean = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(
         F.filter("lines", lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("drop"), _key(x))))
