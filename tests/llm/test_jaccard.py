@@ -78,6 +78,35 @@ def test_a_large_group_of_near_copies(spark):
     assert got == brute(texts, list(range(600)), 3, 9, 10)
 
 
+@pytest.mark.parametrize("tasks", [1, 2])
+def test_links_of_sets_behind_different_hubs(spark, tasks):
+    # Two linked texts in two batches; in each, texts with smaller keys that link to nothing share all of their parts.
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(300)]
+
+    def key(t):
+        return J.short_key(J.set_key(J.shingles(t, 3, J._words())))
+
+    linked = sorted((" ".join([*base, f"k{i}"]) for i in range(200)), key=key)[-2:]
+    hubs = []
+    while len(hubs) < 60:
+        w = list(base)
+        for at in rng.sample(range(5, 295), 11):
+            w[at] = f"e{len(hubs)}x{at}"
+        if key(" ".join(w)) < min(map(key, linked)):
+            hubs.append(" ".join(w))
+    texts = [linked[0], *hubs[:30], linked[1], *hubs[30:]]
+    want = brute(texts, list(range(62)), 3, 9, 10)
+    assert [r for r in want if r[0] != r[2]] == [(31, 299, 0)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "31")
+    try:
+        df = spark.createDataFrame(spark.sparkContext.parallelize(list(enumerate(texts)), tasks), "doc_id long, text string")
+        got = sorted((tuple(r) for r in J.jaccard_components(df).collect()), key=str)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want
+
+
 def test_every_linked_pair_shares_a_part():
     rng = np.random.default_rng(4)
     for p, q in ((9, 10), (4, 5)):

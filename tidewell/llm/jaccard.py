@@ -19,6 +19,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
@@ -285,20 +286,26 @@ def sets_of(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
 
 
 def proposals(docs: DataFrame, text: str, width: int, p: int, q: int) -> DataFrame:
-    """``a, b``: short keys of sets that share a part, and the smallest short key that this part was met with.
-
-    Each task first joins what it holds itself, so that a part that many documents share reaches
-    the shuffle once a batch. A short key is the first half of a key: should two sets have one,
-    both are looked at. The exchange is sorted, and read as a stream.
+    """``a, b``: short keys of sets that share a part with others, and the smallest short key of all sets with this part.
+
+    So all sets with a part are in the group of one hub, whatever batch or task they come from.
+    Each task first joins the sets of a batch that share a part into a sub-group. Of a sub-group
+    only the smallest key meets those of other batches, so a part that many documents share
+    reaches one task once a batch; the others ask for their sub-group's hub afterwards, a batch
+    at a time. None is left out: a set that links to its hub here can still be the only partner
+    of a set elsewhere. A short key is the first half of a key: should two sets have one, both
+    are looked at. The exchange is sorted, and read as a stream.
     """
     rows = docs.select(F.col(text).cast("string").alias("t"))
 
     def send(batches):
-        words, seen = _words(), set()
+        words, seen, number = _words(), set(), 0
+        task = TaskContext.get().partitionId()
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for at in range(0, len(texts), 2048):
                 found, keys = [], []
+                number += 1
                 for t in texts[at:at + 2048]:
                     own = shingles(t, width, words)
                     words.trim()
@@ -319,16 +326,20 @@ def proposals(docs: DataFrame, text: str, width: int, p: int, q: int) -> DataFra
                 sign, key = sign[order], key[order]
                 new = np.r_[True, sign[1:] != sign[:-1]]
                 hub = key[np.maximum.accumulate(np.where(new, np.arange(len(sign)), 0))]
-                # A row that is not the smallest of its part here needs no partner elsewhere; it travels by itself.
-                lone = mix(key.view(np.uint64) * M1 + sign.view(np.uint64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.where(key == hub, sign, lone)), pa.array(key), pa.array(hub)], names=["s", "k", "h"])
+                # Sub-groups of two and more have a number. Their smallest key travels by the part, the others by the number.
+                sub = mix(sign.view(np.uint64) + M1 * mix(salt(task) ^ np.uint64(number))).view(np.int64)
+                smallest = key == hub
+                run = np.flatnonzero(new)
+                shared = np.logical_or.reduceat(~smallest, run)[np.cumsum(new) - 1]
+                yield pa.RecordBatch.from_arrays([pa.array(np.where(smallest, sign, sub)), pa.array(key), pa.array(np.where(shared, sub, 0))], names=["s", "k", "g"])
 
     def meet(batches):
+        """``a, b, g``: a pair; with a null ``b``, one that asks for the hub of ``g``; with a null ``a``, the hub of ``g``."""
         last_sign, last_hub = None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sign, key, hub = (c.to_numpy() for c in batch.columns)
+            sign, key, group = (c.to_numpy() for c in batch.columns)
             new = np.r_[True, sign[1:] != sign[:-1]]
             smallest = key[np.maximum.accumulate(np.where(new, np.arange(len(sign)), 0))]
             if last_sign is not None and sign[0] == last_sign:
@@ -336,13 +347,20 @@ def proposals(docs: DataFrame, text: str, width: int, p: int, q: int) -> DataFra
                 smallest = smallest.copy()
                 smallest[:run] = last_hub
             last_sign, last_hub = sign[-1], smallest[-1]
-            smallest = np.where(hub != key, hub, smallest)
-            pairs = np.unique(np.stack([key, smallest], 1)[key != smallest], axis=0)
-            if len(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
-
-    sent = rows.mapInArrow(send, "s long, k long, h long")
-    return sent.repartition("s").sortWithinPartitions("s", "k").mapInArrow(meet, "a long, b long").distinct()
+            asks = sign == group
+            names = ~asks & (group != 0)
+            pairs = np.unique(np.stack([key, smallest], 1)[(key != smallest) & ~asks], axis=0)
+            a = pa.array(np.r_[pairs[:, 0], key[asks], key[names]], mask=np.r_[np.zeros(len(pairs) + asks.sum(), bool), np.ones(names.sum(), bool)])
+            b = pa.array(np.r_[pairs[:, 1], key[asks], smallest[names]], mask=np.r_[np.zeros(len(pairs), bool), np.ones(asks.sum(), bool), np.zeros(names.sum(), bool)])
+            g = pa.array(np.r_[np.zeros(len(pairs), np.int64), group[asks], group[names]])
+            if len(g):
+                yield pa.RecordBatch.from_arrays([a, b, g], names=["a", "b", "g"])
+
+    sent = rows.mapInArrow(send, "s long, k long, g long")
+    met = materialize(sent.repartition("s").sortWithinPartitions("s", "k").mapInArrow(meet, "a long, b long, g long"), "met")
+    asked = met.filter(F.col("b").isNull()).select("a", "g").join(met.filter(F.col("a").isNull()).select("b", "g"), "g")
+    pairs = met.filter(F.col("a").isNotNull() & F.col("b").isNotNull()).select("a", "b")
+    return pairs.unionByName(asked.select("a", "b")).filter("a != b").distinct()
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, p: int = 9, q: int = 10,
