@@ -8,7 +8,7 @@ import zlib
 
 import pytest
 
-from tidewell.llm import language, lines, quality, rules, urls
+from tidewell.llm import language, lines, quality, queries, rules, urls
 
 ODD = [None, "", " ", "\n\n", "A.", "word " * 20000, "é" * 500, "😀 #1", "1234 5678", "tie", "tie"]
 
@@ -216,6 +216,41 @@ def test_url_models_against_brute_force(spark):
     assert got[60].verdict == "allow" and got[61].verdict == "block"
 
 
+def test_registered_url_models_read_long_contexts_of_real_signs(spark, tmp_path):
+    rng = random.Random(3)
+
+    def some(signs):
+        return "".join(rng.choice(signs) for _ in range(6))
+
+    # Kinds that differ in letters that folding hides, in digits, and only in what stands four signs before.
+    good = [f"q.com/{some('абвг')}/{some('123')}/p{rng.choice('xy')}qrsu" for _ in range(40)]
+    bad = [f"q.net/es/{some('дежз')}/{some('789')}/v{rng.choice('xy')}qrst" for _ in range(40)]
+    free = ["q.org/абвгаб", "q.org/дежзде", "q.org/123123", "q.org/789789"]
+    rows = [(i, "http://" + u) for i, u in enumerate(good + bad + free)]
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r for r in queries.op5(spark, str(tmp_path)).collect()}
+    counts = [collections.Counter(x[j - k:j + 1] for u in set(us) for x in ["\x02" * 5 + u + "\x03"] for j in range(5, len(x)) for k in range(6)) for us in (good, bad)]
+    contexts = [collections.Counter() for _ in counts]
+    for c, own in zip(counts, contexts, strict=True):
+        for g, n in c.items():
+            own[g[:-1], len(g)] += n
+    known = set(counts[0]) | set(counts[1])
+    alphabet = len({g for g in known if len(g) == 1})
+
+    def p(i, g):
+        return (counts[i][g] + 4.0 * p(i, g[1:])) / (contexts[i][g[:-1], len(g)] + 4.0) if g else 1 / alphabet
+
+    def ratio(g):
+        while g and g not in known:
+            g = g[1:]
+        return math.log(p(0, g) / p(1, g)) if g else 0.0
+
+    for i, u in enumerate(good + bad + free):
+        x = "\x02" * 5 + u + "\x03"
+        assert got[i].score == pytest.approx(sum(ratio(x[j - 5:j + 1]) for j in range(5, len(x))) / (len(x) - 5), abs=2e-6)
+    assert [got[80 + i].verdict for i in range(4)] == ["allow", "block"] * 2
+
+
 @pytest.mark.parametrize("rows", [[], [("http://a.org/x",)], [("http://a.com/",)], [("http://a.net/es/",), ("http://z.org/",)]])
 def test_url_filter_with_few_rows(spark, rows):
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id int, url string")

@@ -31,8 +31,8 @@ def op3(spark, folder):
 
 @query("op5_url_filters")
 def op5(spark, folder):
-    """Every page's URL judged by rules and language models."""
-    return urls.url_filter(table(spark, folder, "pages"))
+    """Every page's URL judged by rules and language models of contexts of up to 5 signs."""
+    return urls.url_filter(table(spark, folder, "pages"), context=urls.LONG_CONTEXT, folded=False)
 
 
 @query("op6_quality_rules", rules.SQL)

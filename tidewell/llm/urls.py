@@ -15,9 +15,11 @@ RULES = (
 )
 #: Longest context of the models, in signs; and how strongly a context leans on the next shorter one.
 CONTEXT = 2
+LONG_CONTEXT = 5
 LEAN = 4.0
-#: URLs are read in this alphabet of 40 signs (digits as 0, all else as ~), between ^ and $. So the models have
-#: at most 40 + 40^2 + 40^3 entries, whatever the number of URLs, and can be sent to every task.
+#: Copies of each scored gram, so that URLs that all hold it meet it in as many places.
+SALTS = 8
+#: Folded URLs are read in this alphabet of 40 signs (digits as 0, all else as ~), between ^ and $.
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 OTHERS = "0/.-_?=&%:^$~"
 
@@ -36,64 +38,77 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return text, verdict
 
 
-def spelled(url: Column) -> Column:
-    """A URL without its scheme in the alphabet of the models."""
-    x = F.lower(F.regexp_replace(F.coalesce(url, F.lit("")), "(?s)^.*?://", ""))
-    x = F.regexp_replace(F.regexp_replace(x, "[0-9]", "0"), "[^a-z0/.\\-_?=&%:]", "~")
-    return F.concat(F.lit("^" * CONTEXT), x, F.lit("$"))
+def spelled(url: Column, context: int = CONTEXT, folded: bool = True) -> Column:
+    """A URL without its scheme, in the folded alphabet or in its own signs, between marks of start and end."""
+    x = F.regexp_replace(F.coalesce(url, F.lit("")), "(?s)^.*?://", "")
+    if not folded:
+        return F.concat(F.lit("\x02" * context), x, F.lit("\x03"))
+    x = F.regexp_replace(F.regexp_replace(F.lower(x), "[0-9]", "0"), "[^a-z0/.\\-_?=&%:]", "~")
+    return F.concat(F.lit("^" * context), x, F.lit("$"))
 
 
-def grams(rows: DataFrame, *keep: str) -> DataFrame:
+def grams(rows: DataFrame, context: int, *keep: str) -> DataFrame:
     """A row for each sign of ``x``: the kept columns and ``g``, the sign after its context."""
     return rows.select(*keep, F.explode(F.transform(
-        F.sequence(F.lit(CONTEXT + 1), F.length("x")), lambda i: F.substring(F.col("x"), i - CONTEXT, F.lit(CONTEXT + 1)))).alias("g"))
+        F.sequence(F.lit(context + 1), F.length("x")), lambda i: F.substring(F.col("x"), i - context, F.lit(context + 1)))).alias("g"))
 
 
-def models(labelled: DataFrame, lean: float = LEAN) -> DataFrame:
-    """``g, ratio``: log likelihood of a sign after its context under accepted minus under rejected URLs.
+def models(labelled: DataFrame, context: int = CONTEXT, folded: bool = True, lean: float = LEAN) -> list[DataFrame]:
+    """``g, ratio`` by order: log likelihood of a sign after its context under accepted minus under rejected URLs.
 
-    From rows of ``x, label`` (1 accepted, 0 rejected). Models of order 0 to ``CONTEXT`` are
+    From rows of ``x, label`` (1 accepted, 0 rejected). Models of order 0 to ``context`` are
     blended: each adds ``lean`` times the shorter one's probability to its counts, so that rare
     contexts fall back. Only grams that are met have an entry; others are scored from the
-    shorter ones by ``scored``.
+    shorter ones by ``scored``. Order 0 falls back to equal shares of the alphabet, which for URLs
+    in their own signs is the signs met. Entries grow with the URLs and stay tables.
     """
-    counted = materialize(grams(labelled, "label").groupBy("g").agg(
-        F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("r")), "grams")  # at most 40^3 rows from here on
-    out = None
-    for k in range(CONTEXT + 1):
-        level = counted.select(F.substring("g", CONTEXT + 1 - k, k + 1).alias("g"), "a", "r").groupBy("g").agg(
+    counted = materialize(grams(labelled, context, "label").groupBy("g").agg(
+        F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("r")), "grams")
+    signs = len(LETTERS) + len(OTHERS) if folded else max(1, counted.select(F.substring("g", context + 1, 1)).distinct().count())
+    out = []
+    for k in range(context + 1):
+        level = counted.select(F.substring("g", context + 1 - k, k + 1).alias("g"), "a", "r").groupBy("g").agg(
             F.sum("a").alias("a"), F.sum("r").alias("r"))
-        context = level.groupBy(F.left("g", F.lit(k)).alias("c")).agg(F.sum("a").alias("ca"), F.sum("r").alias("cr"))
-        level = level.withColumn("c", F.left("g", F.lit(k))).join(context, "c")
-        if out is None:
-            base_a = base_r = F.lit(1 / (len(LETTERS) + len(OTHERS)))
+        before = level.groupBy(F.left("g", F.lit(k)).alias("c")).agg(F.sum("a").alias("ca"), F.sum("r").alias("cr"))
+        level = level.withColumn("c", F.left("g", F.lit(k))).join(before, "c")
+        if not out:
+            base_a = base_r = F.lit(1 / signs)
         else:
-            shorter = out.select(F.col("g").alias("s"), F.col("pa").alias("sa"), F.col("pr").alias("sr"))
+            shorter = out[-1].select(F.col("g").alias("s"), F.col("pa").alias("sa"), F.col("pr").alias("sr"))
             level = level.join(shorter, F.substring("g", 2, k) == F.col("s"))
             base_a, base_r = F.col("sa"), F.col("sr")
-        level = level.select("g", ((F.col("a") + lean * base_a) / (F.col("ca") + lean)).alias("pa"),
-                             ((F.col("r") + lean * base_r) / (F.col("cr") + lean)).alias("pr"))
-        out = level if out is None else out.unionByName(level)
-    return materialize(out.select("g", F.round(F.log(F.col("pa") / F.col("pr")), 9).alias("ratio")), "models")
+        out.append(materialize(level.select("g", ((F.col("a") + lean * base_a) / (F.col("ca") + lean)).alias("pa"),
+                                            ((F.col("r") + lean * base_r) / (F.col("cr") + lean)).alias("pr")), "models"))
+    return [level.select("g", F.round(F.log(F.col("pa") / F.col("pr")), 9).alias("ratio")) for level in out]
 
 
-def scored(urls: DataFrame, model: DataFrame) -> DataFrame:
+def scored(urls: DataFrame, model: list[DataFrame]) -> DataFrame:
     """``x, score``: mean log-likelihood difference a sign, of distinct ``x``.
 
-    A sign is scored in the longest context in which the models know it.
+    A sign is scored in the longest context in which the models know it. Every distinct gram is
+    looked up once, and joined back to the URLs with salts.
     """
-    signs = grams(urls, "x").withColumns({f"g{k}": F.substring("g", CONTEXT + 1 - k, k + 1) for k in range(CONTEXT + 1)})
-    for k in range(CONTEXT + 1):  # bounded by the alphabet, see LETTERS
-        own = F.broadcast(model.filter(F.length("g") == k + 1).select(F.col("g").alias(f"m{k}"), F.col("ratio").alias(f"r{k}")))
-        signs = signs.join(own, F.col(f"g{k}") == F.col(f"m{k}"), "left")
-    ratio = F.coalesce(*[F.col(f"r{k}") for k in range(CONTEXT, -1, -1)], F.lit(0.0))
+    context = len(model) - 1
+    met = grams(urls, context, "x")
+    found = met.select("g").distinct()
+    for k, own in enumerate(model):
+        own = own.select(F.col("g").alias(f"m{k}"), F.col("ratio").alias(f"r{k}"))
+        found = found.join(own, F.substring("g", context + 1 - k, k + 1) == F.col(f"m{k}"), "left")
+    ratio = F.coalesce(*[F.col(f"r{k}") for k in range(context, -1, -1)], F.lit(0.0))
+    found = materialize(found.select("g", ratio.cast("decimal(18,9)").alias("ratio")), "ratios")
+    salted = found.select(F.col("g").alias("f"), "ratio", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("f_salt"))
+    signs = met.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int")).join(
+        salted, (F.col("g") == F.col("f")) & (F.col("salt") == F.col("f_salt")))
     # Summed as decimals: the same sum in whatever order rows arrive.
-    return signs.groupBy("x").agg((F.sum(ratio.cast("decimal(18,9)")).cast("double") / F.count(F.lit(1))).alias("score"))
+    return signs.groupBy("x").agg((F.sum("ratio").cast("double") / F.count(F.lit(1))).alias("score"))
 
 
-def url_filter(pages: DataFrame, rules=RULES, page_id: str = "page_id", url: str = "url") -> DataFrame:
+def url_filter(pages: DataFrame, rules=RULES, page_id: str = "page_id", url: str = "url", context: int = CONTEXT,
+               folded: bool = True) -> DataFrame:
     """``page_id, host, path, rule, verdict, score`` of every row of ``pages``.
 
+    The models read ``context`` signs before a sign, of folded URLs or of URLs in their own signs.
+
     URLs that a rule decides train the models: those it allows as accepted, those it blocks as
     rejected, distinct URLs counted once. The others are allowed if their score reaches the point
     between the mean scores of both kinds, weighed by their spreads. With one kind only, that
@@ -104,10 +119,10 @@ def url_filter(pages: DataFrame, rules=RULES, page_id: str = "page_id", url: str
     rows = pages.select(F.col(page_id).alias("id"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("u"))
     rows = rows.select("id", "u", host_of(F.col("u")).alias("host"), path_of(F.col("u")).alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.select("id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), spelled(F.col("u")).alias("x"))
+    rows = rows.select("id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), spelled(F.col("u"), context, folded).alias("x"))
     urls = rows.groupBy("x").agg(F.max("ruled").alias("ruled"))
     labelled = urls.filter(F.col("ruled").isNotNull()).select("x", (F.col("ruled") == "allow").cast("int").alias("label"))
-    judged = materialize(scored(urls.select("x"), models(labelled)).join(urls, "x"), "judged")
+    judged = materialize(scored(urls.select("x"), models(labelled, context, folded)).join(urls, "x"), "judged")
     kinds = {r.ruled: r for r in judged.filter(F.col("ruled").isNotNull()).groupBy("ruled").agg(
         F.avg(F.col("score").cast("decimal(18,9)")).cast("double").alias("mean"), F.stddev_pop("score").alias("spread")).collect()}
     if len(kinds) == 2:
