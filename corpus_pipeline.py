@@ -47,12 +47,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by 5-word shingles at a similarity of 0.8, the one with the smallest id.
 
-    Of repeated rows of one id one stays. Documents without an id stay unless they are linked to one with an id.
+    Texts of one id are documents each; of repeated rows of one id and text the least in the order of their columns stays.
+    Documents without an id stay unless they are linked to one with an id.
     """
-    groups = jaccard.jaccard_components(docs, width=5, p=4, q=5)
-    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first")).distinct()
-    kept = docs.select(*COLUMNS).join(first, F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
-    return kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id IS NULL"))
+    # Ids come before none, and texts of one id are told apart by a digest.
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+    rows = docs.select(own.alias("own"), *COLUMNS)
+    groups = jaccard.jaccard_components(rows, doc_id="own", width=5, p=4, q=5)
+    first = groups.filter((F.col("own") == F.col("component_id")) | F.col("component_id.none")).select(F.col("own").alias("first")).distinct()
+    kept = rows.join(first, F.col("own") == F.col("first"), "left_semi")
+    least = kept.filter("doc_id IS NOT NULL").groupBy("own").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
+    return least.unionByName(kept.filter("doc_id IS NULL").select(*COLUMNS))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -103,6 +103,16 @@ def test_empty_and_odd_documents(spark, folder):
     assert ids(P.ngram_jaccard_join(spark, odd.filter("doc_id is not null"), folder)) == [1, 2]
 
 
+def test_join_with_repeated_and_null_ids(spark, folder):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(20)) for x in "abcd")
+    rows = [(1, a), (1, b), (1, b), (2, b), (None, a), (None, c), (None, c), (None, None), (3, d + " z"), (None, d)]
+    docs = spark.createDataFrame([(i, t, "en", "s", n) for n, (i, t) in enumerate(rows)], SCHEMA)
+    got = P.ngram_jaccard_join(spark, docs, folder)
+    assert got.columns == P.COLUMNS
+    # Both texts of id 1 stay, the first of its repeated rows; texts without an id stay where none with an id is linked.
+    assert sorted(r.n_chars for r in got.collect()) == [0, 1, 5, 6, 7, 8]
+
+
 def test_everything_is_registered():
     names = [n for n in entry.queries() if n.startswith("op") or n == "pipeline"]
     assert sorted(n.split("_")[0] for n in names) == sorted([f"op{i}" for i in range(1, 11)] + ["pipeline"])
