@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe, jaccard, language, lines, neighbours, packing, quality, rules, token_counts, urls
+from tidewell.llm import bpe, exact, jaccard, language, lines, neighbours, packing, quality, rules, token_counts, urls, variants, whitening
 from tidewell.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -75,3 +75,21 @@ def op9(spark, folder):
 def op4(spark, folder):
     """The 20 nearest found for every twentieth embedding."""
     return neighbours.nearest(table(spark, folder, "embeddings"))
+
+
+@query("op11_whitening")
+def op11(spark, folder):
+    """Every embedding on the whitened leading components of all distinct ones."""
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+@query("op12_spelling_variants", variants.SQL)
+def op12(spark, folder):
+    """Every longer word of the documents, its near words and the form that it is a variant of."""
+    return variants.spelling_variants(table(spark, folder, "documents"))
+
+
+@query("op13_exact_dedup", exact.SQL)
+def op13(spark, folder):
+    """Every document, its group of equal texts, and whether it stays: the largest id of a group does."""
+    return exact.exact_dedup(table(spark, folder, "documents"), keep="largest")
