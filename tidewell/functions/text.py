@@ -2,16 +2,31 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidewell.functions import fixed
 
 # White space taken off the ends of log lines and fields.
-# Accented Latin letters (lower case) and what a keyword index folds them to.
 SPACES = " \t\r\n\f\x0b\u00a0\u2028\u2029\u3000"
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-FOLDED = "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _folding() -> tuple[str, str]:
+    """Letters that are a letter and diacritical marks, then the marks; and the letters without (the marks go)."""
+    marks = [chr(point) for point in range(0x300, 0x370)]
+    accented, plain = [], []
+    for point in range(0xC0, 0x2000):
+        base, *rest = unicodedata.normalize("NFD", chr(point))
+        if rest and base.isalpha() and set(rest) <= set(marks):
+            accented.append(chr(point))
+            plain.append(base)
+    return "".join(accented + marks), "".join(plain)
+
+
+# Accented letters, with the diacritical marks at the end, and what a keyword index folds them to.
+ACCENTED, FOLDED = _folding()
 
 
 def literal_map(mapping: dict) -> Column:
