@@ -71,17 +71,17 @@ def resolve_endpoints(edges: DataFrame, entities: DataFrame, block: int = 1 << 1
     name, so a common name makes no pairs.
     """
     ents = entities.select("doc", "name", "chunk_seq", F.lit(0).alias("_side"), F.col("seq").cast("bigint").alias("_tie"),
-                           "entity_id", F.lit(None).cast("string").alias("_role"))
+                           F.lit(None).cast(dict(edges.dtypes)["edge_id"]).alias("_edge"), "entity_id", F.lit(None).cast("string").alias("_role"))
     ends = edges.select("doc", "edge_id", "chunk_seq", F.explode(F.array(
         F.struct(F.lit("source").alias("role"), F.col("source_name").alias("name")),
         F.struct(F.lit("target").alias("role"), F.col("target_name").alias("name")))).alias("e")).select(
-        "doc", F.col("e.name").alias("name"), "chunk_seq", F.lit(1).alias("_side"), F.col("edge_id").cast("bigint").alias("_tie"),
+        "doc", F.col("e.name").alias("name"), "chunk_seq", F.lit(1).alias("_side"), F.lit(0).cast("bigint").alias("_tie"), F.col("edge_id").alias("_edge"),
         F.lit(None).cast(dict(entities.dtypes)["entity_id"]).alias("entity_id"), F.col("e.role").alias("_role"))
     both = ents.unionByName(ends)
-    known = with_neighbours(both, ["doc", "name"], ["chunk_seq", "_side", "_tie", "_role"],
+    known = with_neighbours(both, ["doc", "name"], ["chunk_seq", "_side", "_tie", "_edge", "_role"],
                             F.floor(F.col("chunk_seq") / block), last_until={"_found": "entity_id"})
     hits = known.where((F.col("_side") == 1) & F.col("_found").isNotNull())
-    pairs = hits.groupBy("doc", F.col("_tie").alias("edge_id")).agg(
+    pairs = hits.groupBy("doc", F.col("_edge").alias("edge_id")).agg(
         F.max(F.when(F.col("_role") == "source", F.col("_found"))).alias("source_id"),
         F.max(F.when(F.col("_role") == "target", F.col("_found"))).alias("target_id"))
     whole = pairs.where(F.col("source_id").isNotNull() & F.col("target_id").isNotNull())
@@ -137,15 +137,18 @@ def search_cards(asked: DataFrame, edges: DataFrame, entities: DataFrame, *, ali
     ambiguous = counted.where(F.col("n_matches") > 1).select("query_id", "entity_id", "name", "entity_type")
     single = counted.where(F.col("n_matches") == 1)
 
-    both = None
-    for direction in ("outgoing", "incoming"):
-        found = neighbours(single, edges, entities, direction, relation_types).withColumn("direction", F.lit(direction))
-        found = found.select("query_id", "direction", "relation_type", "related_name", "related_type", "source_id", "target_id",
-                             "confidence", "source_chunk")
-        both = found if both is None else both.unionByName(found)
-    if target_type:
-        both = both.where(F.col("related_type") == target_type)
+    # Edges of the asked entities only, with the end that was asked; names are looked up for the best ones.
+    kept = edges.where(F.col("relation_type").isin(list(relation_types))) if relation_types else edges
+    ends = F.explode(F.array(F.struct(F.lit("outgoing").alias("direction"), F.col("source_id").alias("here"), F.col("target_id").alias("there")),
+                             F.struct(F.lit("incoming").alias("direction"), F.col("target_id").alias("here"), F.col("source_id").alias("there"))))
+    held = kept.select("source_id", "target_id", "relation_type", "confidence", "source_chunk", ends.alias("end")).select("*", "end.*").drop("end")
+    both = held.join(single.select("query_id", F.col("entity_id").alias("here")), "here")
+    there = entities.select(F.col("entity_id").alias("there"), F.col("name").alias("related_name"), F.col("entity_type").alias("related_type"))
+    shown = there.where(F.col("related_type") == target_type) if target_type else there
+    both = both.join(shown.select("there"), "there", "left_semi")
     best = top_k(both, ["query_id", "direction"], [F.desc("confidence"), F.asc("relation_type"), F.asc("source_id"), F.asc("target_id")], top)
+    best = best.join(there, "there").select("query_id", "direction", "relation_type", "related_name", "related_type", "source_id", "target_id",
+                                            "confidence", "source_chunk", "rank0")
     return best, ambiguous, related_chunks(single, best)
 
 
@@ -194,15 +197,46 @@ def word_sequences(toks: Column | str, n: int) -> Column:
 def gazetteer_mentions(chunks: DataFrame, gazetteer: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
     """Default extractor: names of a gazetteer that occur as word sequences of a chunk.
 
-    ``gazetteer``: ``canonical_name, entity_type``. Sequences are cut in the lengths that
+    ``gazetteer``: ``canonical_name, entity_type``. Names and texts are cut into words alike, so
+    that a name with an apostrophe or a dash is found however it is written. Sequences are cut in the lengths that
     its names have, however long. Each chunk gives every sequence once, so the join meets
     no pairs within a chunk; a gazetteer small enough is broadcast by its size.
     """
-    lengths = [r.n for r in gazetteer.select(F.size(F.split("canonical_name", " ")).alias("n")).distinct().collect() if r.n > 0]
+    names = gazetteer.withColumn("_key", F.array_join(tokens("canonical_name"), " "))
     words = spread(chunks.select(id_col, text_col), id_col).select(id_col, tokens(text_col).alias("_t"))
     grams = words.select(id_col, F.explode(F.array_distinct(F.flatten(F.array(
-        *[word_sequences("_t", n) for n in sorted(lengths) or [1]])))).alias("canonical_name"))
-    return grams.join(gazetteer, "canonical_name")
+        *[word_sequences("_t", n) for n in _lengths(names)])))).alias("_key"))
+    return grams.join(names, "_key").drop("_key")
+
+
+def _lengths(names: DataFrame) -> list[int]:
+    """Numbers of words that the names (``_key``) have."""
+    return sorted(r.n for r in names.where(F.col("_key") != "").select(F.size(F.split("_key", " ")).alias("n")).distinct().collect()) or [1]
+
+
+def longest_mentions(chunks: DataFrame, gazetteer: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
+    """``id, position, canonical_name, entity_type``: names as a reader meets them, from left to right.
+
+    At each word the longest name that begins there counts, and the next one begins after it; so
+    of overlapping names the first and longest is taken. Positions count words from 0. A name
+    that the gazetteer holds under several types is met under each.
+    """
+    names = gazetteer.withColumn("_key", F.array_join(tokens("canonical_name"), " "))
+    words = spread(chunks.select(id_col, text_col), id_col).select(id_col, tokens(text_col).alias("_t"))
+
+    def placed(n: int) -> Column:
+        return F.transform(word_sequences("_t", n), lambda k, i: F.struct(i.alias("start"), F.lit(-n).alias("minus"), k.alias("key")))
+
+    met = words.select(id_col, F.explode(F.flatten(F.array(*[placed(n) for n in _lengths(names)]))).alias("m")).select(id_col, "m.*").join(
+        names.select(F.col("_key").alias("key")).distinct(), "key", "left_semi")
+    # The mentions of one chunk in order: longer ones first where they begin together.
+    rows = met.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("start", "minus", "key"))).alias("rows"))
+    taken = F.aggregate(
+        "rows", F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<start: int, minus: int, key: string>>").alias("kept")),
+        lambda acc, m: F.when(m["start"] >= acc["next"], F.struct(
+            (m["start"] - m["minus"]).alias("next"), F.concat(acc["kept"], F.array(m)).alias("kept"))).otherwise(acc), lambda acc: acc["kept"])
+    found = rows.select(id_col, F.explode(taken).alias("m")).select(id_col, F.col("m.start").alias("position"), F.col("m.key").alias("_key"))
+    return found.join(names, "_key").drop("_key")
 
 
 def pending_chunks(chunks: DataFrame, ledger: DataFrame, key: str) -> DataFrame:

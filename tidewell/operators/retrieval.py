@@ -393,6 +393,40 @@ def rerank(
                  rank="position").drop("_n", "_missing", "_key")
 
 
+def rerank_with(
+    results: DataFrame, score_fn: Callable[[list[str], list[str]], list], *, query_text: str, content: str, prior: str,
+    top: int = fixed.TOP_K, ids: str = "doc_id", batch: int = 32,
+) -> DataFrame:
+    """``rerank`` by a function that scores at most ``batch`` pairs of (query text, content) per call.
+
+    Pairs of one query are scored together, in their prior order. A call that fails, gives another
+    number of scores than pairs, or a score that is null or not a number, leaves the scores of its
+    query null; that query keeps its prior order, and the others are not touched. A query with no
+    more than ``top`` results is not scored at all.
+    """
+    schema = T.StructType([*results.schema.fields, T.StructField("_score", T.DoubleType())])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([prior, ids])
+        scores: list = []
+        if len(pdf) > top:
+            try:
+                for at in range(0, len(pdf), batch):
+                    part = pdf.iloc[at:at + batch]
+                    got = list(score_fn(part[query_text].tolist(), part[content].tolist()))
+                    if len(got) != len(part):
+                        raise ValueError(f"{len(got)} scores for {len(part)} pairs")
+                    scores += [float("nan") if x is None else float(x) for x in got]
+            except Exception:  # noqa: BLE001 - the query keeps its prior order
+                scores = []
+        whole = len(scores) == len(pdf) and all(np.isfinite(scores))
+        return pdf.assign(_score=pd.Series(scores if whole else [None] * len(pdf), index=pdf.index, dtype="Float64"))
+
+    # Candidate lists are bounded by the fetch limit.
+    scored = results.groupBy("query_id").applyInPandas(run, schema)
+    return rerank(scored, score=F.col("_score"), prior=prior, top=top, ids=ids).drop("_score")
+
+
 def fetch_size(top: int = fixed.TOP_K) -> int:
     """Candidates to fetch so that reranking can reorder."""
     return max(fixed.FETCH_K, top * fixed.FETCH_MULTIPLIER)
