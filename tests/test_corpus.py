@@ -290,3 +290,24 @@ def test_freshness_of_failed_fetches_and_unseen_sources(spark):
     after = {r.url: r.last_checked.month for r in TR.apply_freshness(out, src.columns, F.lit("2024-03-01").cast("timestamp")).collect()}
     assert after == {"u1": 1, "u2": 3, "u3": 1}
     assert tuple(TR.freshness_summary(out).first()) == (2, 1, 1)
+
+
+def test_a_report_read_twice_changes_nothing(spark, tmp_path):
+    import os
+
+    from tidewell.plans.segments import Segments
+    from tidewell.sources import reports as RP
+
+    store = Segments(spark, str(tmp_path / "r"))
+    fights = spark.createDataFrame([("A", 1, "x", 10), ("A", 2, "y", 20), ("A", 2, "y", 15), ("B", 1, None, None)], "report_code string, fight_id long, name string, duration_ms long")
+    damage = spark.createDataFrame([("A", 1, "p", 5), ("A", 1, None, 7)], "report_code string, fight_id long, player_name string, total_damage long")
+    assert RP.store_tables(store, {"fights": fights, "damage": damage}, 1) and not RP.store_tables(store, {"fights": fights.limit(0), "damage": damage}, 1)
+    state = lambda n: sorted(map(tuple, RP.stored_table(store, n).collect()), key=str)
+    first = {n: state(n) for n in ("fights", "damage")}
+    assert first["fights"] == [("A", 1, "x", 10), ("A", 2, "y", 20), ("B", 1, None, None)] and len(first["damage"]) == 2
+    files = {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, fs in os.walk(tmp_path) for f in fs}
+    RP.store_tables(store, {"fights": fights, "damage": damage}, 2)
+    assert {n: state(n) for n in first} == first and store.read("fights").where("segment = 2").count() == store.read("damage").where("segment = 2").count() == 0
+    RP.store_tables(store, {"fights": spark.createDataFrame([("A", 1, "x", 11), ("C", 1, "z", 1)], fights.schema), "damage": damage.limit(0)}, 3)
+    assert state("fights") == [("A", 1, "x", 11), ("A", 2, "y", 20), ("B", 1, None, None), ("C", 1, "z", 1)] and state("damage") == first["damage"]
+    assert all(os.stat(f).st_mtime_ns == at for f, at in files.items())

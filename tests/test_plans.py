@@ -105,3 +105,33 @@ def test_work_folder(spark, monkeypatch):
     assert session.work_dir(spark) == session.work_dir(spark) and session.work_dir(spark).startswith("/tmp/run-")
     df = session.materialize(spark.range(5), "t")
     assert df.count() == 5 and "Scan parquet" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_group_with_an_outlier_stays_spread(spark):
+    from tidewell.plans.quantile import around_middle, exact_median
+
+    df = spark.range(40_000).select((F.col("id") % 2).alias("k"), F.when(F.col("id") == 1, 1e300).otherwise(F.col("id") * 1.5).alias("v"))
+    near = around_middle(df, ["k"], "v").groupBy("k").count().collect()
+    assert all(r["count"] < 40 for r in near)
+    values = {k: sorted(r.v for r in df.where(F.col("k") == k).collect()) for k in (0, 1)}
+    got = {r.k: r.median for r in exact_median(df, ["k"], "v").collect()}
+    assert got == {k: (v[9_999] + v[10_000]) / 2 for k, v in values.items()}
+
+
+def test_segments_show_committed_changes_only(spark, tmp_path):
+    from tidewell.plans.segments import Segments, last_of, without_removed
+
+    store = Segments(spark, str(tmp_path / "s"))
+    make = lambda *rows: spark.createDataFrame(rows, "k string, v int")
+    schema = make(("a", 1)).schema
+    assert store.versions() == [] and store.read("t", schema).count() == 0
+    store.write(make(("a", 1), ("b", 1)), "t", 1)
+    assert store.read("t", schema).count() == 0
+    store.commit(1, make(("note", 1)))
+    store.write(make(("a", 9)), "t", 2)
+    store.write(make(("a", 2), ("c", 2)), "t", 2)
+    store.commit(2, make(("note", 2)))
+    assert {tuple(r) for r in last_of(store.read("t", schema), "k").collect()} == {("a", 2), ("b", 1), ("c", 2)}
+    gone = spark.createDataFrame([("a", 1), ("b", 2), ("c", 2)], "k string, segment int")
+    assert {tuple(r) for r in without_removed(store.read("t"), gone, "k").drop("segment").collect()} == {("a", 1), ("a", 2), ("c", 2)}
+    assert store.notes().count() == 2 and store.read("t", schema, below=2).count() == 2

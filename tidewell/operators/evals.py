@@ -39,6 +39,11 @@ def trajectory_precision(questions: DataFrame, calls: DataFrame, expected: DataF
 SCORES = ["faithfulness", "relevancy", "trajectory", "accuracy"]
 
 
+def of_tier(items: DataFrame, tier: str | None = None) -> DataFrame:
+    """Evaluation items of one tier, or all; items without a tier belong to none."""
+    return items if tier is None else items.where(F.col("tier") == tier)
+
+
 def gate_report(results: DataFrame) -> DataFrame:
     """Means of the four scores and whether each reaches its threshold; no results fail."""
     means = results.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.avg(s), F.lit(0.0)).alias(s) for s in SCORES])

@@ -6,9 +6,13 @@ missing scalars get their default.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.plans.segments import Segments, last_of
+
 # --- fixed values: fields of the answers -------------------------------------
 ABILITY = "struct<guid:bigint,name:string,total:bigint>"
 COMBATANT_STATS = {
@@ -163,6 +167,11 @@ def ranking_rows(answers: DataFrame) -> DataFrame:
         F.col("r.faction").alias("faction"), F.col("r.size").alias("raid_size"), F.col("r.bracketData").alias("bracket_data"))
 
 
+def of_encounter(encounters: DataFrame, encounter_id: int | None = None) -> DataFrame:
+    """One encounter of a zone, or all of them."""
+    return encounters if encounter_id is None else encounters.where(F.col("encounter_id") == encounter_id)
+
+
 def report_codes(rankings: DataFrame) -> DataFrame:
     """Distinct non-empty report codes over all encounters."""
     return rankings.where(F.col("report_code") != "").select("report_code").distinct()
@@ -178,3 +187,33 @@ KEYS = {
     "casts": ["report_code", "fight_id", "player_name", "ability_name"],
     "fight_rankings": ["report_code", "fight_id", "player_name"],
 }
+
+
+# --- stored tables -----------------------------------------------------------
+def store_tables(store: Segments, tables: dict[str, DataFrame], version: int) -> bool:
+    """Writes flattened tables (names of ``KEYS``) into their stored ones, as change ``version`` of all of them.
+
+    A row replaces the one with its natural key; of rows with one key in a batch the greatest counts.
+    Only rows that are new or differ are written, so a report that is read twice changes nothing,
+    and no earlier file is touched. Says whether the change was applied now.
+    """
+    if version in store.versions():
+        return False
+    written = []
+    for name, rows in tables.items():
+        keys, rest = KEYS[name], [c for c in rows.columns if c not in KEYS[name]]
+        last = rows.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("row"))
+        fresh = last.select(*keys, *[F.col("row")[c].alias(c) for c in rest]).withColumn("digest", F.xxhash64(*keys, *rest))
+        known = last_of(store.read(name, fresh.schema, below=version), keys).select(*[F.col(k).alias(f"known_{k}") for k in keys], F.col("digest").alias("known_digest"))
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"known_{k}"))
+        changed = fresh.join(known, same & (F.col("digest") == F.col("known_digest")), "left_anti")
+        written.append(store.write(changed.select(*fresh.columns), name, version).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), "n"))
+    store.commit(version, reduce(DataFrame.unionByName, written))
+    return True
+
+
+def stored_table(store: Segments, name: str) -> DataFrame:
+    """The rows of one stored table as they were last written."""
+    return last_of(store.read(name), KEYS[name]).drop("digest")
