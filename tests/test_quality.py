@@ -141,3 +141,57 @@ def test_repeated_batch_counts_once(spark, tmp_path):
     step(b, 1)
     step(b, 1)
     assert S.read_latest(spark, f"{root}/state").first().n == 5
+
+
+def test_state_of_an_encounter_that_never_ends_stays_small(spark, tmp_path):
+    root = str(tmp_path / "out")
+    step = J.encounter_step(spark, root, lambda: seq_block("seq", 16))
+    schema = "log_id long, seq long, ts_ms long, kind string, ability string, amount long"
+    rows = [(1, 0, 0, "start", None, None)] + [(1, i, 1000 * i, "damage", f"a{i % 3}", 1) for i in range(1, 400)]
+    for number, at in enumerate(range(0, 400, 100)):
+        step(spark.createDataFrame(rows[at:at + 100], schema), number)
+        assert S.read_latest(spark, f"{root}/open").count() == 1 and S.read_latest(spark, f"{root}/sums").count() == 3
+    # A repeated batch counts once, and the end gives the sums of all batches.
+    step(spark.createDataFrame(rows[300:400], schema), 3)
+    step(spark.createDataFrame([(1, 400, 400_000, "end", None, None)], schema), 4)
+    assert [tuple(r) for r in J.all_versions(spark, f"{root}/totals").collect()] == [(1, 0, 400_000, 399, 399 / 400.0)]
+    assert {(r.ability, r.damage) for r in J.all_versions(spark, f"{root}/abilities").collect()} == {("a0", 133), ("a1", 133), ("a2", 133)}
+    assert S.read_latest(spark, f"{root}/open").count() == S.read_latest(spark, f"{root}/sums").count() == 0
+
+
+def test_encounters_are_given_up_after_a_while_or_dropped_by_a_new_start(spark, tmp_path):
+    schema = "log_id long, seq long, ts_ms long, kind string, ability string, amount long"
+    batches = [[(1, 0, 0, "start", None, None), (1, 1, 10, "damage", "a", 5), (2, 0, 0, "start", None, None), (2, 1, 5, "damage", "a", 7)],
+               [(2, 2, 900, "start", None, None), (2, 3, 950, "damage", "b", 1)], [(1, 5, 1900, "end", None, None), (2, 4, 1950, "end", None, None)]]
+    found = {}
+    for expire in (None, 500):
+        root = str(tmp_path / f"out{expire}")
+        step = J.encounter_step(spark, root, lambda: seq_block("seq", 16), expire_ms=expire)
+        for number, rows in enumerate(batches):
+            step(spark.createDataFrame(rows, schema), number)
+        found[expire] = sorted((r.log_id, r.enc_seq, r.total_damage) for r in J.all_versions(spark, f"{root}/totals").collect())
+    assert found == {None: [(1, 0, 5), (2, 2, 1)], 500: [(2, 2, 1)]}
+
+
+def test_a_running_aggregate_writes_changed_groups_only(spark, tmp_path):
+    folder, root = str(tmp_path / "in"), str(tmp_path / "out")
+    for i, keys in enumerate([("a", "b", "c"), ("b",), ("b", "d")]):
+        spark.createDataFrame([(k, float(i)) for k in keys], "source string, delta double").coalesce(1).write.mode("append").parquet(folder)
+        got = J.running_trust(spark, J.stream_table(spark, folder), root)
+    assert {r.source: (r.delta_sum, r.n_events) for r in got.collect()} == {"a": (0.0, 1), "b": (3.0, 3), "c": (0.0, 1), "d": (2.0, 1)}
+    from tidewell.plans.segments import Segments
+    rows = Segments(spark, root).read("state", got.schema).groupBy("segment").count().collect()
+    assert sorted(r["count"] for r in rows if r["count"]) == [1, 2, 3]
+
+
+def test_a_library_follows_a_stream(spark, tmp_path):
+    from tidewell.operators import library as L
+
+    folder, library = str(tmp_path / "in"), L.create_library(spark, str(tmp_path / "lib"), blocks=2, buckets=2)
+    now = F.lit("2024-01-01").cast("timestamp")
+    schema = "url string, title string, source_type string, text string, seq long"
+    for rows in ([("a", "A", "guide", "one", 0), ("a", "A", "guide", "two", 1), ("b", "B", "guide", "words " * 700, 2)], [("a", "A", "guide", "two", 3)], [("b", "B", "guide", "x", 4)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        J.run_to_end(J.stream_table(spark, folder), J.ingest_step(library, lambda b: now), library.root)
+    assert {(r.url, r.chunk_count, r.change_count) for r in library.sources().collect()} == {("a", 1, 0), ("b", 1, 1)}
+    assert {(r.chunk_id, r.content) for r in library.chunks().collect()} == {("a#0", "two"), ("b#0", "x")}

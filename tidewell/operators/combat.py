@@ -64,27 +64,39 @@ def encounter_events(events: DataFrame, block: Column) -> DataFrame:
     return inside_encounters(with_markers(events, block))
 
 
+def ability_sums(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Damage, hits and casts by key and ability; sums of parts add up to those of the whole."""
+    return rows.where(F.col("kind").isin("damage", "cast")).groupBy(*keys, "ability").agg(
+        F.sum(F.when(F.col("kind") == "damage", F.col("amount"))).alias("damage"),
+        F.count_if(F.col("kind") == "damage").alias("hits"), F.count_if(F.col("kind") == "cast").alias("casts"))
+
+
+def breakdown_of(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Damage, share of the total and casts of the abilities with damage, from ``ability_sums``."""
+    per = sums.where(F.col("hits") > 0).drop("hits")
+    totals = per.groupBy(*keys).agg(F.sum("damage").alias("total_damage"))
+    return per.join(totals, list(keys)).withColumn("damage_pct", share_pct("damage", "total_damage"))
+
+
 def ability_breakdown(inside: DataFrame, extra_keys: Sequence[str] = ()) -> DataFrame:
     """Per encounter and ability: damage, share of the total, casts.
 
     Abilities without damage are left out, with their casts.
     """
     keys = ["log_id", "enc_seq", *extra_keys]
-    per = inside.where(F.col("kind").isin("damage", "cast")).groupBy(*keys, "ability").agg(
-        F.sum(F.when(F.col("kind") == "damage", F.col("amount"))).alias("damage"),
-        F.count_if(F.col("kind") == "damage").alias("_hits"),
-        F.count_if(F.col("kind") == "cast").alias("casts"),
-    ).where(F.col("_hits") > 0).drop("_hits")
-    totals = per.groupBy(*keys).agg(F.sum("damage").alias("total_damage"))
-    return per.join(totals, keys).withColumn("damage_pct", share_pct("damage", "total_damage"))
+    return breakdown_of(ability_sums(inside, keys), keys)
 
 
 def encounter_totals(fights: DataFrame, inside: DataFrame) -> DataFrame:
     """Per completed encounter: total damage, duration and damage per second."""
-    keys = ["log_id", "enc_seq"]
-    damage = inside.where(F.col("kind") == "damage").groupBy(*keys).agg(F.sum("amount").alias("total_damage"))
+    damage = inside.where(F.col("kind") == "damage").groupBy("log_id", "enc_seq").agg(F.sum("amount").alias("total_damage"))
+    return totals_of(fights, damage)
+
+
+def totals_of(fights: DataFrame, damage: DataFrame) -> DataFrame:
+    """``encounter_totals`` from ``log_id, enc_seq, total_damage``."""
     duration = F.col("enc_end_ms") - F.col("enc_start_ms")
-    out = fights.join(damage, keys, "left").withColumn("duration_ms", duration)
+    out = fights.join(damage, ["log_id", "enc_seq"], "left").withColumn("duration_ms", duration)
     total = F.coalesce("total_damage", F.lit(0))
     return out.withColumn("total_damage", total).withColumn("dps", active_rate(total, F.greatest("duration_ms", F.lit(0))))
 
