@@ -6,10 +6,12 @@ from tidewell.catalog.registry import query
 from tidewell.functions import scoring as SC
 from tidewell.functions.text import check_interval, content_hash, is_blank, lookup
 from tidewell.operators import ingest as I
+from tidewell.operators import library as L
 from tidewell.operators import tables as TB
 from tidewell.operators import trust as TR
 from tidewell.plans.blocked import seq_block
-from tidewell.session import fresh_path
+from tidewell.plans.segments import Segments
+from tidewell.session import fresh_path, materialize
 from tidewell.sources import articles as AR
 from tidewell.sources import characters as CH
 from tidewell.sources import exports as EX
@@ -83,11 +85,58 @@ def a04(t):
 
 
 # --- chunks ------------------------------------------------------------------
-@query("j01_chunk_texts")
+def chunk_sql(rows: str) -> str:
+    """CTEs that end in ``chunks`` (key, chunk_index, content), from a query of (key, text).
+
+    Level by level a text is cut, parts are joined again while they fit, and what is too long goes
+    on to the next level; see the comments at each step. 400 tokens are 1600 signs, and a text
+    fits below 1604.
+    """
+    # What is cut, what each later part begins with, and what joins parts again.
+    levels = (("chr(10) || '## '", "'## '", "chr(10)"), ("chr(10) || '### '", "'### '", "chr(10)"), ("chr(10) || chr(10)", "''", "chr(10) || chr(10)"),
+              ("chr(10)", "''", "chr(10)"), (None, "''", "' '"), ("' '", "''", "' '"))
+    out = [f"lev0 as (select key, []::int[] as path, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as text, true as more from ({rows}) where text is not null)"]
+    for n, (cut, prefix, joiner) in enumerate(levels):
+        split = f"string_split(text, {cut})" if cut else "string_split(replace(text, '. ', '.' || chr(1)), chr(1))"
+        # Headings cut any text, the others only those that are too long; blank parts go.
+        active = "more" if n < 2 else "more and length(text) >= 1604"
+        out.append(f"""cut{n} as (select key, path, text, more, length(text) < 1604 as fits, case when {active} then list_filter(list_transform({split},
+            lambda p, i: case when i = 1 then p else {prefix} || p end), lambda p: regexp_matches(p, '\\S')) else [] end as parts from lev{n})""")
+        # Parts of a long text are joined while they fit, and those that do are done.
+        out.append(f"""kid{n} as (select key, path, more, fits, len(parts) <= 1 as same, case when len(parts) <= 1 then [text] when fits then parts else list_reduce(
+            list_transform(parts, lambda p: [p]), lambda acc, x: case when length(acc[-1]) + length({joiner}) + length(x[1]) < 1604
+            then list_append(acc[:-2], acc[-1] || {joiner} || x[1]) else list_append(acc, x[1]) end) end as kids from cut{n})""")
+        out.append(f"""lev{n + 1} as (select key, list_append(path, i) as path, kids[i] as text, case when same then more when fits then true else length(kids[i]) >= 1604 end as more
+            from (select *, unnest(range(1, len(kids) + 1))::int as i from kid{n}))""")
+    out.append("""hard as (select key, path, unnest(case when length(text) < 1604 then [text]
+        else list_transform(range((length(text) + 1599) // 1600), lambda i: substr(text, i * 1600 + 1, 1600)) end) as text,
+        unnest(range(case when length(text) < 1604 then 1 else (length(text) + 1599) // 1600 end)) as i from lev6),
+    bare as (select key, list(x order by path, i) as xs from (select *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as x from hard) where x <> '' group by key),
+    met as (select key, list_reduce(list_transform(xs, lambda x: [x]), lambda acc, x: case when length(acc[-1]) < 200
+        then list_append(acc[:-2], acc[-1] || chr(10) || chr(10) || x[1]) else list_append(acc, x[1]) end) as xs from bare),
+    led as (select key, list_filter(list_transform(xs, lambda x, i: regexp_replace(case when i = 1 then x
+        else regexp_replace(right(xs[i - 1], 200), '^[^ ]* ', '') || ' ' || x end, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') as xs from met),
+    chunks as (select key, unnest(range(len(xs)))::int as chunk_index, unnest(xs) as content from led)""")
+    return ",\n".join(out)
+
+
+@query("j01_chunk_texts", f"""with {chunk_sql("select doc_id as key, text from documents")}
+select key as doc_id, chunk_index, content, length(content)::int as char_count, length(content) // 4 as token_estimate from chunks""")
 def j01(t):
     return I.chunk_texts(t.documents, ["doc_id"], "text")
 
 
+@query("j01_chunk_coverage", """
+select doc_id, md5(regexp_replace(text, '\\s+', '', 'g')) as digest, true as within_limit from documents where regexp_matches(text, '\\S')""")
+def j01c(t):
+    """Per document: all of its signs, in order, from chunks without overlap; and that no chunk is over the limit."""
+    c = I.chunk_texts(t.documents, ["doc_id"], "text", overlap_tokens=0, min_tokens=0)
+    rows = F.array_sort(F.collect_list(F.struct("chunk_index", "content")))  # the chunks of one text
+    whole = F.array_join(F.transform(rows, lambda r: r["content"]), "")
+    return c.groupBy("doc_id").agg(
+        F.md5(F.regexp_replace(whole, r"\s+", "").cast("binary")).alias("digest"), F.bool_and(F.col("char_count") < 1604).alias("within_limit"))
+
+
 @query("j01_chunk_invariants", """
 select doc_id, true as dense, true as lengths_match, true as starts_with_text from documents where regexp_matches(text, '\\S')""")
 def j01b(t):
@@ -114,10 +163,10 @@ def e07(t):
     return I.with_overlap(lines(t), "doc_id", "seq", "line", seq_block("seq")).select("doc_id", "seq", "with_overlap")
 
 
-@query("d29_chunk_counts", """
-select source, sum(len(string_split(text, chr(10))))::bigint as chunk_count from documents group by 1""")
+@query("d29_chunk_counts", f"""with {chunk_sql("select doc_id as key, text from documents")}
+select source, count(chunk_index) as chunk_count from documents left join chunks on key = doc_id group by 1""")
 def d29(t):
-    chunks = lines(t).join(t.documents.select("doc_id", "source"), "doc_id")
+    chunks = I.chunk_texts(t.documents.select("doc_id", "source", "text"), ["doc_id", "source"], "text")
     return I.chunk_counts(t.documents.select("source").distinct(), chunks, "source")
 
 
@@ -170,23 +219,59 @@ def j02b(t):
                       F.col("check_interval_hours").alias("hours"))
 
 
-@query("j02_chunks_after_ingest", f"""with {DEC_SQL}
-select url, 'old' as origin from dec where known and action <> 'replace' union all select url, 'fresh' from dec where action in ('new', 'replace') and regexp_matches(text, '\\S')""")
+# Chunks as they are after the ingest: of the new text where it was taken, else of the one that is known.
+AFTER_SQL = f"""{DEC_SQL},
+taken as (select url, action, text as arrived, case when action in ('new', 'replace') then text else old_text end as text from dec),
+{chunk_sql("select url as key, text from taken")},
+counts as (select url, action, arrived, count(chunk_index) as n_chunks from taken left join chunks on key = url group by all)"""
+
+
+@query("j02_chunks_after_ingest", f"with {AFTER_SQL} select key as url, chunk_index, md5(content) as digest from chunks")
 def j02c(t):
     s = stored(t)
     dec = I.ingest_decision(arriving(t), s)
-    fresh = I.changed_texts(dec).select("url", F.lit("fresh").alias("origin"))
-    return I.replace_chunks(s.select("url", F.lit("old").alias("origin")), fresh, dec)
+    url = F.concat(F.lit("https://"), "source", F.lit("/"), F.col("doc_id").cast("string")).alias("url")
+    old = I.chunk_texts(t.documents.where(F.col("lang") == "en").select(url, "text"), ["url"], "text")
+    fresh = I.chunk_texts(I.changed_texts(dec), ["url"], "text")
+    return I.replace_chunks(old, fresh, dec).select("url", "chunk_index", F.md5(F.col("content").cast("binary")).alias("digest"))
+
+
+def english_pages(t):
+    """English documents as they came first."""
+    return t.documents.where(F.col("lang") == "en").select(
+        F.concat(F.lit("https://"), "source", F.lit("/"), F.col("doc_id").cast("string")).alias("url"), F.lit("old").alias("title"),
+        F.lit("web").alias("source_type"), "text")
 
 
-@query("d01_ingest_report", f"""with {DEC_SQL}
+def two_ingests(t):
+    """A library of the English documents, into which all documents come, some of them changed, and then once more."""
+    library = L.create_library(t.spark, fresh_path(t.spark, "library"), buckets=8)
+    L.ingest_pages(library, english_pages(t), 1, now())
+    L.ingest_pages(library, arriving(t), 2, now())
+    L.ingest_pages(library, arriving(t), 3, now())
+    return library
+
+
+@query("j02_library_chunks", f"with {AFTER_SQL} select key as url, chunk_index, md5(content) as digest from chunks")
+def j02d(t):
+    return two_ingests(t).chunks().select("url", "chunk_index", F.md5(F.col("content").cast("binary")).alias("digest"))
+
+
+@query("j02_library_sources", f"""with {AFTER_SQL}
+select url, n_chunks as chunk_count, (action = 'replace')::int as change_count, action = 'replace' as had_other_text from counts""")
+def j02e(t):
+    return two_ingests(t).sources().select("url", "chunk_count", "change_count", F.col("content_hash_previous").isNotNull().alias("had_other_text"))
+
+
+@query("d01_ingest_report", f"""with {AFTER_SQL}
 select count(*) filter (ok and not existed) as succeeded, count(*) filter (not ok) as failed, count(*) filter (ok and existed) as skipped,
   coalesce(sum(n_chunks) filter (ok and not existed), 0)::bigint as total_chunks
-from (select regexp_matches(text, '\\S') as ok, action in ('unchanged', 'refused') as existed, len(string_split(text, chr(10))) as n_chunks from dec)""")
+from (select regexp_matches(arrived, '\\S') as ok, action in ('unchanged', 'refused') as existed, n_chunks from counts)""")
 def d01(t):
-    dec = I.ingest_decision(arriving(t), stored(t))
-    res = dec.select((~is_blank("text")).alias("ok"), F.col("action").isin("unchanged", "refused").alias("existed"),
-                     F.size(F.split("text", "\n")).alias("n_chunks"))
+    library = L.create_library(t.spark, fresh_path(t.spark, "library"), buckets=8)
+    L.ingest_pages(library, english_pages(t), 1, now())
+    L.ingest_pages(library, arriving(t), 2, now())
+    res = library.decisions(2).select(F.col("has_text").alias("ok"), F.col("action").isin("unchanged", "refused").alias("existed"), F.col("chunk_count").alias("n_chunks"))
     return TB.ingest_report(res)
 
 
@@ -381,6 +466,47 @@ def j08f(t):
     return RP.fight_ranking_rows(reports(t)).select("report_code", "encounter_id", "player_name", "server_name", "dps")
 
 
+def child_tables(t):
+    """The child tables of all reports, flattened."""
+    items, whole = scanned(t, item_answers(t)), reports(t)
+    return {"fights": RP.fight_rows(whole), "combatants": RP.combatant_rows(whole), "damage": RP.damage_rows(items), "casts": RP.cast_rows(items),
+            "buffs": RP.buff_rows(whole), "fight_rankings": RP.fight_ranking_rows(whole)}
+
+
+def stored_reports(t):
+    """Reports stored with other durations and damages first, then as they are, then once more."""
+    store = Segments(t.spark, fresh_path(t.spark, "reports"))
+    tables = {name: materialize(rows, name) for name, rows in child_tables(t).items()}
+    early = dict(tables, fights=tables["fights"].withColumn("duration_ms", F.lit(-1).cast("bigint")),
+                 damage=tables["damage"].where(F.col("total_damage") % 2 == 0).withColumn("active_time_ms", F.lit(0).cast("bigint")))
+    for version, batch in enumerate((early, tables, tables), 1):
+        RP.store_tables(store, batch, version)
+    return store
+
+
+@query("j08_stored_fights", """
+select 'r' || o_orderkey as report_code, o_orderkey as fight_id, floor(o_totalprice)::bigint - 1000 as duration_ms from orders where o_orderstatus <> 'O' and o_orderpriority <> '1-URGENT'""")
+def j08_fights(t):
+    return RP.stored_table(stored_reports(t), "fights").select("report_code", "fight_id", "duration_ms")
+
+
+@query("j08_stored_tables", """
+with o as (select * from orders where o_orderstatus <> 'O'), f as (select * from o where o_orderpriority <> '1-URGENT'), d as (select * from o join lineitem on l_orderkey = o_orderkey),
+dmg as (select o_orderkey, l_suppkey, arg_max(floor(l_extendedprice)::bigint, (floor(l_extendedprice)::bigint, l_linenumber)) as total from d group by 1, 2)
+select 'fights' as table_name, (select count(*) from f) as n_rows, 0::bigint as written_again
+union all select 'combatants', (select count(*) from f), 0 union all select 'damage', (select count(*) from dmg), 0
+union all select 'casts', (select count(*) from (select distinct o_orderkey, l_suppkey, l_returnflag from d)), 0
+union all select 'buffs', (select count(*) from o), 0 union all select 'fight_rankings', (select count(*) from o), 0""")
+def j08_stored(t):
+    """Rows of the stored tables, and how many the third, equal batch wrote: none."""
+    store, out = stored_reports(t), None
+    for name in ("fights", "combatants", "damage", "casts", "buffs", "fight_rankings"):
+        again = F.lit(store.read(name).where("segment = 3").count()).cast("long")
+        row = RP.stored_table(store, name).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows", again.alias("written_again"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query("j08_encounter_rankings", """
 select o_custkey as encounter_id, 'p' || o_orderkey as player_name, o_totalprice as dps, case when o_orderkey % 3 = 0 then '' else 'r' || o_orderkey end as report_code, '' as server_region from orders""")
 def j08g(t):

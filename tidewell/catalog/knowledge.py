@@ -5,13 +5,16 @@ from pyspark.sql import functions as F
 from tidewell.catalog.corpus import NOW, now
 from tidewell.catalog.registry import query
 from tidewell.catalog.retrieval import CENT_SQL, centroids
+from tidewell.functions import fixed
 from tidewell.functions import scoring as SC
 from tidewell.functions.text import lookup
 from tidewell.operators import editorial as ED
 from tidewell.operators import evals as EV
+from tidewell.operators import extraction as X
 from tidewell.operators import graph as G
 from tidewell.operators import memory as ME
 from tidewell.plans.blocked import balanced_block, seq_block
+from tidewell.session import fresh_path
 from tidewell.sources import exports as EX
 
 
@@ -58,16 +61,16 @@ edg as (
 """
 
 
-def asked_nations(t):
-    """Every nation by name, with an article and spaces in front."""
-    return t.nation.select(F.col("n_nationkey").cast("bigint").alias("query_id"), F.concat(F.lit("  The  "), "n_name").alias("name"),
-                           F.lit(None).cast("string").alias("entity_type"))
+def asked_names(t):
+    """Every entity by its name, with an article and spaces in front."""
+    return entities(t).select(F.col("entity_id").alias("query_id"), F.concat(F.lit("  The  "), "name").alias("name"),
+                              F.lit(None).cast("string").alias("entity_type"))
 
 
 @query("c03_entity_lookup", f"""with {GRAPH_SQL}
-select n_nationkey::bigint as query_id, e.entity_id, e.name, e.entity_type from nation join ent e on lower(e.name) = lower(n_name)""")
+select a.entity_id as query_id, e.entity_id, e.name, e.entity_type from ent a join ent e on lower(e.name) = lower(a.name)""")
 def c03(t):
-    return G.find_entities(asked_nations(t), entities(t)).select("query_id", "entity_id", "name", "entity_type")
+    return G.find_entities(asked_names(t), entities(t)).select("query_id", "entity_id", "name", "entity_type")
 
 
 @query("c04_outgoing_neighbours", f"""with {GRAPH_SQL}
@@ -87,8 +90,8 @@ def c04b(t):
 
 
 CARD_SQL = f"""{GRAPH_SQL},
-one as (select n_nationkey::bigint as query_id, e.entity_id, e.source_chunk from nation join ent e on lower(e.name) = lower(n_name)
-        qualify count(*) over (partition by n_nationkey) = 1),
+one as (select a.entity_id as query_id, e.entity_id, e.source_chunk from ent a join ent e on lower(e.name) = lower(a.name)
+        qualify count(*) over (partition by a.entity_id) = 1),
 both_ways as (
   select o.query_id, 'outgoing' as direction, d.*, e.name as related_name, e.entity_type as related_type from one o join edg d on d.source_id = o.entity_id join ent e on e.entity_id = d.target_id
   union all
@@ -99,7 +102,7 @@ card as (select *, row_number() over (partition by query_id, direction order by
 
 @query("f03_graph_search_card", f"with {CARD_SQL} select query_id, direction, related_name, related_type, confidence, rank0 from card")
 def f03(t):
-    best, _, _ = G.search_cards(asked_nations(t), edges(t), entities(t))
+    best, _, _ = G.search_cards(asked_names(t), edges(t), entities(t))
     return best.select("query_id", "direction", "related_name", "related_type", "confidence", F.col("rank0").cast("bigint").alias("rank0"))
 
 
@@ -107,7 +110,7 @@ def f03(t):
 c as (select query_id, source_chunk from one where source_chunk is not null union select query_id, source_chunk from card where source_chunk is not null)
 select query_id, string_agg(source_chunk::varchar, ',' order by source_chunk) as chunk_ids from c group by 1""")
 def g04(t):
-    _, _, chunks = G.search_cards(asked_nations(t), edges(t), entities(t))
+    _, _, chunks = G.search_cards(asked_names(t), edges(t), entities(t))
     return G.chunk_list(chunks).select("query_id", F.array_join(F.transform("chunk_ids", lambda c: c.cast("string")), ",").alias("chunk_ids"))
 
 
@@ -190,13 +193,103 @@ def j05b(t):
     return G.extract_with(t.documents, extract, id_col="doc_id", text_col="text").select("id", "ok", "error", "name")
 
 
-@query("j06_seed_types_used", """
-select p_type as name, count(*) as n, 'Talent Tree' as display from part where p_type = 'ECONOMY' group by 1""")
+@query("j05_longest_mentions", """
+with toks as (select doc_id, list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') as ts from documents),
+bench as (select list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') as ts from benchmark),
+gaz as (select distinct array_to_string(ts[i:i + n - 1], ' ') as canonical_name, n from (select ts, unnest(range(1, len(ts) + 1)) as i from bench), (values (1), (2), (3)) as v(n)
+  where i + n - 1 <= len(ts) and i % 4 = n % 4),
+grams as (select doc_id, i, n, array_to_string(ts[i:i + n - 1], ' ') as gram from (select doc_id, ts, unnest(range(1, len(ts) + 1)) as i from toks), (values (1), (2), (3)) as v(n)
+  where i + n - 1 <= len(ts)),
+met as (select doc_id, i, max(n)::int as n from grams where gram in (select canonical_name from gaz) group by 1, 2),
+steps as (select doc_id, list_reduce(list_transform(list(struct_pack(i := i::int, n := n) order by i), lambda m: [m]),
+  lambda acc, x: case when x[1].i >= acc[-1].i + acc[-1].n then list_append(acc, x[1]) else acc end) as ms from met group by 1),
+taken as (select doc_id, unnest(ms) as m from steps)
+select doc_id, m.i - 1 as position, array_to_string(ts[m.i:m.i + m.n - 1], ' ') as canonical_name from taken join toks using (doc_id)""")
+def j05_longest(t):
+    """Names of one to three words of the benchmark, many of which overlap, as a reader of the documents meets them."""
+    from tidewell.functions.text import tokens
+    words = t.benchmark.select(tokens("text").alias("t"))
+    names = None
+    for n in (1, 2, 3):
+        some = words.select(F.posexplode(G.word_sequences("t", n)).alias("i", "canonical_name")).where((F.col("i") + 1) % 4 == n % 4)
+        names = some if names is None else names.unionByName(some)
+    gaz = names.select("canonical_name", F.lit("item").alias("entity_type")).distinct()
+    return G.longest_mentions(t.documents, gaz, id_col="doc_id", text_col="text").select("doc_id", "position", "canonical_name")
+
+
+# Chunks are documents; a first run fails for short ones, and a second one for blank ones only.
+EXTRACT_SQL = """
+w as (select doc_id, length(text) >= 100 as early, unnest(range(len(string_split(text, chr(10))))) as place, string_split(unnest(string_split(text, chr(10))), ' ')[1] as word
+  from documents where regexp_matches(text, '\\S')),
+named as (select *, 'item ' || lower(word) as canonical_name, 'Item ' || word as name, row_number() over (order by early desc, doc_id, place) as n from w)
+"""
+
+
+def first_words(shortest):
+    """A user's function: the first words of the lines as items, each of which requires the next one."""
+    def extract(text):
+        if len(text) < shortest or not text.strip():
+            raise ValueError("too short")
+        words = ["Item " + line.split(" ")[0] for line in text.split("\n")]
+        return {"entities": [{"name": w, "entity_type": "item", "properties": {"line": i}} for i, w in enumerate(words)],
+                "relationships": [{"source": a, "target": b, "relation_type": "requires"} for a, b in zip(words, words[1:], strict=False)]}
+
+    return extract
+
+
+def two_runs(t):
+    store = X.ExtractionStore(t.spark, fresh_path(t.spark, "extraction"))
+    chunks = t.documents.select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").alias("seq"), F.col("text").alias("content"))
+    for version, shortest in ((1, 100), (2, 0), (3, 0)):
+        X.run_extraction(store, chunks, version, first_words(shortest))
+    return store
+
+
+@query("j05_extraction_ledger", """
+select doc_id::varchar as chunk_id, regexp_matches(text, '\\S') as ok, case when not regexp_matches(text, '\\S') then 'too short' end as error,
+  case when not regexp_matches(text, '\\S') then 3 when length(text) < 100 then 2 else 1 end::bigint as asked from documents""")
+def j05_ledger(t):
+    store = two_runs(t)
+    asked = store.found().groupBy("chunk_id").agg(F.count(F.lit(1)).alias("asked"))
+    return store.ledger().join(asked, "chunk_id")
+
+
+@query("j05_extracted_entities", f"""with {EXTRACT_SQL}
+select canonical_name, arg_min(name, n) as name, arg_max(doc_id, n)::varchar as source_chunk, 0.5::double as confidence, arg_max('{{"line": ' || place || '}}', n) as properties
+from named group by 1""")
+def j05_entities(t):
+    return two_runs(t).entities(aliases={"no such name": ""}).select("canonical_name", "name", "source_chunk", "confidence", "properties")
+
+
+@query("j05_extracted_edges", f"""with {EXTRACT_SQL},
+pairs as (select a.canonical_name as source_name, b.canonical_name as target_name, a.doc_id, a.n from named a join named b on a.doc_id = b.doc_id and b.place = a.place + 1)
+select source_name, target_name, 'requires' as relation_type, arg_min(doc_id, n)::varchar as source_chunk from pairs group by 1, 2""")
+def j05_edges(t):
+    store = two_runs(t)
+    named = store.entities(aliases={"no such name": ""}).select("entity_id", "canonical_name")
+    source = named.select(F.col("entity_id").alias("source_id"), F.col("canonical_name").alias("source_name"))
+    target = named.select(F.col("entity_id").alias("target_id"), F.col("canonical_name").alias("target_name"))
+    return store.edges(aliases={"no such name": ""}).join(source, "source_id").join(target, "target_id").select("source_name", "target_name", "relation_type", "source_chunk")
+
+
+@query("j06_seed_types", "with kinds(entity_type, display) as (values " + ", ".join(
+    f"('{x}', '{x.replace('_', ' ').title()}')" for x in fixed.ENTITY_TYPES) + """)
+select entity_type, display, count(p_partkey) as n from kinds left join part on p_partkey % 17 = length(entity_type) group by 1, 2""")
 def j06(t):
-    kinds = t.part.withColumn("entity_type", lookup("p_type", {"ECONOMY": "talent_tree"}))
+    """Every type with its display name, and the parts dealt to it by the length of its name."""
     types = G.entity_types(t.spark)
-    return kinds.join(F.broadcast(types), "entity_type").groupBy(F.col("p_type").alias("name")).agg(
-        F.count(F.lit(1)).alias("n"), F.first("display_name").alias("display"))
+    return types.join(t.part, F.col("p_partkey") % 17 == F.length("entity_type"), "left").groupBy(
+        "entity_type", F.col("display_name").alias("display")).agg(F.count("p_partkey").alias("n"))
+
+
+@query("j06_seed_aliases", "with aliases(alias, canonical_name) as (values " + ", ".join(
+    "('{}', '{}')".format(k.replace("'", "''"), v.replace("'", "''")) for k, v in fixed.ALIASES.items()) + """)
+select alias, canonical_name, count(doc_id) as n_docs from aliases left join (
+  select distinct doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as word from documents) on word = alias group by 1, 2""")
+def j06_aliases(t):
+    """Every alias row, and the documents that write it."""
+    words = t.documents.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))).alias("alias"))
+    return G.alias_table(t.spark).join(words, "alias", "left").groupBy("alias", "canonical_name").agg(F.count("doc_id").alias("n_docs"))
 
 
 # --- articles ----------------------------------------------------------------

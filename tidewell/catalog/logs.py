@@ -377,6 +377,14 @@ def d11(t):
     return last.select("run_id", "created_at", got["price"].alias("price"), got["status"].alias("status"))
 
 
+@query("d11_report_by_id", """
+select o_orderkey as run_id, o_totalprice as price, o_orderstatus as status from orders where o_orderkey = (select max(o_orderkey) from orders)""")
+def d11_by_id(t):
+    runs = D.stored_report(t.orders.select(F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status"),
+                                           "o_orderkey", "o_orderdate"), F.col("o_orderkey"), F.col("o_orderdate"))
+    return D.stored_run(runs, t.orders.agg(F.max("o_orderkey")).first()[0], "price double, status string")
+
+
 @query("c11_before_after", """
 with b as (select l_partkey, l_returnflag, sum(l_quantity) as before from lineitem where year(l_shipdate) = 1995 group by 1, 2),
 a as (select l_partkey, l_returnflag, sum(l_quantity) as after from lineitem where year(l_shipdate) = 1996 group by 1, 2),

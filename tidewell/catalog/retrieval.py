@@ -4,11 +4,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.catalog.registry import Tables, query
-from tidewell.functions import text as X
 from tidewell.operators import retrieval as R
+from tidewell.operators import search_index as S
 from tidewell.operators import trust as TR
-
-ACC, FOLD = X.ACCENTED, X.FOLDED
+from tidewell.session import fresh_path
 
 # Sources: trust and staleness derive from the documents and events of each source.
 SRC_SQL = """
@@ -27,7 +26,7 @@ trusted as (
 
 TOK_SQL = f"""
 toks as (
-  select doc_id, list_filter(regexp_split_to_array(translate(lower(text), '{ACC}', '{FOLD}'), '[^\\p{{L}}\\p{{N}}]+'),
+  select doc_id, list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\\p{{L}}\\p{{N}}]+'),
                              lambda t: t <> '') as toks
   from documents),
 corpus as (select count(*) as n_docs, avg(len(toks)) as avg_len from toks),
@@ -38,7 +37,7 @@ words as (
   from (select item_id, unnest(regexp_split_to_array(text, '\\s+')) as w from benchmark)),
 phrases as (
   select distinct query_id, array_to_string(terms, ' ') as phrase, terms from (
-    select query_id, list_filter(regexp_split_to_array(translate(lower(w), '{ACC}', '{FOLD}'), '[^\\p{{L}}\\p{{N}}]+'),
+    select query_id, list_filter(regexp_split_to_array(strip_accents(lower(w)), '[^\\p{{L}}\\p{{N}}]+'),
                                  lambda t: t <> '') as terms from words)
   where len(terms) > 0),
 pterms as (
@@ -69,7 +68,7 @@ cells as (
   select kind, id, ('0x' || substr(h, 1, 2))::int % 64 as i, case when substr(h, 3, 1) < '8' then 1.0::double else -1.0::double end as s
   from (select kind, id, md5(t) as h from (
     select kind, id, unnest(list_filter(
-      regexp_split_to_array(translate(lower(text), '{ACC}', '{FOLD}'), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')) as t
+      regexp_split_to_array(strip_accents(lower(text)), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')) as t
     from (select 0 as kind, doc_id as id, text from documents union all select 1, item_id, text from benchmark)))),
 sparse as (select kind, id, i, sum(s) as x from cells group by all),
 norms as (select kind, id, sqrt(sum(x * x)) as nrm from sparse group by all),
@@ -105,12 +104,25 @@ def trust_events(t: Tables) -> DataFrame:
         delta.alias("delta"), F.col("ts").alias("created_at"))
 
 
+_INDEXES: dict[tuple, str] = {}
+
+
+def stored_index(t: Tables) -> S.SearchIndex:
+    """The index of the documents, made once for an application and the files as they are."""
+    files = t.documents.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    state = files.agg(F.sum(F.xxhash64("file_path", "file_size", "file_modification_time").cast("decimal(38,0)"))).first()[0]
+    key = (t.spark.sparkContext.applicationId, t.folder, state)
+    if key not in _INDEXES:
+        _INDEXES[key] = S.create_index(t.documents, fresh_path(t.spark, "search-index")).root
+    return S.open_index(t.spark, _INDEXES[key])
+
+
 def keyword_scores(t: Tables) -> DataFrame:
-    return R.bm25(t.documents, t.benchmark, doc_id="doc_id", doc_text="text", query_id="item_id", query_text="text")
+    return S.search_scores(stored_index(t), t.benchmark, query_id="item_id")
 
 
-def keyword_list(t: Tables) -> DataFrame:
-    return R.keyword_ranks(keyword_scores(t))
+def keyword_list(t: Tables, k: int = R.fetch_size()) -> DataFrame:
+    return R.keyword_ranks(keyword_scores(t), k)
 
 
 def vector_list(t: Tables) -> DataFrame:
@@ -168,6 +180,42 @@ def i01_postings(t):
     return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.sum(places).alias("pos_sum"))
 
 
+@query("i01_top_scores", f"with {TOK_SQL} select query_id, doc_id, rank0, round(score, 6) as score from kw")
+def i01_top(t):
+    got = S.search_top(stored_index(t), t.benchmark, 20, query_id="item_id")
+    return got.select("query_id", "doc_id", F.col("rank0").cast("bigint").alias("rank0"), F.round("score", 6).alias("score"))
+
+
+CHANGED_SQL = TOK_SQL.replace("from documents)", "from documents join src using (source) where not is_stale)")
+
+
+@query("i01_index_after_changes", f"with {SRC_SQL}, {CHANGED_SQL} select query_id, doc_id, round(score, 6) as score from bm")
+def i01_changed(t):
+    """An index of first lines, then with every text whole, then with the stale sources' documents gone."""
+    docs = t.documents.select("doc_id", "text")
+    first = docs.select("doc_id", F.substring_index("text", "\n", 1).alias("text"))
+    index = S.create_index(first, fresh_path(t.spark, "search-index"))
+    longer = docs.where(F.instr("text", "\n") > 0)
+    S.change_index(index, 1, added=longer, removed=first.join(longer.select("doc_id"), "doc_id", "left_semi"))
+    stale = doc_sources(t).where("is_stale").select("source")
+    S.change_index(index, 2, added=docs.limit(0), removed=t.documents.join(stale, "source", "left_semi").select("doc_id", "text"))
+    return S.search_scores(index, t.benchmark, query_id="item_id").select("query_id", "doc_id", F.round(F.round("score", 9), 6).alias("score"))
+
+
+@query("i01_folded_tokens", """
+with toks as (select unnest(list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')) as term from (
+  select text from documents union all select text from conversations))
+select term, count(*) as n from toks where term <> strip_accents(term) or regexp_matches(term, '[^a-z0-9]') group by 1
+""")
+def i01_folded(t):
+    """Terms of documents and conversations that are still not plain letters and digits after folding."""
+    from tidewell.functions.text import tokens
+
+    texts = t.documents.select("text").unionAll(t.conversations.select("text"))
+    terms = texts.select(F.explode(tokens("text")).alias("term"))
+    return terms.where(F.col("term").rlike("[^a-z0-9]")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("i02_cosine_knn", f"with {CENT_SQL} select query_id, doc_id, rank0, round(similarity, 6) as similarity from cknn")
 def i02(t):
     return centroid_knn(t).select("query_id", "doc_id", F.col("rank0").cast("bigint").alias("rank0"),
@@ -276,10 +324,67 @@ def f01(t):
     return got.select("query_id", "doc_id", F.col("position").cast("bigint").alias("position"))
 
 
+def careless(queries, contents):
+    """A user's scorer, nearer lengths first, that fails for some queries in each of the ways it can."""
+    kind = len(queries[0]) % 4
+    if kind == 1:
+        raise RuntimeError("no model")
+    scores = [-abs(len(c) - len(q)) for q, c in zip(queries, contents, strict=True)]
+    return scores[1:] if kind == 2 else [None, *scores[1:]] if kind == 3 else scores
+
+
+@query("f01_rerank_by_function", f"""with {TOK_SQL}, {EMB_SQL}, {SRC_SQL}, {FUSED_SQL},
+scored as (
+  select a.query_id, a.doc_id, row_number() over (partition by a.query_id order by rrf desc, a.doc_id) - 1 as prior,
+         b.len % 4 as kind, -abs(length(d.text) - b.len)::double as rerank_score
+  from alive a join documents d using (doc_id)
+  join (select item_id as query_id, length(text) as len from benchmark) b using (query_id)
+  qualify prior < 20),
+capped as (select *, count(*) over (partition by query_id) as m from scored)
+select query_id, doc_id, position from (
+  select *, row_number() over (partition by query_id
+    order by case when m <= 5 or kind > 0 then prior::double else -rerank_score end, prior, doc_id) - 1 as position from capped)
+where position < 5""")
+def f01_function(t):
+    found = R.hybrid_search(keyword_list(t), vector_list(t), t.documents, doc_sources(t), top=R.fetch_size())
+    asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+    pairs = found.select("query_id", "doc_id", F.col("position").alias("prior")).join(t.documents.select("doc_id", F.col("text").alias("content")), "doc_id").join(asked, "query_id")
+    got = R.rerank_with(pairs, careless, query_text="query_text", content="content", prior="prior", batch=32)
+    return got.select("query_id", "doc_id", F.col("position").cast("bigint").alias("position"))
+
+
+@query("i06_embedding_by_function", "select doc_id, [length(text)::float, (length(text) - length(replace(text, ' ', '')))::float] as embedding from documents")
+def i06_function(t):
+    def embed(texts):
+        return [[float(len(x)), float(x.count(" "))] for x in texts]
+
+    return R.embed_batches(t.documents.select("doc_id", "text"), "text", embed).select("doc_id", "embedding")
+
+
+# Each benchmark text is asked as it is, and once more as a query without words.
+@query("i04_search_routing", f"""with {TOK_SQL}, {EMB_SQL}, {SRC_SQL}, {FUSED_SQL},
+only_vec as (
+  select 1000000 + v.query_id as query_id, v.doc_id, t.source,
+         row_number() over (partition by v.query_id order by similarity desc, v.doc_id) - 1 as position
+  from vec v join documents d on d.doc_id = v.doc_id join trusted t on t.source = d.source where not is_stale)
+select query_id, doc_id, source, round(rrf, 6) as rrf_score, position from (
+  select *, row_number() over (partition by query_id order by rrf desc, doc_id) - 1 as position from alive) where position < 5
+union all select query_id, doc_id, source, round(1.0::double / (60 + position), 6), position from only_vec where position < 5""")
+def i04_routing(t):
+    vectors = R.feature_hash_embedding(t.benchmark, "item_id", "text")
+    worded = t.benchmark.select("item_id", "text").join(vectors, "item_id").select(F.col("item_id").alias("query_id"), "text", F.col("embedding").alias("query_embedding"))
+    blank = worded.withColumn("query_id", F.col("query_id") + 1000000).withColumn("text", F.lit(" \n "))
+    unasked = worded.withColumn("query_id", F.col("query_id") + 2000000).withColumn("query_embedding", F.array().cast("array<double>"))
+    near = vector_list(t)
+    found = R.search(worded.unionByName(blank).unionByName(unasked), keyword_list(t),
+                     near.unionByName(near.withColumn("query_id", F.col("query_id") + 1000000)), t.documents, doc_sources(t))
+    return found.select(*HYBRID_COLS, F.round("rrf_score", 6).alias("rrf_score"), F.col("position").cast("bigint").alias("position"))
+
+
 @query("f02_overfetch", f"""with {TOK_SQL}
 select query_id, count(*) as fetched, sum(case when rank0 < 5 then 1 else 0 end)::bigint as kept from kw group by 1""")
 def f02(t):
-    ranked = R.keyword_ranks(keyword_scores(t), R.fetch_size())
+    ranked = keyword_list(t, R.fetch_size())
     return ranked.groupBy("query_id").agg(
         F.count(F.lit(1)).alias("fetched"), F.count_if(F.col("rank0") < 5).alias("kept"))
 

@@ -5,9 +5,12 @@ from pyspark.sql import functions as F
 from tidewell.catalog.registry import query
 from tidewell.functions import fixed
 from tidewell.functions import text as X
+from tidewell.operators import evals as EV
 from tidewell.operators import tables as TB
 from tidewell.plans import merge as M
 from tidewell.plans import snapshots as S
+from tidewell.session import fresh_path
+from tidewell.sources import reports as RP
 
 
 def catalog_items(t):
@@ -77,16 +80,30 @@ def a13b(t):
                               t.supplier.where(F.col("s_acctbal") > 0), "l_suppkey", "s_suppkey")
 
 
-@query("a14_backup_fingerprints", """
-select 'customer' as table_name, count(*) as n_rows from customer union all select 'nation', count(*) from nation
-union all select 'region', count(*) from region union all select 'orders', count(*) from orders""")
+ALL_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
+              "benchmark", "labels", "conversations"]
+# A figure of each table that changes with its content, in both engines alike.
+CONTENT = {
+    "region": "sum(length(r_name))", "nation": "sum(n_regionkey * n_nationkey)", "customer": "sum(c_custkey * length(c_mktsegment))",
+    "supplier": "sum(s_suppkey * s_nationkey)", "part": "sum(p_partkey * p_size)", "orders": "sum(o_orderkey * length(o_orderpriority))",
+    "lineitem": "sum(l_orderkey * l_linenumber)", "events": "sum(event_id * length(event_type))", "documents": "sum(doc_id * length(text))",
+    "embeddings": "sum(vec_id * label)", "pages": "sum(page_id * length(html))", "benchmark": "sum(item_id * length(text))",
+    "labels": "sum(doc_id * (1 + quality))", "conversations": "sum(turn * length(text))",
+}
+
+
+@query("a14_backup_fingerprints", " union all ".join(
+    f"select '{n}' as table_name, count(*) as n_rows, count(*) as copy_rows, true as intact, ({CONTENT[n]})::bigint as content from {n}" for n in ALL_TABLES))
 def a14(t):
-    names = ["customer", "nation", "region", "orders"]
-    parts = [S.fingerprint(getattr(t, n), n).select("table_name", "n_rows") for n in names]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """All tables backed up and verified by count and checksum; counts and content of the copies."""
+    root = fresh_path(t.spark, "backups")
+    tables = {n: getattr(t, n) for n in ALL_TABLES}
+    S.create_backup(tables, root, "now")
+    out = None
+    for n in ALL_TABLES:
+        copy = t.spark.read.parquet(f"{root}/now/{n}").agg(F.expr(f"cast({CONTENT[n]} as bigint)").alias("content")).withColumn("table_name", F.lit(n))
+        out = copy if out is None else out.unionByName(copy)
+    return S.verify_backup(tables, root, "now").join(out, "table_name")
 
 
 @query("b01_source_list_filter", """
@@ -159,7 +176,12 @@ def b10(t):
 
 @query("b12_encounter_filter", "select conv_id, turn from conversations where role = 'assistant'")
 def b12(t):
-    return t.conversations.where(F.col("role") == "assistant").select("conv_id", "turn")
+    return EV.of_tier(t.conversations.withColumnRenamed("role", "tier"), "assistant").select("conv_id", "turn")
+
+
+@query("b12_encounter_of_zone", "select o_custkey as encounter_id, o_orderkey from orders where o_custkey = 7")
+def b12_encounter(t):
+    return RP.of_encounter(t.orders.select(F.col("o_custkey").alias("encounter_id"), "o_orderkey"), 7)
 
 
 @query("b13_player_name_validity", """
@@ -184,12 +206,9 @@ def c15(t):
     return TB.new_reports(rep, rep.where(F.col("o_orderstatus") == "F"), ["char_id", "report"])
 
 
-@query("d02_table_statistics", " union all ".join(
-    f"select '{n}' as table_name, count(*) as n_rows from {n}" for n in
-    ["region", "nation", "customer", "orders", "lineitem", "events", "documents", "pages"]))
+@query("d02_table_statistics", " union all ".join(f"select '{n}' as table_name, count(*) as n_rows from {n}" for n in ALL_TABLES))
 def d02(t):
-    names = ["region", "nation", "customer", "orders", "lineitem", "events", "documents", "pages"]
-    return TB.table_counts({n: getattr(t, n) for n in names})
+    return TB.table_counts({n: getattr(t, n) for n in ALL_TABLES})
 
 
 @query("d03_type_distribution", """
@@ -204,11 +223,11 @@ def d16(t):
 
 
 @query("g02_distinct_report_union", """
-select o_custkey as code from orders where o_orderstatus = 'F' union select o_custkey from orders where o_orderpriority = '1-URGENT'""")
+select distinct 'r' || o_custkey as report_code from orders where o_orderstatus <> 'P'""")
 def g02(t):
-    a = t.orders.where(F.col("o_orderstatus") == "F").select(F.col("o_custkey").alias("code"))
-    return a.unionByName(t.orders.where(F.col("o_orderpriority") == "1-URGENT").select(
-        F.col("o_custkey").alias("code"))).distinct()
+    """The report codes of all rankings of all encounters; rankings without one have an empty code."""
+    code = F.when(F.col("o_orderstatus") != "P", F.concat(F.lit("r"), F.col("o_custkey").cast("string"))).otherwise("")
+    return RP.report_codes(t.orders.select(F.col("o_orderpriority").alias("encounter_name"), code.alias("report_code")))
 
 
 # --- scalar functions on whole columns ---------------------------------------
