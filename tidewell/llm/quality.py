@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidewell.llm.workers import kept, map_texts
+from tidewell.session import materialize
 
 #: Bound of the training sample: labelled documents of each class, and pieces of each document.
 SAMPLE_DOCS = 1500
@@ -21,6 +22,8 @@ SAMPLE_PIECES = 8
 PIECE_BYTES = 4096
 DICTIONARY_BYTES = 64 * 1024
 LEVEL = 3
+#: Range of the hash that draws the sample.
+HASHES = 1 << 40
 REJECT_BELOW = 0.3
 
 
@@ -88,17 +91,28 @@ class QualityModel:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
-def train(labelled: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", sample_docs: int = SAMPLE_DOCS,
-          sample_pieces: int = SAMPLE_PIECES) -> QualityModel:
-    """Dictionaries and calibration from a bounded sample of labelled rows.
+def _draw(ids: DataFrame, sample_docs: int) -> list[tuple]:
+    """``i, y, h`` of at most ``sample_docs`` ids of each label: those with the smallest hashes, from rows of ``i, y``.
 
-    At most ``sample_docs`` documents of each class (label 0 or 1; the first by a hash of the
-    key) and ``sample_pieces`` evenly spread pieces of each reach the driver. The calibration
-    sees sizes under dictionaries of the other half of the sample. Without a class, every score
-    is that of the class that is there, or 0.5.
+    A threshold from the number of ids keeps all but about twice as many in their tasks, so what
+    reaches the driver is bounded, however many ids and tasks there are.
     """
-    rows = labelled.filter(F.col(label).isin(0, 1) & F.col(text).isNotNull()).select(
-        F.xxhash64(F.col(key).cast("string")).alias("h"), F.col(label).cast("int").alias("y"), F.col(text).cast("string").alias("t"))
+    hashed = ids.select("i", "y", F.pmod(F.xxhash64(F.col("i").cast("string")), F.lit(HASHES)).alias("h"))
+    out = []
+    for row in sorted(ids.groupBy("y").count().collect(), key=lambda r: r["y"]):
+        below = min(HASHES, HASHES * (2 * sample_docs + 50) // row["count"])
+        own = hashed.filter((F.col("y") == row["y"]) & (F.col("h") < below))
+        out += [(r["i"], r["y"], r["h"]) for r in own.orderBy("h", "i").limit(sample_docs).collect()]
+    return out
+
+
+def _sample(texts: DataFrame, drawn: list[tuple], sample_pieces: int) -> list[tuple[int, list[bytes]]]:
+    """``label, pieces`` of the drawn ids, in the order of their hashes, from rows of ``i, t``; of an id's texts one is taken."""
+    if not drawn:
+        return []
+    kind = texts.schema["i"].dataType.simpleString()
+    chosen = F.broadcast(texts.sparkSession.createDataFrame(drawn, f"own_id {kind}, y int, h long"))  # as many as were drawn
+    rows = texts.join(chosen, F.col("i") == F.col("own_id")).select("h", "y", F.col("t").cast("string").alias("t"))
 
     def cut(batches):
         for batch in batches:
@@ -109,25 +123,31 @@ def train(labelled: DataFrame, text: str = "text", label: str = "quality", key:
                 held.append(found[::every])
             yield pa.RecordBatch.from_arrays([hashes, labels, pa.array(held, pa.list_(pa.binary()))], names=["h", "y", "p"])
 
-    short = rows.mapInArrow(cut, "h long, y int, p array<binary>")
-    sample = []
-    for y in (0, 1):
-        sample += [(r.h, y, [bytes(p) for p in r.p]) for r in short.filter(F.col("y") == y).orderBy("h", "p").limit(sample_docs).collect()]
-    if len({y for _, y, _ in sample}) < 2:
-        only = {y for _, y, _ in sample}
+    found = rows.mapInArrow(cut, "h long, y int, p array<binary>").groupBy("y", "h").agg(F.min("p").alias("p")).collect()
+    return [(r["y"], [bytes(p) for p in r["p"]]) for r in sorted(found, key=lambda r: (r["y"], r["h"]))]
+
+
+def fit(sample: list[tuple[int, list[bytes]]]) -> QualityModel:
+    """Dictionaries and calibration from ``label, pieces`` of documents.
+
+    The calibration sees sizes under dictionaries of the other half of the sample. Without a class,
+    every score is that of the class that is there, or 0.5.
+    """
+    if len({y for y, _ in sample}) < 2:
+        only = {y for y, _ in sample}
         return QualityModel(b"", b"", (6.0 if only == {1} else -6.0 if only == {0} else 0.0, 0.0, 0.0, 0.0))
 
     def dictionaries(part):
-        return [_dictionary([p for _, y, ps in part if y == c for p in ps]) for c in (0, 1)]
+        return [_dictionary([p for y, ps in part if y == c for p in ps]) for c in (0, 1)]
 
     # Copies have one hash of their text, and so fall into the same half.
-    halves = [[r for r in sample if int(hashlib.md5(b"".join(r[2])).hexdigest(), 16) % 2 == k] for k in (0, 1)]
+    halves = [[r for r in sample if int(hashlib.md5(b"".join(r[1])).hexdigest(), 16) % 2 == k] for k in (0, 1)]
     x, target = [], []
     for own, other in (halves, halves[::-1]):
-        if {y for _, y, _ in other} == {0, 1}:
+        if {y for y, _ in other} == {0, 1}:
             compressors = Compressors(*dictionaries(other))
-            x += [compressors.features(ps) for _, _, ps in own]
-            target += [y for _, y, _ in own]
+            x += [compressors.features(ps) for _, ps in own]
+            target += [y for y, _ in own]
     weights = _logistic(np.array(x), np.array(target)) if len(set(target)) == 2 else np.array([0.0, 30.0, 0.0, 0.0])
     bad, good = dictionaries(sample)
     return QualityModel(bad, good, tuple(map(float, weights)))
@@ -150,16 +170,21 @@ def scores(docs: DataFrame, model: QualityModel, doc_id: str = "doc_id", text: s
     return map_texts(docs, [doc_id], text, StructType([StructField("score", DoubleType())]), step)
 
 
-def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> QualityModel:
-    """The model of the labels whose crc32(id as text) mod 5 is not 0.
+def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality",
+          sample_docs: int = SAMPLE_DOCS, sample_pieces: int = SAMPLE_PIECES) -> QualityModel:
+    """The model of the labels (0 or 1) whose crc32(id as text) mod 5 is not 0.
 
-    A label whose id is null or met twice with different values is not learnt from.
+    At most ``sample_docs`` documents of each class (the first by a hash of the id) and
+    ``sample_pieces`` evenly spread pieces of each reach the driver. They are drawn from ids alone:
+    texts are read once, beside the drawn ids, and never shuffled. A label whose id is null or met
+    twice with different values is not learnt from, nor is a null text; of repeated ids one text is.
     """
     known = labels.filter(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("own_id")).agg(
-        F.min(label).alias("y"), F.max(label).alias("top")).filter("y = top").select("own_id", "y")
-    learnt = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).filter(~in_fold(F.col("i"))).join(
-        known, F.col("i") == F.col("own_id")).select("i", "t", "y")
-    return train(learnt, "t", "y", "i")
+        F.min(label).cast("int").alias("y"), F.max(label).cast("int").alias("top")).filter("y = top and y in (0, 1)").select("own_id", "y")
+    open_ = docs.filter(~in_fold(F.col(doc_id)) & F.col(text).isNotNull())
+    ids = open_.select(F.col(doc_id).alias("i")).distinct().join(known, F.col("i") == F.col("own_id")).select("i", "y")
+    drawn = _draw(materialize(ids, "labelled"), sample_docs)
+    return fit(_sample(open_.select(F.col(doc_id).alias("i"), F.col(text).alias("t")), drawn, sample_pieces))
 
 
 def quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality",
