@@ -14,7 +14,7 @@ from tidewell.session import fresh_path
 from tidewell.streaming import jobs as J
 
 
-def in_slices(t, name, order, run, n=4):
+def in_slices(t, name, order, run, n=3):
     """Feeds a table to ``run(stream)`` in ``n`` slices by ``order``, each after the one before was read; the last result."""
     rows = getattr(t, name)
     folder = fresh_path(t.spark, f"arriving-{name}")
