@@ -167,3 +167,26 @@ RATE_PATTERNS = [
     r"(?i)(\d+(?:\.\d+)?)\s+(?:mean\s+)?DPS\b",
 ]
 CLIP_MARKER = "\n\n[... truncated ...]\n\n"
+
+# --- fixed values: slots of character exports, by the names and numbers of the three formats
+KEY_VALUE_SLOTS = {
+    "head": "head", "neck": "neck", "shoulder": "shoulder", "back": "back", "chest": "chest", "wrist": "wrist", "hands": "hands",
+    "waist": "waist", "legs": "legs", "feet": "feet", "finger1": "ring_1", "finger2": "ring_2", "trinket1": "trinket_1",
+    "trinket2": "trinket_2", "main_hand": "main_hand", "off_hand": "off_hand", "ranged": "ranged",
+}
+TITLED_SLOTS = {
+    "Head": "head", "Neck": "neck", "Shoulder": "shoulder", "Back": "back", "Chest": "chest", "Wrist": "wrist", "Hands": "hands",
+    "Waist": "waist", "Legs": "legs", "Feet": "feet", "Ring 1": "ring_1", "Ring 2": "ring_2", "Finger 1": "ring_1", "Finger 2": "ring_2",
+    "Trinket 1": "trinket_1", "Trinket 2": "trinket_2", "Main Hand": "main_hand", "Off Hand": "off_hand", "Ranged": "ranged",
+}
+NUMBERED_SLOTS = {
+    0: "head", 1: "neck", 2: "shoulder", 3: "back", 4: "chest", 5: "wrist", 6: "hands", 7: "waist", 8: "legs", 9: "feet",
+    10: "ring_1", 11: "ring_2", 12: "trinket_1", 13: "trinket_2", 14: "main_hand", 15: "off_hand", 16: "ranged",
+}
+
+# --- fixed values: build and talents by numeric spec id
+SPEC_BUILDS = {
+    259: ("assassination_mutilate", "41/20/0"),
+    260: ("combat_swords", "20/41/0"),
+    261: ("combat_swords", "20/41/0"),
+}

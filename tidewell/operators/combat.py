@@ -243,9 +243,7 @@ def unbuffed_stats(combatants: DataFrame, buff_stats: dict[str, dict[str, float]
             value = value - F.when(F.array_contains("buffs", buff), F.lit(amount)).otherwise(F.lit(0.0))
         return F.greatest(F.lit(0.0), value)
 
-    # --- fixed values: build and talents by numeric spec id
-    spec = {259: "assassination_mutilate", 260: "combat_swords", 261: "combat_swords"}
-    talents = {259: "41/20/0", 260: "20/41/0", 261: "20/41/0"}
+    spec, talents = ({i: build[k] for i, build in fixed.SPEC_BUILDS.items()} for k in (0, 1))
     spec_id = F.coalesce(F.nullif("spec_id", F.lit(0)), F.lit(260))
     return out.withColumns({
         **{f"gear_{s}": unbuffed(s) for s in stats},

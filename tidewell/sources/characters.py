@@ -5,17 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.functions import fixed
 from tidewell.functions.text import SPACES, digit_sums, is_blank, lookup, spec_from_digits
 
-# --- fixed values: slot, race and build names of the formats ------------------
-SLOTS = [
-    "head", "neck", "shoulder", "back", "chest", "wrist", "hands", "waist", "legs", "feet",
-    "ring_1", "ring_2", "trinket_1", "trinket_2", "main_hand", "off_hand", "ranged",
-]
-KEY_VALUE_SLOTS = {s: s for s in SLOTS if "ring_" not in s and "trinket_" not in s} | {
-    "finger1": "ring_1", "finger2": "ring_2", "trinket1": "trinket_1", "trinket2": "trinket_2"}
-TITLED_SLOTS = {s.replace("_", " ").title(): s for s in SLOTS} | {"Finger 1": "ring_1", "Finger 2": "ring_2"}
-NUMBERED_SLOTS = dict(enumerate(SLOTS))
+# --- fixed values: race and build names of the formats -----------------------
 RACES = {
     "orc": "orc", "human": "human", "night_elf": "night_elf", "nightelf": "night_elf", "blood_elf": "blood_elf",
     "bloodelf": "blood_elf", "undead": "undead", "dwarf": "dwarf", "gnome": "gnome", "troll": "troll",
@@ -52,7 +45,7 @@ def _key_value(raw: Column) -> Column:
     last = lambda key: F.element_at(F.transform(F.filter(lines, lambda p: p["k"] == key), lambda p: F.replace(p["v"], F.lit('"'), F.lit(""))), -1)
     value = lambda key: F.when(F.exists(lines, lambda p: p["k"] == key), last(key))
     gear = F.filter(F.transform(lines, lambda p: F.struct(
-        lookup(p["k"], KEY_VALUE_SLOTS).alias("slot"), F.regexp_extract(p["v"], r"id=(\d+)", 1).try_cast("bigint").alias("item_id"),
+        lookup(p["k"], fixed.KEY_VALUE_SLOTS).alias("slot"), F.regexp_extract(p["v"], r"id=(\d+)", 1).try_cast("bigint").alias("item_id"),
         F.lit(None).cast("bigint").alias("enchant"), F.lit(None).cast("array<bigint>").alias("gems"))),
         lambda g: g["slot"].isNotNull() & g["item_id"].isNotNull())
     race, spec = F.lower(value("race")), F.lower(value("spec"))
@@ -66,7 +59,7 @@ def _listed(raw: Column) -> Column:
     key = lambda c: F.replace(F.lower(F.coalesce(c, F.lit(""))), F.lit(" "), F.lit("_"))
     race, spec = lookup(key(d["race"]), RACES), lookup(key(d["spec"]), BUILDS)
     gear = F.filter(F.transform(d["items"], lambda i: F.struct(
-        lookup(i["slot"], TITLED_SLOTS).alias("slot"), i["id"].alias("item_id"), F.lit(None).cast("bigint").alias("enchant"),
+        lookup(i["slot"], fixed.TITLED_SLOTS).alias("slot"), i["id"].alias("item_id"), F.lit(None).cast("bigint").alias("enchant"),
         F.lit(None).cast("array<bigint>").alias("gems"))), lambda g: g["slot"].isNotNull() & g["item_id"].isNotNull())
     return F.struct(race.alias("race"), spec.alias("spec"), F.nullif(d["talents"], F.lit("")).alias("talents"),
                     F.coalesce(gear, F.array()).cast(GEAR).alias("gear"), race.isNull().alias("bad_race"), spec.isNull().alias("bad_spec"),
@@ -77,7 +70,7 @@ def _numbered(raw: Column) -> Column:
     p = F.from_json(raw, NUMBERED)["player"]
     talents = F.coalesce(p["talentsString"], F.lit(""))
     items = F.transform(p["equipment"]["items"], lambda i, n: F.struct(
-        lookup(n, NUMBERED_SLOTS).alias("slot"), F.nullif(i["id"], F.lit(0)).alias("item_id"), F.nullif(i["enchant"], F.lit(0)).alias("enchant"),
+        lookup(n, fixed.NUMBERED_SLOTS).alias("slot"), F.nullif(i["id"], F.lit(0)).alias("item_id"), F.nullif(i["enchant"], F.lit(0)).alias("enchant"),
         F.when(F.size(i["gems"]) > 0, i["gems"]).alias("gems")))
     gear = F.filter(items, lambda g: g["slot"].isNotNull() & g["item_id"].isNotNull())
     return F.struct(lookup(F.coalesce(p["race"], F.lit(1)), NUMBERED_RACES, "human").alias("race"), spec_from_digits(talents).alias("spec"),
