@@ -130,9 +130,8 @@ def test_plan_equals_best_fit_decreasing_one_by_one():
 
 
 def test_packing_is_whole_and_gapless(spark):
-    texts = ODD + ["one two three " * n for n in (1, 1, 1, 50, 400, 400, 683, 700, 3000)]
+    texts = ODD + ["a<|endoftext|>B <|ENDOFTEXT|> É<|startoftext|>", "<|endoftext|>" * 9] + ["one two three " * n for n in (1, 1, 1, 50, 400, 400, 683, 700, 3000)]
     tok = Tokenizer.from_file(WORDS)
-    tok.encode_special_tokens = True
     rows = packing.best_fit_packing(frame(spark, texts), WORDS).collect()
     by_doc, bins = {}, {}
     for r in rows:

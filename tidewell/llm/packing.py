@@ -26,7 +26,8 @@ class WordEncoder(dict):
     """``encoder[piece]``: ids of a piece between blanks as little-endian 32-bit integers, found once.
 
     Valid for tokenizers that put texts in lower case and cut them at white space and between
-    letters, digits and signs before their merges. Plain words, Latin letters and then signs, go
+    letters, digits and signs before their merges. Special tokens in a text are one id each, as in
+    the library's call without options. Plain words, Latin letters and then signs, go
     straight to the merges; every other piece goes through the whole tokenizer.
     """
 
@@ -36,7 +37,6 @@ class WordEncoder(dict):
     def __init__(self, model: str, limit: int = 500_000) -> None:
         super().__init__()
         self.tokenizer = Tokenizer.from_str(model)
-        self.tokenizer.encode_special_tokens = True
         self.merge, self.limit = self.tokenizer.model.tokenize, limit
         self.words: dict[str, bytes] = {}
         # Byte-level alphabet: bytes that are no printable sign of Latin-1 stand at 256 and on.
@@ -68,8 +68,9 @@ class WordEncoder(dict):
             self.words.clear()
         if not text:
             return b""
-        if not self.OTHER.search(text):
-            text = text.lower()  # so that fewer pieces differ; beyond Latin-1 the tokenizer's own rules count
+        if "<|" not in text and not self.OTHER.search(text):
+            # So that fewer pieces differ. Beyond Latin-1 the tokenizer's own rules count, and special tokens are met as written.
+            text = text.lower()
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
