@@ -14,10 +14,12 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from tidewell.llm.quality import in_fold
 from tidewell.llm.workers import kept, map_texts
 
-#: Bound of what is learnt: documents a language, letters of each, and letters a language in all.
-SAMPLE_DOCS = 400
-SAMPLE_LETTERS = 600
-REFERENCE = 30_000
+#: Bound of what is learnt, all of which is used: documents a language, spread pieces of each, and letters of a piece.
+SAMPLE_DOCS = 100
+SAMPLE_PIECES = 5
+PIECE_LETTERS = 60
+#: Range of the hash that draws the sample.
+HASHES = 1 << 40
 #: Texts are parsed in pieces of so many signs, side by side; a phrase ends with its piece.
 PIECE = 512
 UNKNOWN = "und"
@@ -129,19 +131,32 @@ class CrossParser:
 
 
 def references(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_docs: int = SAMPLE_DOCS,
-               sample_letters: int = SAMPLE_LETTERS, reference: int = REFERENCE) -> tuple[tuple[str, str], ...]:
-    """(language, text) of a bounded sample: for each language ``sample_docs`` documents, the first by a hash of the key."""
+               sample_pieces: int = SAMPLE_PIECES, piece_letters: int = PIECE_LETTERS) -> tuple[tuple[str, str], ...]:
+    """(language, text) of a bounded sample: for each language ``sample_docs`` documents, the first by a hash of the key.
+
+    Of each document ``sample_pieces`` evenly spread pieces count, from its start to its end. A
+    threshold from a language's number of documents keeps all but about twice as many in their
+    tasks. The number of languages is that of the different labels.
+    """
     from pyspark.sql.window import Window
 
-    rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(lang).cast("string").alias("l"), F.xxhash64(F.col(key).cast("string")).alias("h"),
-        F.substring(F.col(text).cast("string"), 1, 4 * sample_letters).alias("t"))
-    order = F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))
+    raw = 4 * piece_letters  # signs of a piece before blanks, digits and signs go
+    whole = F.col(text).cast("string")
+    known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    counts = {r["l"]: r["count"] for r in known.groupBy(F.col(lang).cast("string").alias("l")).count().collect()}
+    if not counts:
+        return ()
+    below = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, min(HASHES, HASHES * (2 * sample_docs + 50) // n))])
+    rows = known.select(F.col(lang).cast("string").alias("l"), F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(HASHES)).alias("h"), whole.alias("t"))
+    places = F.transform(F.sequence(F.lit(0), F.lit(sample_pieces - 1)), lambda i: F.substring(
+        F.col("t"), (F.greatest(F.length("t") - raw, F.lit(0)) * i / max(1, sample_pieces - 1)).cast("int") + 1, F.lit(raw)))
+    rows = rows.filter(F.col("h") < F.try_element_at(below, F.col("l"))).select("l", "h", places.alias("p"))
+    order = F.row_number().over(Window.partitionBy("l").orderBy("h", "p"))
     held: dict[str, list[str]] = {}
-    for r in rows.withColumn("n", order).filter(F.col("n") <= sample_docs).orderBy("l", "h", "t").collect():
-        held.setdefault(r.l, []).append(plain(r.t)[:sample_letters])
+    for r in rows.withColumn("n", order).filter(F.col("n") <= sample_docs).orderBy("l", "h", "p").collect():
+        held.setdefault(r.l, []).extend(plain(p)[:piece_letters] for p in r.p)
     # Copies teach nothing new.
-    return tuple((name, " ".join(dict.fromkeys(t for t in texts if t))[:reference]) for name, texts in sorted(held.items()))
+    return tuple((name, " ".join(dict.fromkeys(t for t in texts if t))) for name, texts in sorted(held.items()))
 
 
 def language(docs: DataFrame, learnt: tuple[tuple[str, str], ...], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -152,7 +167,7 @@ def language(docs: DataFrame, learnt: tuple[tuple[str, str], ...], doc_id: str =
     was learnt. The score is a softmax over minus the phrases by sign. Null ids stay null;
     repeated rows have a row each.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(learnt)  # REFERENCE letters a language
+    shared = docs.sparkSession.sparkContext.broadcast(learnt)  # the bounded sample of each language
     name = hashlib.sha256(repr(learnt).encode()).hexdigest()
 
     def step():
