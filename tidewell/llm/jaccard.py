@@ -19,6 +19,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ from tidewell.llm.workers import BoundedCache, kept, map_texts
 from tidewell.session import materialize
 
 #: Sizes within this factor are dealt into equally many parts.
-SPAN = 1.4
+SPAN = 1.6
 #: Sets and hashes of a group that one task holds; larger groups are cut into blocks that meet in pairs.
 BLOCK_SETS = 4096
 BLOCK_HASHES = 2_000_000
@@ -67,7 +68,7 @@ def shingles(text: str | None, width: int, words: dict) -> np.ndarray:
 
 
 def _words() -> BoundedCache:
-    return kept(("hashes",), lambda: BoundedCache(xxhash.xxh3_64_intdigest, 500_000))
+    return kept(("hashes",), lambda: BoundedCache(xxhash.xxh3_64_intdigest, 200_000))
 
 
 def set_key(hashes: np.ndarray) -> bytes:
@@ -331,6 +332,9 @@ def proposals(docs: DataFrame, text: str, width: int, p: int, q: int) -> DataFra
                 smallest = key == hub
                 run = np.flatnonzero(new)
                 shared = np.logical_or.reduceat(~smallest, run)[np.cumsum(new) - 1]
+                # Rows of a set side by side take less room in the exchange, which sorts them anyway.
+                order = np.argsort(key, kind="stable")
+                sign, sub, key, smallest, shared = (x[order] for x in (sign, sub, key, smallest, shared))
                 yield pa.RecordBatch.from_arrays([pa.array(np.where(smallest, sign, sub)), pa.array(key), pa.array(np.where(shared, sub, 0))], names=["s", "k", "g"])
 
     def meet(batches):
@@ -407,16 +411,18 @@ def _links(members: DataFrame, docs: DataFrame, doc_id: str, text: str, width: i
                        texts["i"].eqNullSafe(F.col("w")), "left_semi")
 
     def keyed(batches):
-        words = _words()
+        words, squeeze = _words(), zstandard.ZstdCompressor(level=3)
         for batch in batches:
             out = []
             for t in batch.column(0).to_pylist():
                 own = shingles(t, width, words)
                 words.trim()
-                out.append((set_key(own), t) if len(own) else (None, t))
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.binary()), pa.array([t for _, t in out], pa.string())], names=["k", "t"])
+                if len(own):
+                    out.append((set_key(own), squeeze.compress(t.encode("utf-8", "surrogatepass"))))
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.binary()), pa.array([t for _, t in out], pa.binary())], names=["k", "t"])
 
-    by_key = texts.select("t").mapInArrow(keyed, "k binary, t string").groupBy("k").agg(F.min("t").alias("t"))
+    # Texts travel compressed; sorted hashes of their shingles would take more room.
+    by_key = texts.select("t").mapInArrow(keyed, "k binary, t binary").groupBy("k").agg(F.min("t").alias("t"))
     # A block meets itself and every other block of its group; the hub goes to all of them.
     one = F.when(F.col("is_hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
     sent = placed.withColumn("block", F.explode(one)).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
@@ -425,9 +431,11 @@ def _links(members: DataFrame, docs: DataFrame, doc_id: str, text: str, width: i
 
     def link(group: pa.Table) -> pa.Table:
         rows = group.select(["key", "block", "is_hub", "t"]).to_pylist()
-        words, own = _words(), {}
+        words, own, spread = _words(), {}, zstandard.ZstdDecompressor()
         for r in rows:
-            own.setdefault(r["key"], (r["block"], r["is_hub"], shingles(r["t"], width, words)))
+            if r["key"] not in own:
+                text = spread.decompress(r["t"]).decode("utf-8", "surrogatepass")
+                own[r["key"]] = r["block"], r["is_hub"], shingles(text, width, words)
             words.trim()
         numbers = sorted({b for b, _, _ in own.values()})
         blocks, keys = [], []
