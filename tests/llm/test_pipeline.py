@@ -115,5 +115,5 @@ def test_join_with_repeated_and_null_ids(spark, folder):
 
 def test_everything_is_registered():
     names = [n for n in entry.queries() if n.startswith("op") or n == "pipeline"]
-    assert sorted(n.split("_")[0] for n in names) == sorted([f"op{i}" for i in range(1, 11)] + ["pipeline"])
+    assert sorted(n.split("_")[0] for n in names) == sorted([f"op{i}" for i in range(1, 14)] + ["pipeline"])
     assert [n for n, _ in P.STAGES] == ["quality_classifier", "quality_rules", "line_dedup", "ngram_jaccard_join", "best_fit_packing"]

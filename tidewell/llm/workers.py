@@ -45,17 +45,22 @@ def map_texts(
     """``keep`` columns of ``df`` and the columns ``added``, made from the texts batch by batch.
 
     ``step()`` is called once a task and returns ``f(kept columns, texts) -> arrays`` that yields
-    lists of Arrow arrays, one for each column of the result.
+    lists of Arrow arrays, one for each column of the result. ``text`` may be a string field of a
+    kept struct (``row.text``); it is then read from there and does not travel a second time.
     """
-    rows = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).cast("string").alias("t"))
+    outer, _, inner = text.partition(".")
+    held = keep.index(outer) if inner and outer in keep else None
+    columns = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
+    rows = df.select(*columns) if held is not None else df.select(*columns, F.col(text).cast("string").alias("t"))
     schema = StructType([StructField(c, f.dataType) for c, f in zip(keep, rows.schema, strict=False)] + added.fields)
     names = schema.names
 
     def run(batches):
         work = step()
         for batch in batches:
-            columns = [batch.column(i) for i in range(len(keep))]
-            for arrays in work(columns, batch.column(len(keep)).to_pylist()):
+            own = [batch.column(i) for i in range(len(keep))]
+            texts = own[held].field(inner) if held is not None else batch.column(len(keep))
+            for arrays in work(own, texts.to_pylist()):
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return rows.mapInArrow(run, schema)
