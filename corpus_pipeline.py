@@ -29,18 +29,24 @@ def _held(docs: DataFrame) -> DataFrame:
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the threshold; learnt from the labels outside of the held-out fold."""
     model = quality.learn(docs, table(spark, sf_dir, "labels"))
-    found = quality.scores(_held(docs), model, "row", "text")
+    found = quality.scores(docs.select(F.struct(*COLUMNS).alias("row")), model, "row", "row.text")
     return found.filter(F.col("score") >= quality.REJECT_BELOW).select("row.*")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule of the threshold table rejects."""
-    return rules.quality_rules(_held(docs), "row", "text").filter("kept").select("row.*")
+    found = rules.quality_rules(_held(docs), "row", "text")
+    # The verdict passes an explode, so that the filter cannot draw the counts in and cut the text once for each of its rules.
+    judged = found.select("row", F.explode_outer(F.array("kept")).alias("kept"))
+    return judged.filter("kept").select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that much of their source repeats; ``n_chars`` is that of the new text."""
-    out = lines.drop_boilerplate(docs.select(*COLUMNS), "source", "text")
+    """Documents without the lines that much of their source repeats; ``n_chars`` is that of the new text.
+
+    Copies of one text in a source count once: what is copied is for the next stage to find.
+    """
+    out = lines.drop_boilerplate(docs.select(*COLUMNS), "source", "text", once_per_text=True)
     return out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
