@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidewell.catalog.registry import query
+from tidewell.catalog.registry import once, query
 from tidewell.functions import scoring as SC
 from tidewell.functions.text import check_interval, content_hash, is_blank, lookup
 from tidewell.operators import ingest as I
@@ -245,11 +245,13 @@ def english_pages(t):
 
 def two_ingests(t):
     """A library of the English documents, into which all documents come, some of them changed, and then once more."""
-    library = L.create_library(t.spark, fresh_path(t.spark, "library"), buckets=8)
-    L.ingest_pages(library, english_pages(t), 1, now())
-    L.ingest_pages(library, arriving(t), 2, now())
-    L.ingest_pages(library, arriving(t), 3, now())
-    return library
+    def make():
+        library = L.create_library(t.spark, fresh_path(t.spark, "library"), buckets=8)
+        for version, pages in enumerate((english_pages(t), arriving(t), arriving(t)), 1):
+            L.ingest_pages(library, pages, version, now())
+        return library.root
+
+    return L.Library(t.spark, once(t, "library", ["documents"], make))
 
 
 @query("j02_library_chunks", f"with {AFTER_SQL} select key as url, chunk_index, md5(content) as digest from chunks")
@@ -268,10 +270,7 @@ select count(*) filter (ok and not existed) as succeeded, count(*) filter (not o
   coalesce(sum(n_chunks) filter (ok and not existed), 0)::bigint as total_chunks
 from (select regexp_matches(arrived, '\\S') as ok, action in ('unchanged', 'refused') as existed, n_chunks from counts)""")
 def d01(t):
-    library = L.create_library(t.spark, fresh_path(t.spark, "library"), buckets=8)
-    L.ingest_pages(library, english_pages(t), 1, now())
-    L.ingest_pages(library, arriving(t), 2, now())
-    res = library.decisions(2).select(F.col("has_text").alias("ok"), F.col("action").isin("unchanged", "refused").alias("existed"), F.col("chunk_count").alias("n_chunks"))
+    res = two_ingests(t).decisions(2).select(F.col("has_text").alias("ok"), F.col("action").isin("unchanged", "refused").alias("existed"), F.col("chunk_count").alias("n_chunks"))
     return TB.ingest_report(res)
 
 
@@ -475,13 +474,16 @@ def child_tables(t):
 
 def stored_reports(t):
     """Reports stored with other durations and damages first, then as they are, then once more."""
-    store = Segments(t.spark, fresh_path(t.spark, "reports"))
-    tables = {name: materialize(rows, name) for name, rows in child_tables(t).items()}
-    early = dict(tables, fights=tables["fights"].withColumn("duration_ms", F.lit(-1).cast("bigint")),
-                 damage=tables["damage"].where(F.col("total_damage") % 2 == 0).withColumn("active_time_ms", F.lit(0).cast("bigint")))
-    for version, batch in enumerate((early, tables, tables), 1):
-        RP.store_tables(store, batch, version)
-    return store
+    def make():
+        store = Segments(t.spark, fresh_path(t.spark, "reports"))
+        tables = {name: materialize(rows, name) for name, rows in child_tables(t).items()}
+        early = dict(tables, fights=tables["fights"].withColumn("duration_ms", F.lit(-1).cast("bigint")),
+                     damage=tables["damage"].where(F.col("total_damage") % 2 == 0).withColumn("active_time_ms", F.lit(0).cast("bigint")))
+        for version, batch in enumerate((early, tables, tables), 1):
+            RP.store_tables(store, batch, version)
+        return store.root
+
+    return Segments(t.spark, once(t, "reports", ["orders", "lineitem"], make))
 
 
 @query("j08_stored_fights", """

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidewell.catalog.corpus import NOW, now
-from tidewell.catalog.registry import query
+from tidewell.catalog.registry import once, query
 from tidewell.catalog.retrieval import CENT_SQL, centroids
 from tidewell.functions import fixed
 from tidewell.functions import scoring as SC
@@ -238,11 +238,15 @@ def first_words(shortest):
 
 
 def two_runs(t):
-    store = X.ExtractionStore(t.spark, fresh_path(t.spark, "extraction"))
-    chunks = t.documents.select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").alias("seq"), F.col("text").alias("content"))
-    for version, shortest in ((1, 100), (2, 0), (3, 0)):
-        X.run_extraction(store, chunks, version, first_words(shortest))
-    return store
+    """A run that fails for short chunks, one that reads them, and one that finds nothing left but the blank ones."""
+    def make():
+        store = X.ExtractionStore(t.spark, fresh_path(t.spark, "extraction"))
+        chunks = t.documents.select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").alias("seq"), F.col("text").alias("content"))
+        for version, shortest in ((1, 100), (2, 0), (3, 0)):
+            X.run_extraction(store, chunks, version, first_words(shortest))
+        return store.root
+
+    return X.ExtractionStore(t.spark, once(t, "extraction", ["documents"], make))
 
 
 @query("j05_extraction_ledger", """

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -24,6 +25,21 @@ class Tables:
         return self.spark.read.parquet(self.path(name))
 
 
+_MADE: dict[tuple, str] = {}
+
+
+def once(t: Tables, name: str, tables: list[str], make: Callable[[], str]) -> str:
+    """Where something stored lies that ``make`` makes of some tables: made once for an application and the files as they are."""
+    state = []
+    for table in tables:
+        files = getattr(t, table).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+        state.append(files.agg(F.sum(F.xxhash64("file_path", "file_size", "file_modification_time").cast("decimal(38,0)"))).first()[0])
+    key = (t.spark.sparkContext.applicationId, t.folder, name, *state)
+    if key not in _MADE:
+        _MADE[key] = make()
+    return _MADE[key]
+
+
 def query(name: str, sql: str | None = None):
     """Register ``fn(tables) -> DataFrame`` under ``name``."""
 

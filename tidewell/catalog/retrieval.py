@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.catalog.registry import Tables, query
+from tidewell.catalog.registry import Tables, once, query
 from tidewell.operators import retrieval as R
 from tidewell.operators import search_index as S
 from tidewell.operators import trust as TR
@@ -104,17 +104,9 @@ def trust_events(t: Tables) -> DataFrame:
         delta.alias("delta"), F.col("ts").alias("created_at"))
 
 
-_INDEXES: dict[tuple, str] = {}
-
-
 def stored_index(t: Tables) -> S.SearchIndex:
-    """The index of the documents, made once for an application and the files as they are."""
-    files = t.documents.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
-    state = files.agg(F.sum(F.xxhash64("file_path", "file_size", "file_modification_time").cast("decimal(38,0)"))).first()[0]
-    key = (t.spark.sparkContext.applicationId, t.folder, state)
-    if key not in _INDEXES:
-        _INDEXES[key] = S.create_index(t.documents, fresh_path(t.spark, "search-index")).root
-    return S.open_index(t.spark, _INDEXES[key])
+    """The index of the documents."""
+    return S.open_index(t.spark, once(t, "search-index", ["documents"], lambda: S.create_index(t.documents, fresh_path(t.spark, "search-index")).root))
 
 
 def keyword_scores(t: Tables) -> DataFrame:
