@@ -152,6 +152,26 @@ def test_language_of_held_out_rows(spark):
     assert language.held_out_language(docs.limit(0)).count() == 0
 
 
+def test_language_of_repeated_rows_and_texts_of_many_pieces(spark):
+    en, de = "of and with house street water light other ", "der die und mit haus straße wasser licht andere "
+    rows = [(i, (en, de)[i % 2] * 5, ("en", "de")[i % 2]) for i in range(60)] + [(900, de * 3000, None), (901, en * 3000, None), (902, "1 " * 5000 + de, None)]
+    docs = spark.createDataFrame(rows + rows[:7] + rows[-3:], "doc_id long, text string, lang string")
+    got = {}
+    for r in language.held_out_language(docs).collect():
+        got.setdefault(r.doc_id, []).append((r.lang_pred, round(r.score, 6)))
+    assert all(len(set(v)) == 1 for v in got.values()) and sum(map(len, got.values())) == len(rows) + 10
+    assert got[900][0][0] == "de" and got[902][0][0] == "de" and all(got[i][0][0] == ("en", "de")[i % 2] for i in range(60))
+
+
+def test_what_language_learns_is_spread_and_bounded(spark):
+    """Pieces from the start, the middle and the end of each drawn document, and no more than are asked for."""
+    rows = [(i, "anfang " * 300 + "mitte " * 300 + "ende " * 300, "de") for i in range(40)] + [(i, f"word{chr(97 + i % 26)} " * 3, "en") for i in range(40, 90)]
+    learnt = dict(language.references(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(7), sample_docs=10, sample_pieces=3, piece_letters=50))
+    assert all(w in learnt["de"] for w in ("anfang", "mitte", "ende")) and len(learnt["de"]) <= 3 * 51
+    assert 0 < len(learnt["en"].split()) and len(learnt["en"]) <= 10 * 3 * 51
+    assert language.references(spark.createDataFrame([], "doc_id long, text string, lang string")) == ()
+
+
 # --- rules ---------------------------------------------------------------------
 def brute_counts(text):
     t = text or ""
@@ -187,6 +207,15 @@ def test_rules_use_no_user_function(spark):
     assert not re.search("Python|Arrow|Exchange", plan)
 
 
+def test_rules_with_null_ids_and_an_empty_table(spark):
+    good = "the river runs past old houses and of many people who live there " * 8
+    rows = [(None, good, 1.0, "x"), (1, good, 1.0, "x"), (1, good, 1.0, "x"), (None, None, 1.0, "x")]
+    schema = "doc_id long, text string, n_words double, kept string"
+    got = sorted((str(r.doc_id), r.n_words, r.base_failed) for r in rules.quality_rules(spark.createDataFrame(rows, schema)).collect())
+    assert got == [("1", 104, True), ("1", 104, True), ("None", 0, True), ("None", 104, True)]
+    assert rules.quality_rules(spark.createDataFrame([], schema)).count() == 0
+
+
 # --- lines ---------------------------------------------------------------------
 def test_lines_against_brute_force(spark):
     rng = random.Random(8)
@@ -322,6 +351,13 @@ def test_url_filter_with_few_rows(spark, rows):
     assert all(r.verdict == ("block" if "net" in rows[0][0] else "allow") for r in got)
 
 
+def test_url_filter_with_repeated_rows_and_very_long_urls(spark):
+    long = "http://h.org/" + "ab" * 30_000
+    rows = [(1, "http://a.com/x"), (1, "http://a.com/x"), (2, "http://b.net/es/x"), (3, long), (3, long), (4, long + "c"), (None, None), (None, None)]
+    got = sorted((str(r.page_id), r.verdict, len(r.path)) for r in urls.url_filter(spark.createDataFrame(rows, "page_id long, url string")).collect())
+    assert len(got) == len(rows) and got[0] == got[1] == ("1", "allow", 2) and got[3] == got[4] and got[3][2] == 60_001 and got[-1][2] == 0
+
+
 def test_url_filter_is_native(spark):
     plan = urls.url_filter(spark.createDataFrame([(1, "http://a.com/")], "page_id int, url string"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Cartesian|NestedLoop", plan)
