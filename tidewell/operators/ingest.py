@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +14,7 @@ from tidewell.functions import fixed
 from tidewell.functions.scoring import base_trust
 from tidewell.functions.text import check_interval, content_hash, is_blank
 from tidewell.plans.blocked import with_neighbours
+from tidewell.plans.slices import SLICE_CHARS, slices, text_sizes
 from tidewell.plans.spread import spread
 
 CHARS_PER_TOKEN = 4
@@ -96,19 +97,21 @@ def chunk_texts(
 ) -> DataFrame:
     """``id_cols, chunk_index, content, char_count, token_estimate``.
 
-    Rows stay where they are: cutting a text needs only that text.
+    Rows stay where they are: cutting a text needs only that text. A task holds the chunks of a
+    bounded slice of its texts.
     """
     schema = T.StructType([*[docs.schema[c] for c in id_cols], T.StructField("chunk_index", T.IntegerType()),
                            T.StructField("content", T.StringType())])
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            chunks = [chunk_one(t, max_tokens, min_tokens, overlap_tokens) if t else [] for t in pdf[text_col]]
-            out = pdf[id_cols].assign(content=chunks, chunk_index=[list(range(len(c))) for c in chunks])
-            out = out[out["content"].map(len) > 0].explode(["chunk_index", "content"])
-            yield out.astype({"chunk_index": "int32"})[[*id_cols, "chunk_index", "content"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, text_sizes(whole.column(len(id_cols))), SLICE_CHARS)):
+            chunks = [chunk_one(t, max_tokens, min_tokens, overlap_tokens) if t else [] for t in batch.column(len(id_cols)).to_pylist()]
+            row = pa.array([i for i, c in enumerate(chunks) for _ in c], pa.int64())
+            yield pa.RecordBatch.from_arrays([
+                *(batch.column(i).take(row) for i in range(len(id_cols))), pa.array([i for c in chunks for i in range(len(c))], pa.int32()),
+                pa.array([x for c in chunks for x in c], pa.string())], names=schema.names)
 
-    cut = spread(docs.select(*id_cols, text_col), id_cols[0]).mapInPandas(run, schema)
+    cut = spread(docs.select(*id_cols, text_col), id_cols[0]).mapInArrow(run, schema)
     return cut.withColumns({"char_count": F.length("content"), "token_estimate": F.floor(F.length("content") / CHARS_PER_TOKEN)})
 
 
