@@ -40,3 +40,11 @@ def test_postings_and_vectors_of_many_slices(spark):
     assert {r.term: (r.df, r.cf) for r in got} == {t: (len(v), sum(v)) for t, v in want.items()}
     vectors = {r.id: tuple(r.embedding) for r in R.feature_hash_embedding(rows, "id", "text").collect()}
     assert len(vectors) == 300 and all(vectors[i] == vectors[i % 3] for i in vectors) and any(vectors[0])
+
+
+def test_scanned_answers_are_written_compressed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(C, "fresh_path", lambda _, label: f"{tmp_path}/{label}")
+    answers = spark.createDataFrame([('{"code":"a","fights":[{"id":1,"encounterID":2,"name":"x"}]}',)], "value string")
+    got = C.scanned(type("T", (), {"spark": spark}), answers)
+    assert [(r.report_code, r.fight_id) for r in RP.fight_rows(got).collect()] == [("a", 1)]
+    assert {p.suffix for p in (tmp_path / "reports").glob("part-*")} == {".gz"}

@@ -406,9 +406,9 @@ def item_answers(t):
 
 
 def scanned(t, answers):
-    """Answers written as JSON lines and scanned back."""
+    """Answers written as compressed JSON lines and scanned back."""
     path = fresh_path(t.spark, "reports")
-    answers.write.text(path)
+    answers.write.option("compression", "gzip").text(path)
     return RP.read_reports(t.spark, path)
 
 
