@@ -48,3 +48,20 @@ def test_scanned_answers_are_written_compressed(spark, tmp_path, monkeypatch):
     got = C.scanned(type("T", (), {"spark": spark}), answers)
     assert [(r.report_code, r.fight_id) for r in RP.fight_rows(got).collect()] == [("a", 1)]
     assert {p.suffix for p in (tmp_path / "reports").glob("part-*")} == {".gz"}
+
+
+def test_pending_texts_are_found_by_their_ids(spark, tmp_path):
+    store = X.ExtractionStore(spark, str(tmp_path / "store"))
+
+    def extract(text):
+        if text == "bad":
+            raise ValueError("bad")
+        return {"entities": [], "relationships": []}
+
+    rows = [("a", 1, "good"), ("b", 2, "bad"), (None, 3, "good"), ("a", 1, "good")]
+    spark.createDataFrame(rows, "chunk_id string, seq long, content string").write.parquet(f"{tmp_path}/chunks")
+    chunks = spark.read.parquet(f"{tmp_path}/chunks")
+    X.run_extraction(store, chunks, 1, extract)
+    left = X._pending(store, chunks, 2)
+    assert sorted((r.chunk_id or "", r.seq) for r in left.collect()) == [("", 3), ("b", 2)]
+    assert "Exchange hashpartitioning" not in plan_of(left)

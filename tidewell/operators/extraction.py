@@ -20,6 +20,7 @@ from tidewell.functions import fixed
 from tidewell.operators.graph import entity_id, merge_entities, merge_relationships, resolve_endpoints
 from tidewell.functions.text import resolve_canonical
 from tidewell.plans.segments import Segments, last_of
+from tidewell.session import materialize
 
 FOUND = {
     "chunk_id": "string", "seq": "bigint", "ok": "boolean", "error": "string",
@@ -82,6 +83,15 @@ def _checked(said: dict) -> tuple[list, list]:
     return ents, rels
 
 
+def _pending(store: ExtractionStore, chunks: DataFrame, version: int) -> DataFrame:
+    """The chunks that no run before ``version`` has read; ids decide, and the texts move only where too many are left to be broadcast."""
+    if not [v for v in store.segments.versions() if v < version]:
+        return chunks
+    read = store.ledger(below=version).where("ok").select("chunk_id")
+    left = materialize(chunks.select("chunk_id").join(read, "chunk_id", "left_anti").distinct().withColumnRenamed("chunk_id", "own_id"), "pending")
+    return chunks.join(left, F.col("chunk_id").eqNullSafe(F.col("own_id")), "left_semi")
+
+
 def run_extraction(store: ExtractionStore, chunks: DataFrame, version: int, extract_fn: Callable[[str], dict]) -> bool:
     """Asks ``extract_fn`` for the chunks (``chunk_id, seq, content``) that no run before has read, as run ``version``.
 
@@ -91,8 +101,8 @@ def run_extraction(store: ExtractionStore, chunks: DataFrame, version: int, extr
     segments = store.segments
     if version in segments.versions():
         return False
-    read = store.ledger(below=version).where("ok").select("chunk_id")
-    pending = chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), F.col("seq").cast("long").alias("seq"), "content").join(read, "chunk_id", "left_anti")
+    chunks = chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), F.col("seq").cast("long").alias("seq"), "content")
+    pending = _pending(store, chunks, version)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
