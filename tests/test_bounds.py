@@ -50,6 +50,18 @@ def test_scanned_answers_are_written_compressed(spark, tmp_path, monkeypatch):
     assert {p.suffix for p in (tmp_path / "reports").glob("part-*")} == {".gz"}
 
 
+def test_stored_tables_move_new_rows_once(spark, tmp_path, monkeypatch):
+    store, plans = Segments(spark, str(tmp_path)), []
+    own = Segments.write
+    monkeypatch.setattr(Segments, "write", lambda self, df, *a, **b: (plans.append(plan_of(df)), own(self, df, *a, **b))[1])
+    fights = spark.createDataFrame([("A", 1, "x", 10), ("A", 1, "x", 12), ("B", None, "y", None)], "report_code string, fight_id long, name string, duration_ms long")
+    for version in (1, 2):
+        RP.store_tables(store, {"fights": fights}, version)
+    assert [p.count("Exchange") for p in plans] == [1, 1]
+    assert store.read("fights").where("segment = 2").count() == 0
+    assert sorted(tuple(r) for r in RP.stored_table(store, "fights").collect()) == [("A", 1, "x", 12), ("B", None, "y", None)]
+
+
 def test_pending_texts_are_found_by_their_ids(spark, tmp_path):
     store = X.ExtractionStore(spark, str(tmp_path / "store"))
 

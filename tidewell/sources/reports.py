@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewell.plans.segments import Segments, last_of
 
@@ -202,14 +203,15 @@ def store_tables(store: Segments, tables: dict[str, DataFrame], version: int) ->
     written = []
     for name, rows in tables.items():
         keys, rest = KEYS[name], [c for c in rows.columns if c not in KEYS[name]]
-        last = rows.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("row"))
-        fresh = last.select(*keys, *[F.col("row")[c].alias(c) for c in rest]).withColumn("digest", F.xxhash64(*keys, *rest))
-        known = last_of(store.read(name, fresh.schema, below=version), keys).select(*[F.col(k).alias(f"known_{k}") for k in keys], F.col("digest").alias("known_digest"))
-        same = F.lit(True)
-        for k in keys:
-            same = same & F.col(k).eqNullSafe(F.col(f"known_{k}"))
-        changed = fresh.join(known, same & (F.col("digest") == F.col("known_digest")), "left_anti")
-        written.append(store.write(changed.select(*fresh.columns), name, version).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), "n"))
+        stored = T.StructType([*rows.schema.fields, T.StructField("digest", T.LongType())])
+        fresh = rows.select(*keys, F.struct(*rest).alias("row"), F.lit(None).cast("long").alias("digest"), F.lit(None).cast("int").alias("segment"))
+        # Of what is stored the digests alone are read; they meet the new rows in the exchange that those need anyway.
+        known = store.read(name, stored, below=version).select(*keys, F.lit(None).cast(fresh.schema["row"].dataType).alias("row"), "digest", "segment")
+        met = fresh.unionByName(known).groupBy(*keys).agg(F.max("row").alias("row"), F.max_by("digest", "segment").alias("known_digest"))
+        last = met.where(F.col("row").isNotNull()).select(*keys, *[F.col("row")[c].alias(c) for c in rest], "known_digest")
+        digested = last.withColumn("digest", F.xxhash64(*keys, *rest))
+        changed = digested.where(~F.col("digest").eqNullSafe(F.col("known_digest"))).select(*keys, *rest, "digest")
+        written.append(store.write(changed, name, version).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), "n"))
     store.commit(version, reduce(DataFrame.unionByName, written))
     return True
 
