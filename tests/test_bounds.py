@@ -77,3 +77,26 @@ def test_pending_texts_are_found_by_their_ids(spark, tmp_path):
     left = X._pending(store, chunks, 2)
     assert sorted((r.chunk_id or "", r.seq) for r in left.collect()) == [("", 3), ("b", 2)]
     assert "Exchange hashpartitioning" not in plan_of(left)
+
+
+def test_pages_are_decided_without_their_texts(spark, tmp_path, monkeypatch):
+    library, seen = L.create_library(spark, f"{tmp_path}/library", blocks=16, buckets=2), {}
+    own = L.materialize
+    monkeypatch.setattr(L, "materialize", lambda df, label: (seen.setdefault(label, []).append((df.columns, plan_of(df))), own(df, label))[1])
+
+    def pages(*rows):
+        return spark.createDataFrame([(u, "t", "guide", x) for u, x in rows], "url string, title string, source_type string, text string")
+
+    now = F.lit("2024-05-01").cast("timestamp")
+    L.ingest_pages(library, pages(("a", "swords"), ("b", "maces"), (None, "axes")), 1, now)
+    L.ingest_pages(library, pages(("a", "swords"), ("b", "more maces"), ("c", " ")), 2, now)
+    assert sorted(r.content for r in library.chunks().collect()) == ["axes", "more maces", "swords"]
+    assert {(r.url, r.action, r.chunk_count) for r in library.decisions(2).collect()} == {("a", "unchanged", 1), ("b", "replace", 1), ("c", "new", 0)}
+    assert len(seen["decided"]) == 2 and all("text" not in columns for columns, _ in seen["decided"])
+
+
+def test_few_buckets_are_dealt_to_many_tasks(spark):
+    postings = spark.createDataFrame([], "term string, block int, doc_id string, bucket int")
+    for blocks, buckets, stripes in ((16, 8, 16), (100, 8, 32), (100, 64, 4), (1, 64, 1), (2000, 64, 9)):
+        index = S.SearchIndex(spark, "", blocks, buckets, "string")
+        assert f", {stripes})" in S._dealt(index, postings)._jdf.queryExecution().analyzed().toString().split("pmod(block")[1][:12]

@@ -141,14 +141,15 @@ def ingest_decision(incoming: DataFrame, sources: DataFrame) -> DataFrame:
     ``incoming``: ``url, title, source_type, text``, one row per URL.
     """
     known = sources.select("url", F.col("content_hash").alias("known_hash"), F.lit(True).alias("_known"))
-    fresh = incoming.withColumn("new_hash", content_hash("text"))
+    # Read off before the join, so that a text that nobody asks for does not move.
+    fresh = incoming.withColumns({"new_hash": content_hash("text"), "_blank": is_blank("text")})
     action = (
         F.when(F.col("_known").isNull(), "new")
         .when(F.col("known_hash") == F.col("new_hash"), "unchanged")
-        .when(is_blank("text"), "refused")
+        .when(F.col("_blank"), "refused")
         .otherwise("replace")
     )
-    return fresh.join(known, "url", "left").withColumn("action", action).drop("_known")
+    return fresh.join(known, "url", "left").withColumn("action", action).drop("_known", "_blank")
 
 
 def apply_ingest(decisions: DataFrame, sources: DataFrame, now: Column, intervals: dict[str, int] | None = None) -> DataFrame:

@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from tidewell.operators import ingest
 from tidewell.operators.retrieval import feature_hash_embedding
 from tidewell.operators.search_index import SearchIndex, change_index, create_index, open_index
+from tidewell.functions.text import content_hash
 from tidewell.plans.segments import Segments, last_of, without_removed
+from tidewell.session import materialize
 
 SOURCES = {
     "url": "string", "title": "string", "source_type": "string", "content_hash": "string", "content_hash_previous": "string", "change_count": "int",
@@ -47,9 +49,10 @@ class Library:
         """The sources as their last change left them."""
         return last_of(self.segments.read("sources", SOURCES, below), "url").where(~F.col("gone")).drop("gone")
 
-    def chunks(self, below: int | None = None) -> DataFrame:
-        """The chunks that belong to the sources as they are."""
+    def chunks(self, below: int | None = None, of: DataFrame | None = None) -> DataFrame:
+        """The chunks that belong to the sources as they are, or to those of them in ``of`` (``url``)."""
         rows = self.segments.read("chunks", CHUNKS, below)
+        rows = rows if of is None else rows.join(of, "url", "left_semi")
         return without_removed(rows, self.segments.read("removed", REMOVED, below), "chunk_id").drop("segment")
 
     def vectors(self) -> DataFrame:
@@ -85,17 +88,21 @@ def ingest_pages(
     if version in segments.versions():
         return False
     known = library.sources(below=version)
-    decided = ingest.ingest_decision(pages, known.drop("chunk_count"))
-    fresh = ingest.chunk_texts(ingest.changed_texts(decided), ["url"], "text", **sizes)
+    # Written once and without the texts, which move again only where they are cut and are too many to be found by a broadcast.
+    decided = materialize(ingest.ingest_decision(pages.withColumn("has_text", ~ingest.is_blank("text")), known.drop("chunk_count")).drop("text"), "decided")
+    written = F.col("action").isin("new", "replace")
+    cut = decided.where(written & F.col("has_text")).select(F.col("url").alias("own_url"), F.col("new_hash").alias("own_hash")).distinct()
+    texts = pages.select("url", "text").withColumn("new_hash", content_hash("text")).join(
+        cut, F.col("url").eqNullSafe(F.col("own_url")) & (F.col("new_hash") == F.col("own_hash")), "left_semi")
+    fresh = ingest.chunk_texts(texts, ["url"], "text", **sizes)
     added = segments.write(fresh.select(chunk_id(F.col("url"), F.col("chunk_index")).alias("chunk_id"), *list(CHUNKS)[1:]), "chunks", version)
     counts = added.groupBy("url").agg(F.count(F.lit(1)).alias("chunk_count"))
     before = known.select("url", F.col("chunk_count").alias("held"))
-    written = F.col("action").isin("new", "replace")
-    told = segments.write(decided.select("url", "action", (~ingest.is_blank("text")).alias("has_text")).join(counts, "url", "left").join(
+    told = segments.write(decided.select("url", "action", "has_text").join(counts, "url", "left").join(
         before, "url", "left").select("url", "action", F.coalesce(F.when(written, F.col("chunk_count")).otherwise(F.col("held")), F.lit(0)).alias(
             "chunk_count"), "has_text"), "decisions", version)
     replaced = told.where("action = 'replace'").select("url")
-    _apply(library, version, added, library.chunks(below=version).join(replaced, "url", "left_semi"), embed)
+    _apply(library, version, added, library.chunks(below=version, of=replaced), embed)
     touched = decided.where(written)
     sources = ingest.apply_ingest(touched, known.drop("chunk_count").join(touched.select("url"), "url", "left_semi"), now, intervals)
     segments.write(sources.join(told.select("url", "chunk_count"), "url").withColumn("gone", F.lit(False)).select(*SOURCES), "sources", version)
@@ -110,7 +117,7 @@ def forget_sources(library: Library, urls: DataFrame, version: int) -> bool:
         return False
     gone = library.sources(below=version).join(urls.select("url").distinct(), "url", "left_semi")
     chunks = library.chunks(below=version)
-    _apply(library, version, segments.write(chunks.limit(0), "chunks", version), chunks.join(gone.select("url"), "url", "left_semi"), None)
+    _apply(library, version, segments.write(chunks.limit(0), "chunks", version), library.chunks(below=version, of=gone.select("url")), None)
     segments.write(gone.withColumn("gone", F.lit(True)).select(*SOURCES), "sources", version)
     segments.write(gone.select("url", F.lit("forgotten").alias("action"), "chunk_count", F.lit(True).alias("has_text")), "decisions", version)
     _commit(library, version)
@@ -120,6 +127,7 @@ def forget_sources(library: Library, urls: DataFrame, version: int) -> bool:
 def _apply(library: Library, version: int, added: DataFrame, removed: DataFrame, embed: Callable[[DataFrame], DataFrame] | None) -> None:
     """Removed list, vectors and postings of one change set of chunks."""
     segments = library.segments
+    removed = materialize(removed.select("chunk_id", "content"), "removed")
     segments.write(removed.select("chunk_id"), "removed", version)
     made = embed(added.select("chunk_id", "content")) if embed else feature_hash_embedding(added, "chunk_id", "content")
     segments.write(made.select("chunk_id", F.col("embedding").cast("array<double>").alias("embedding")), "vectors", version)
