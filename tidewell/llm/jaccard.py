@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from tidewell.llm.components import components
-from tidewell.llm.workers import BoundedCache, kept, map_texts
+from tidewell.llm.workers import ROWS, BoundedCache, kept, map_texts
 from tidewell.session import materialize
 
 #: Sizes within this factor are dealt into equally many parts.
@@ -35,6 +35,8 @@ SPAN = 1.6
 BLOCK_SETS = 4096
 BLOCK_HASHES = 2_000_000
 FANOUT = 16
+#: Words of the bitmaps that pairs of nodes are compared by at once; each comparison holds a few arrays of them.
+PAIR_WORDS = 1 << 19
 #: Nodes that need text are sent to all tasks up to this many; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -229,7 +231,7 @@ def tree_links(blocks: list[list[np.ndarray]], p: int, q: int, hub: int | None =
     same = len(trees) == 1
     if len(a.levels) < len(b.levels):
         a, b = b, a
-    step = max(256, (1 << 22) // (bits // 64))
+    step = max(256, PAIR_WORDS // (bits // 64))
     top_a, top_b = len(a.levels) - 1, len(b.levels) - 1
     i, j = (x.ravel() for x in np.meshgrid(np.arange(len(a.levels[-1][2])), np.arange(len(b.levels[-1][2])), indexing="ij"))
     if same:
@@ -303,11 +305,10 @@ def proposals(docs: DataFrame, text: str, width: int, p: int, q: int) -> DataFra
         words, seen, number = _words(), set(), 0
         task = TaskContext.get().partitionId()
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for at in range(0, len(texts), 2048):
+            for at in range(0, batch.num_rows, 2048):
                 found, keys = [], []
                 number += 1
-                for t in texts[at:at + 2048]:
+                for t in batch.column(0).slice(at, 2048).to_pylist():
                     own = shingles(t, width, words)
                     words.trim()
                     if not len(own):
@@ -412,7 +413,7 @@ def _links(members: DataFrame, docs: DataFrame, doc_id: str, text: str, width: i
 
     def keyed(batches):
         words, squeeze = _words(), zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             out = []
             for t in batch.column(0).to_pylist():
                 own = shingles(t, width, words)

@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+#: Rows whose texts a task holds as Python objects at once.
+ROWS = 1024
+
 _KEPT: dict[Any, Any] = {}
 
 
@@ -57,7 +60,7 @@ def map_texts(
 
     def run(batches):
         work = step()
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             own = [batch.column(i) for i in range(len(keep))]
             texts = own[held].field(inner) if held is not None else batch.column(len(keep))
             for arrays in work(own, texts.to_pylist()):
