@@ -42,6 +42,16 @@ def test_postings_and_vectors_of_many_slices(spark):
     assert len(vectors) == 300 and all(vectors[i] == vectors[i % 3] for i in vectors) and any(vectors[0])
 
 
+def test_neighbours_of_many_slices(spark):
+    from tidewell.operators import retrieval as R
+
+    # More vectors in a task than a slice holds.
+    vectors = spark.range(0, 5000, numPartitions=1).select(F.col("id").alias("doc_id"), F.array(F.lit(1.0), F.col("id") / 5000).alias("embedding"))
+    asked = spark.createDataFrame([(7, [0.0, 1.0]), (8, [1.0, 0.0])], "query_id int, query_embedding array<double>")
+    got = {(r.query_id, r.rank0): r.doc_id for r in R.knn(vectors, asked, 3).collect()}
+    assert got == {(7, 0): 4999, (7, 1): 4998, (7, 2): 4997, (8, 0): 0, (8, 1): 1, (8, 2): 2}
+
+
 def test_scanned_answers_are_written_compressed(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(C, "fresh_path", lambda _, label: f"{tmp_path}/{label}")
     answers = spark.createDataFrame([('{"code":"a","fights":[{"id":1,"encounterID":2,"name":"x"}]}',)], "value string")
