@@ -110,3 +110,20 @@ def test_few_buckets_are_dealt_to_many_tasks(spark):
     for blocks, buckets, stripes in ((16, 8, 16), (100, 8, 32), (100, 64, 4), (1, 64, 1), (2000, 64, 9)):
         index = S.SearchIndex(spark, "", blocks, buckets, "string")
         assert f", {stripes})" in S._dealt(index, postings)._jdf.queryExecution().analyzed().toString().split("pmod(block")[1][:12]
+
+
+def test_repeated_parts_of_stored_tables_are_not_moved(spark, tmp_path, monkeypatch):
+    store, seen = Segments(spark, str(tmp_path)), []
+    own = RP._open_parts
+    monkeypatch.setattr(RP, "_open_parts", lambda *a: (seen.append(own(*a)), seen[-1])[1])
+    schema = "report_code string, fight_id long, name string, duration_ms long"
+    first = [("A", 1, "x", 10), ("A", 1, "x", 10), ("A", 1, "x", 12), ("B", None, "y", None), ("C", 3, "z", 3)]
+    other = [("A", 1, "x", 9), *first[3:]]
+    for version, rows in enumerate((first, first, other, first[:1], first, first[3:]), 1):
+        RP.store_tables(store, {"fights": spark.createDataFrame(rows, schema)}, version)
+    assert [len(x["fights"]) for x in seen] == [3, 0, 1, 1, 1, 0]
+    assert sorted(tuple(r) for r in RP.stored_table(store, "fights").collect()) == [("A", 1, "x", 12), ("B", None, "y", None), ("C", 3, "z", 3)]
+    once = Segments(spark, f"{tmp_path}/once")
+    for version in (1, 2):
+        RP.store_tables(once, {"fights": spark.createDataFrame(first, schema)}, version)
+    assert RP.stored_table(once, "fights").count() == 3 and "Exchange" not in plan_of(RP.stored_table(once, "fights"))

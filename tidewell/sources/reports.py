@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewell.plans import snapshots
 from tidewell.plans.segments import Segments, last_of
 
 # --- fixed values: fields of the answers -------------------------------------
@@ -191,22 +192,58 @@ KEYS = {
 
 
 # --- stored tables -----------------------------------------------------------
+#: Parts of a table's keys, of each of which a change keeps a print of the rows that it was given.
+PRINT_PARTS = 1024
+PRINT = ["n", "low", "high"]
+
+
+def _part(keys: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(PRINT_PARTS)).cast("int")
+
+
+def _prints(tables: dict[str, DataFrame]) -> DataFrame:
+    """``table_name, part, n, low, high``: number and summed digests (in halves, so that no sum overflows) of the rows of each part."""
+    digest = F.col("digest")
+    found = [rows.select(F.lit(name).alias("table_name"), _part(KEYS[name]).alias("part"), F.xxhash64(*_key_first(name, rows)).alias("digest"))
+             .groupBy("table_name", "part").agg(F.count(F.lit(1)).alias("n"), F.sum(digest.bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))).alias("low"),
+                                                F.sum(F.shiftright(digest, 32)).alias("high")) for name, rows in tables.items()]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _key_first(name: str, rows: DataFrame) -> list[str]:
+    return [*KEYS[name], *[c for c in rows.columns if c not in KEYS[name]]]
+
+
+def _open_parts(store: Segments, tables: dict[str, DataFrame], version: int) -> dict[str, list[int]]:
+    """Of each table the parts whose rows are not those that the last change with rows in them brought: a repeated part changes nothing."""
+    root = f"{store.root}/prints"
+    snapshots.write_version(_prints(tables).coalesce(1), root, version)
+    given, earlier = store.spark.read.parquet(f"{root}/v{version}"), [v for v in store.versions() if v < version]
+    if earlier:
+        held = reduce(DataFrame.unionByName, [store.spark.read.parquet(f"{root}/v{v}").withColumn("segment", F.lit(v)) for v in earlier])
+        given = given.join(last_of(held, ["table_name", "part"]), ["table_name", "part", *PRINT], "left_anti")
+    found = given.select("table_name", "part").collect()  # at most PRINT_PARTS a table
+    return {name: sorted(r["part"] for r in found if r["table_name"] == name) for name in tables}
+
+
 def store_tables(store: Segments, tables: dict[str, DataFrame], version: int) -> bool:
     """Writes flattened tables (names of ``KEYS``) into their stored ones, as change ``version`` of all of them.
 
     A row replaces the one with its natural key; of rows with one key in a batch the greatest counts.
     Only rows that are new or differ are written, so a report that is read twice changes nothing,
-    and no earlier file is touched. Says whether the change was applied now.
+    and no earlier file is touched. Parts of the keys whose rows come again as they came last are
+    known by their prints and not moved. Says whether the change was applied now.
     """
     if version in store.versions():
         return False
-    written = []
+    written, parts = [], _open_parts(store, tables, version)
     for name, rows in tables.items():
         keys, rest = KEYS[name], [c for c in rows.columns if c not in KEYS[name]]
         stored = T.StructType([*rows.schema.fields, T.StructField("digest", T.LongType())])
-        fresh = rows.select(*keys, F.struct(*rest).alias("row"), F.lit(None).cast("long").alias("digest"), F.lit(None).cast("int").alias("segment"))
+        met_parts = F.lit(True) if len(parts[name]) == PRINT_PARTS else F.array_contains(F.array(*map(F.lit, parts[name])).cast("array<int>"), _part(keys))
+        fresh = rows.where(met_parts).select(*keys, F.struct(*rest).alias("row"), F.lit(None).cast("long").alias("digest"), F.lit(None).cast("int").alias("segment"))
         # Of what is stored the digests alone are read; they meet the new rows in the exchange that those need anyway.
-        known = store.read(name, stored, below=version).select(*keys, F.lit(None).cast(fresh.schema["row"].dataType).alias("row"), "digest", "segment")
+        known = store.read(name, stored, below=version).where(met_parts).select(*keys, F.lit(None).cast(fresh.schema["row"].dataType).alias("row"), "digest", "segment")
         met = fresh.unionByName(known).groupBy(*keys).agg(F.max("row").alias("row"), F.max_by("digest", "segment").alias("known_digest"))
         last = met.where(F.col("row").isNotNull()).select(*keys, *[F.col("row")[c].alias(c) for c in rest], "known_digest")
         digested = last.withColumn("digest", F.xxhash64(*keys, *rest))
@@ -218,4 +255,7 @@ def store_tables(store: Segments, tables: dict[str, DataFrame], version: int) ->
 
 def stored_table(store: Segments, name: str) -> DataFrame:
     """The rows of one stored table as they were last written."""
-    return last_of(store.read(name), KEYS[name]).drop("digest")
+    rows = store.read(name)
+    held = [r["segment"] for r in store.notes().where((F.col("table_name") == name) & (F.col("n") > 0)).select("segment").collect()]  # one for a change
+    # A key stands once in a segment, so that rows of a single one need not meet.
+    return (rows.where(F.col("segment").isin(held)).drop("segment") if len(held) < 2 else last_of(rows, KEYS[name])).drop("digest")
