@@ -127,3 +127,26 @@ def test_repeated_parts_of_stored_tables_are_not_moved(spark, tmp_path, monkeypa
     for version in (1, 2):
         RP.store_tables(once, {"fights": spark.createDataFrame(first, schema)}, version)
     assert RP.stored_table(once, "fights").count() == 3 and "Exchange" not in plan_of(RP.stored_table(once, "fights"))
+
+
+def test_mentions_of_many_slices(spark):
+    from tidewell.operators import graph as G
+
+    # Texts of which one alone has more words than a slice, and a single task.
+    n = SL.SLICE_ENTRIES // 4
+    texts = spark.createDataFrame([(1, "a b c " * n), (2, None), (3, "b"), (None, "c a b a b c")], "id long, text string").coalesce(1)
+    names = spark.createDataFrame([("a b", "x"), ("b c", "x"), ("b", "y"), ("a b c", "z"), ("", "w")], "canonical_name string, entity_type string")
+    found = G.longest_mentions(texts, names, id_col="id", text_col="text")
+    got = {(r.id, r.position): (r.canonical_name, r.entity_type) for r in found.collect()}
+    assert got == {(3, 0): ("b", "y"), (None, 1): ("a b", "x"), (None, 3): ("a b c", "z")} | {(1, 3 * i): ("a b c", "z") for i in range(n)}
+    assert "aggregate(" not in plan_of(found)
+
+
+def test_postings_travel_without_what_follows(spark):
+    postings = spark.createDataFrame([("a", 1, 7, 3, [0, 2], 2, 0)], "term string, block int, doc_id long, doc_len int, positions array<int>, tf int, bucket int")
+    index = S.SearchIndex(spark, "", 8, 4, "bigint")
+    dealt = S._dealt(index, postings)
+    bucket = spark.range(1).select(index.bucket_of(F.lit("a"))).first()[0]
+    assert dealt.columns == postings.columns and [tuple(r) for r in dealt.collect()] == [("a", 1, 7, 3, [0, 2], 2, bucket)]
+    sent = dealt._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[1]
+    assert "Project [term" in sent and "tf" not in sent.split("Project [")[1].split("]")[0]

@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewell.functions import fixed
 from tidewell.functions.text import resolve_canonical, title_case, tokens
 from tidewell.plans.blocked import with_neighbours
 from tidewell.plans.merge import first_by, last_known
+from tidewell.plans.slices import SLICE_ENTRIES, list_sizes, slices
 from tidewell.plans.spread import spread
 from tidewell.plans.topk import top_k
 
@@ -214,6 +219,26 @@ def _lengths(names: DataFrame) -> list[int]:
     return sorted(r.n for r in names.where(F.col("_key") != "").select(F.size(F.split("_key", " ")).alias("n")).distinct().collect()) or [1]
 
 
+def _sequences(words: DataFrame, id_col: str, lengths: list[int]) -> DataFrame:
+    """``id, start, minus, key``: the word sequences of these lengths (``minus`` them) of ``id, _t``, made of bounded slices of the words."""
+    schema = T.StructType([words.schema[id_col], T.StructField("start", T.IntegerType()), T.StructField("minus", T.IntegerType()),
+                           T.StructField("key", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, list_sizes(whole.column(1)), SLICE_ENTRIES)):
+            flat, sizes = batch.column(1).flatten(), list_sizes(batch.column(1))
+            row = np.repeat(np.arange(batch.num_rows), sizes)
+            left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(flat))  # words from here to the end of the text
+            for n in lengths:
+                at = np.flatnonzero(left >= n)
+                parts = [flat.take(pa.array(at + i)) for i in range(n)]
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).take(pa.array(row[at])), pa.array((sizes[row[at]] - left[at]).astype("int32")), pa.array(np.full(len(at), -n, "int32")),
+                    pc.binary_join_element_wise(*parts, " ") if n > 1 else parts[0]], names=schema.names)
+
+    return words.select(id_col, "_t").mapInArrow(run, schema)
+
+
 def longest_mentions(chunks: DataFrame, gazetteer: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
     """``id, position, canonical_name, entity_type``: names as a reader meets them, from left to right.
 
@@ -224,18 +249,26 @@ def longest_mentions(chunks: DataFrame, gazetteer: DataFrame, *, id_col: str, te
     names = gazetteer.withColumn("_key", F.array_join(tokens("canonical_name"), " "))
     words = spread(chunks.select(id_col, text_col), id_col).select(id_col, tokens(text_col).alias("_t"))
 
-    def placed(n: int) -> Column:
-        return F.transform(word_sequences("_t", n), lambda k, i: F.struct(i.alias("start"), F.lit(-n).alias("minus"), k.alias("key")))
-
-    met = words.select(id_col, F.explode(F.flatten(F.array(*[placed(n) for n in _lengths(names)]))).alias("m")).select(id_col, "m.*").join(
-        names.select(F.col("_key").alias("key")).distinct(), "key", "left_semi")
+    met = _sequences(words, id_col, _lengths(names)).join(names.select(F.col("_key").alias("key")).distinct(), "key", "left_semi")
     # The mentions of one chunk in order: longer ones first where they begin together.
     rows = met.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("start", "minus", "key"))).alias("rows"))
-    taken = F.aggregate(
-        "rows", F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<start: int, minus: int, key: string>>").alias("kept")),
-        lambda acc, m: F.when(m["start"] >= acc["next"], F.struct(
-            (m["start"] - m["minus"]).alias("next"), F.concat(acc["kept"], F.array(m)).alias("kept"))).otherwise(acc), lambda acc: acc["kept"])
-    found = rows.select(id_col, F.explode(taken).alias("m")).select(id_col, F.col("m.start").alias("position"), F.col("m.key").alias("_key"))
+    schema = T.StructType([words.schema[id_col], T.StructField("position", T.IntegerType()), T.StructField("_key", T.StringType())])
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, list_sizes(whole.column(1)), SLICE_ENTRIES)):
+            found, sizes = batch.column(1).flatten(), list_sizes(batch.column(1))
+            row, starts = np.repeat(np.arange(batch.num_rows), sizes), found.field("start")
+            taken, chunk, free = [], -1, 0
+            for i, (r, start, minus) in enumerate(zip(row.tolist(), starts.to_pylist(), found.field("minus").to_pylist(), strict=True)):
+                if r != chunk:
+                    chunk, free = r, 0
+                if start >= free:
+                    taken.append(i)
+                    free = start - minus
+            at = pa.array(taken, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[taken].astype("int64"))), starts.take(at), found.field("key").take(at)], names=schema.names)
+
+    found = rows.select(id_col, "rows").mapInArrow(kept, schema)
     return found.join(names, "_key").drop("_key")
 
 
