@@ -150,3 +150,16 @@ def test_postings_travel_without_what_follows(spark):
     assert dealt.columns == postings.columns and [tuple(r) for r in dealt.collect()] == [("a", 1, 7, 3, [0, 2], 2, bucket)]
     sent = dealt._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[1]
     assert "Project [term" in sent and "tf" not in sent.split("Project [")[1].split("]")[0]
+
+
+def test_postings_of_many_documents_are_dealt_to_more_tasks_than_shuffles(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "TASK_DOCS", 4)
+    docs = spark.range(100).select(F.col("id").alias("doc_id"), F.concat(F.lit("all w"), (F.col("id") % 3).cast("string")).alias("text"))
+    index = S.create_index(docs, str(tmp_path), blocks=2, buckets=1)
+    held = index.read("postings")
+    files = held.select(F.input_file_name().alias("f"), "doc_id").groupBy("f").agg(F.count_distinct("doc_id").alias("n")).collect()
+    assert len(files) > 8 and max(r.n for r in files) <= 12  # session: 8 shuffle partitions; before, 2 tasks, one a block
+    assert {r.term: r.n for r in held.groupBy("term").agg(F.count_distinct("doc_id").alias("n")).collect()} == {"all": 100, "w0": 34, "w1": 33, "w2": 33}
+    S.change_index(index, 1, added=docs.where("doc_id < 2").withColumn("text", F.lit("new")), removed=docs.where("doc_id < 2"))
+    whole = S.compact(index, f"{tmp_path}-whole")
+    assert sorted((r.term, r.doc_id) for r in whole.read("postings").where("term <> 'all'").collect())[:3] == [("new", 0), ("new", 1), ("w0", 3)]
