@@ -363,6 +363,20 @@ def test_url_filter_is_native(spark):
     assert not re.search("Python|Arrow|Cartesian|NestedLoop", plan)
 
 
+def test_nothing_that_grows_with_the_urls_is_broadcast(spark, monkeypatch):
+    plans, write = [], urls.materialize
+
+    def planned(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(urls, "materialize", lambda df, label: write(planned(df), label))
+    rows = [(i, f"http://{h}/{i}") for i, h in enumerate(["a.com", "b.net/es", "c.org"] * 20)]
+    pages = write(spark.createDataFrame(rows, "page_id int, url string"), "pages")  # files, whose small size Spark goes by
+    planned(urls.url_filter(pages, context=urls.LONG_CONTEXT, folded=False))
+    assert len(plans) > 3 and sum("Join" in p for p in plans) > 3 and not [p for p in plans if "Broadcast" in p]
+
+
 def test_copies_of_one_page_are_dealt_over_salts(spark):
     rows = [(i, "h", "menu\nsame words on every page of this site", {"k": 1}) for i in range(200)]
     pages = spark.createDataFrame(rows, "page_id bigint, host string, text string, extra map<string,int>")
