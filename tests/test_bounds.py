@@ -42,6 +42,38 @@ def test_postings_and_vectors_of_many_slices(spark):
     assert len(vectors) == 300 and all(vectors[i] == vectors[i % 3] for i in vectors) and any(vectors[0])
 
 
+def test_postings_of_a_slice_come_by_term(spark):
+    from tidewell.operators import retrieval as R
+    from tidewell.session import SPREAD_CONF
+
+    rows = spark.createDataFrame([(i, " ".join(f"{w}{i % 3}" for w in "zß b Ä 9".split())) for i in range(50)], "id int, text string").coalesce(1)
+    tasks = spark.conf.get(SPREAD_CONF)
+    spark.conf.set(SPREAD_CONF, "0")
+    try:
+        got = [(r.term, r.doc_id) for r in R.build_postings(rows, "id", "text").collect()]
+    finally:
+        spark.conf.set(SPREAD_CONF, tasks)
+    assert len(got) == 200 and got == sorted(got, key=lambda x: (x[0].encode(), x[1]))
+
+
+def test_a_repeated_batch_moves_no_texts(spark, tmp_path, monkeypatch):
+    from tidewell.operators import ingest, library as L
+
+    cut, chunk_texts = [], ingest.chunk_texts
+
+    def watched(docs, *args, **sizes):
+        cut.append(docs._jdf.queryExecution().optimizedPlan().toString())
+        return chunk_texts(docs, *args, **sizes)
+
+    monkeypatch.setattr(ingest, "chunk_texts", watched)
+    spark.createDataFrame([(f"u{i}", "t", "web", f"text {i}") for i in range(9)], "url string, title string, source_type string, text string").write.parquet(f"{tmp_path}/pages")
+    library, pages = L.create_library(spark, f"{tmp_path}/library", blocks=2, buckets=2), spark.read.parquet(f"{tmp_path}/pages")
+    for version in (1, 2):
+        L.ingest_pages(library, pages, version, F.lit("2024-05-01").cast("timestamp"))
+    assert "Relation [url" in cut[0] and cut[1].startswith("LocalRelation <empty>")
+    assert library.chunks().count() == 9 and {r.action for r in library.decisions(2).collect()} == {"unchanged"}
+
+
 def test_neighbours_of_many_slices(spark):
     from tidewell.operators import retrieval as R
 

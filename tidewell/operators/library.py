@@ -91,9 +91,11 @@ def ingest_pages(
     # Written once and without the texts, which move again only where they are cut and are too many to be found by a broadcast.
     decided = materialize(ingest.ingest_decision(pages.withColumn("has_text", ~ingest.is_blank("text")), known.drop("chunk_count")).drop("text"), "decided")
     written = F.col("action").isin("new", "replace")
-    cut = decided.where(written & F.col("has_text")).select(F.col("url").alias("own_url"), F.col("new_hash").alias("own_hash")).distinct()
-    texts = pages.select("url", "text").withColumn("new_hash", content_hash("text")).join(
-        cut, F.col("url").eqNullSafe(F.col("own_url")) & (F.col("new_hash") == F.col("own_hash")), "left_semi")
+    cut = decided.where(written & F.col("has_text")).select(F.col("url").alias("own_url"), F.col("new_hash").alias("own_hash"))
+    texts = pages.select("url", "text")
+    # A batch that came before reads no texts here.
+    texts = texts.limit(0) if cut.isEmpty() else texts.withColumn("new_hash", content_hash("text")).join(
+        cut.distinct(), F.col("url").eqNullSafe(F.col("own_url")) & (F.col("new_hash") == F.col("own_hash")), "left_semi")
     fresh = ingest.chunk_texts(texts, ["url"], "text", **sizes)
     added = segments.write(fresh.select(chunk_id(F.col("url"), F.col("chunk_index")).alias("chunk_id"), *list(CHUNKS)[1:]), "chunks", version)
     counts = added.groupBy("url").agg(F.count(F.lit(1)).alias("chunk_count"))
