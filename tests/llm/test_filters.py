@@ -377,6 +377,16 @@ def test_nothing_that_grows_with_the_urls_is_broadcast(spark, monkeypatch):
     assert len(plans) > 3 and sum("Join" in p for p in plans) > 3 and not [p for p in plans if "Broadcast" in p]
 
 
+def test_long_urls_do_not_travel_with_each_sign(spark):
+    long = "http://h.org/" + "ab" * 500
+    x = spark.createDataFrame([(long,), (long + "c",), ("http://a.com/x",)], "u string").select(urls.spelled(F.col("u")).alias("x"))
+    model = [spark.createDataFrame([], "g string, ratio double")] * 3
+    found = urls.scored(x, model)
+    sent = re.findall(r"Exchange hashpartitioning\(g#.*", found._jdf.queryExecution().executedPlan().toString())
+    assert sent and found.count() == 3 and "sha2(" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.x for r in found.collect()} == {r.x for r in x.collect()} and {r.score for r in found.collect()} == {0.0}
+
+
 def test_copies_of_one_page_are_dealt_over_salts(spark):
     rows = [(i, "h", "menu\nsame words on every page of this site", {"k": 1}) for i in range(200)]
     pages = spark.createDataFrame(rows, "page_id bigint, host string, text string, extra map<string,int>")

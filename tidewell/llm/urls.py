@@ -19,6 +19,8 @@ LONG_CONTEXT = 5
 LEAN = 4.0
 #: Copies of each scored gram, so that URLs that all hold it meet it in as many places.
 SALTS = 8
+#: Longest URL, in signs, that travels itself.
+KEY_SIGNS = 64
 #: Folded URLs are read in this alphabet of 40 signs (digits as 0, all else as ~), between ^ and $.
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 OTHERS = "0/.-_?=&%:^$~"
@@ -97,7 +99,9 @@ def scored(urls: DataFrame, model: list[DataFrame]) -> DataFrame:
     grams than there are signs.
     """
     context = len(model) - 1
-    met = grams(urls, context, "x")
+    # A long URL travels with each of its signs as a digest, which lacks the marks that every ``x`` has.
+    keyed = urls.select("x", F.when(F.length("x") > KEY_SIGNS, F.sha2("x", 256)).otherwise(F.col("x")).alias("u"))
+    met = grams(keyed, context, "u")
     whole = materialize(met.select("g").distinct(), "met")
     found = None
     for k, own in enumerate(model):
@@ -109,10 +113,11 @@ def scored(urls: DataFrame, model: list[DataFrame]) -> DataFrame:
         found = known
     found = materialize(found.select("g", F.coalesce("ratio", F.lit(0.0)).cast("decimal(18,9)").alias("ratio")), "ratios")
     salted = found.select(F.col("g").alias("f"), "ratio", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("f_salt"))
-    signs = met.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int")).join(
+    signs = met.withColumn("salt", F.pmod(F.xxhash64("u"), F.lit(SALTS)).cast("int")).join(
         _never_sent(salted), (F.col("g") == F.col("f")) & (F.col("salt") == F.col("f_salt")))
     # Summed as decimals: the same sum in whatever order rows arrive.
-    return signs.groupBy("x").agg((F.sum("ratio").cast("double") / F.count(F.lit(1))).alias("score"))
+    sums = signs.groupBy("u").agg((F.sum("ratio").cast("double") / F.count(F.lit(1))).alias("score"))
+    return keyed.join(_never_sent(sums), "u").select("x", "score")
 
 
 def url_filter(pages: DataFrame, rules=RULES, page_id: str = "page_id", url: str = "url", context: int = CONTEXT,
